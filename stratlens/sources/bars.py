@@ -26,7 +26,7 @@ def bar_catalog(spark: SparkSession, root: str, years: Iterable[str]) -> DataFra
     for rank, base in enumerate([*roots, root]):
         for year in dict.fromkeys(str(y) for y in years):
             for folders in ("*", "*/*"):
-                for path in glob(spark, f"{base}/{escape_glob(year)}/{folders}/*.csv"):
+                for path in glob(spark, f"{escape_glob(base)}/{escape_glob(year)}/{folders}/*.csv"):
                     pieces = relative(spark, base, path).split("/")
                     rows.append((path, year, "/".join(pieces[1:-1]), pieces[-1].removesuffix(".csv"), rank))
     listed = spark.createDataFrame(rows, "path string, year string, folder string, spread string, rank int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratlens.functions.columns import finite, strict_timestamp
 from stratlens.operators.returns import capital_to_portfolio, first_strategy
-from stratlens.sources.files import InputFile, glob, is_dir, read_tables
+from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, read_tables
 from stratlens.sources.runs import list_runs, run_files, run_of
 from stratlens.sources.tables import RunTables, empty_table
 
@@ -82,7 +82,7 @@ def load_equity_runs(
 
     def load(table: str, name: str, shape) -> DataFrame:
         if at_root:
-            files = [InputFile(path, at_root) for path in glob(spark, f"{root}/{name}")]
+            files = [InputFile(path, at_root) for path in glob(spark, f"{escape_glob(root)}/{name}")]
         else:
             files = run_files(spark, root, name, runs)
         loaded = read_tables(spark, files, shape, run_of(name))

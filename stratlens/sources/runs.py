@@ -60,7 +60,7 @@ def normalize(df: DataFrame, headers: Mapping[str, str], layout: Mapping[str, st
 def list_runs(spark: SparkSession, root: str, run_ids: Iterable[str] | None = None) -> list[str]:
     """The runs below ``root``; asking for one that has no folder is an error."""
     if run_ids is None:
-        return [relative(spark, root, path) for path in glob(spark, f"{root}/*") if is_dir(spark, path)]
+        return [relative(spark, root, path) for path in glob(spark, f"{escape_glob(root)}/*") if is_dir(spark, path)]
     wanted = list(run_ids)
     missing = [run for run in wanted if not is_dir(spark, f"{root}/{run}")]
     if missing:
@@ -79,7 +79,7 @@ def run_files(spark: SparkSession, root: str, pattern: str, run_ids: Iterable[st
     alone = next(iter(wanted)) if len(wanted) == 1 else None
     folder = escape_glob(alone) if alone else "*"
     first: dict[str, str] = {}
-    for path in glob(spark, f"{root}/{folder}/{pattern}"):
+    for path in glob(spark, f"{escape_glob(root)}/{folder}/{pattern}"):
         run = relative(spark, root, path).split("/")[0]
         if run in wanted:
             first.setdefault(run, path)
