@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlens.fixtures import STRATEGIES, FixtureTables, view, with_views
+from stratlens.fixtures import STRATEGIES, FixtureTables, raw, view, with_views
 from stratlens.functions import columns
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
 from stratlens.operators.ordered import choose_block
@@ -61,7 +61,7 @@ def _diagnostic_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = view(spark, sf_dir, "fx_symbol").select("spread").union(view(spark, sf_dir, "fx_bars").select("spread"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = raw(spark, sf_dir, "part")
     names = names.union(part.select(F.col("p_partkey").cast("string"))).union(part.select("p_brand")).distinct()
     return names.select(
         "spread",
@@ -72,7 +72,7 @@ def _spread_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "props")
+    events = raw(spark, sf_dir, "events").select("event_id", "value", "props")
     kind, text = F.col("event_id") % 5, F.format_string("%.2f", "value")
     written = (
         F.when(kind == 0, F.concat(text, F.lit("d")))

@@ -8,9 +8,10 @@ last; returns are multiples of 1e-6, which makes every later sum exact to the di
 from __future__ import annotations
 
 import re
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from stratlens.operators.factors import unpivot_curves
 
@@ -19,20 +20,20 @@ VIEWS = {
     "symbol_base": """
         select l_returnflag as run_id, cast(l_shipdate as date) as date,
           concat(upper(substr(p_type, 1, 2)), cast(2101 + p_partkey % 12 as string), '&B', cast(2102 + p_partkey % 12 as string)) as spread,
-          cast(sum(cast(round(l_extendedprice * 100) as bigint) * cast(round((l_discount - l_tax) * 100) - 5 as bigint)) as bigint) as pnl,
-          cast(sum(cast(round(l_extendedprice * 100) as bigint) * cast(round(l_tax * 100) as bigint)) as bigint) as fees,
+          cast(sum(cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor((l_discount - l_tax) * 100 + 0.5E0) - 5 as bigint)) as bigint) as pnl,
+          cast(sum(cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor(l_tax * 100 + 0.5E0) as bigint)) as bigint) as fees,
           cast(count(*) as bigint) as num_trades
         from lineitem join part on l_partkey = p_partkey group by 1, 2, 3""",
     "fx_symbol": """
         select run_id, date, spread, pnl / 10000.0E0 as daily_pnl,
-          round(pnl / 100000.0E0) / 1000000.0E0 as daily_pnl_pct, fees / 10000.0E0 as commission, num_trades
+          floor(pnl / 100000.0E0 + 0.5E0) / 1000000.0E0 as daily_pnl_pct, fees / 10000.0E0 as commission, num_trades
         from symbol_base""",
     "portfolio_base": """
         select run_id, date, cast(sum(pnl) as bigint) as pnl, cast(sum(fees) as bigint) as fees,
           cast(sum(num_trades) as bigint) as num_trades, cast(count(*) as bigint) as num_spreads
         from symbol_base group by 1, 2""",
     "fx_portfolio": """
-        select run_id, date, pnl / 10000.0E0 as daily_pnl, round(pnl / 100000.0E0) / 1000000.0E0 as daily_pnl_pct,
+        select run_id, date, pnl / 10000.0E0 as daily_pnl, floor(pnl / 100000.0E0 + 0.5E0) / 1000000.0E0 as daily_pnl_pct,
           fees / 10000.0E0 as commission, num_trades, num_spreads
         from portfolio_base""",
     "fx_trades": """
@@ -102,12 +103,24 @@ def with_views(*names: str) -> str:
     return "with " + ",\n".join(f"{name} as ({VIEWS[name]})" for name in needed)
 
 
+@lru_cache
+def _layout(path: str) -> StructType:
+    """Columns of a parquet file, looked up once."""
+    return SparkSession.active().read.parquet(path).schema
+
+
+def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.read.schema(_layout(path)).parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view over the parquet files of ``sf_dir``."""
     text = f"{with_views(name)} select * from {name}"
-    for table in RAW_TABLES:
-        text = re.sub(rf"\b(from|join) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
-    return spark.sql(text)
+    used = [table for table in RAW_TABLES if re.search(rf"\b(from|join) {table}\b", text)]
+    for table in used:
+        text = re.sub(rf"\b(from|join) {table}\b", rf"\1 {{{table}}}", text)
+    return spark.sql(text, **{table: raw(spark, sf_dir, table) for table in used})
 
 
 class FixtureTables:

@@ -164,46 +164,59 @@ def pick_cells(symbol: DataFrame, n: int = 50) -> DataFrame:
 def spread_correlation(symbol: DataFrame, n: int = 50) -> DataFrame:
     """Pearson correlation of the picked spreads' daily returns; a day without a row is zero.
 
-    Zero days add nothing to a product sum, so only cells with a return are multiplied: per date
-    at most ``n`` of them, combined before the shuffle into one sum per run and pair of picks.
-    A spread whose return never changes has no correlation.
+    Zero days add nothing to a product sum, so each date gives one row of its at most ``n``
+    returns, led by a constant 1 as pick 0. The products of a row's members are combined before
+    the shuffle into one sum per run and pair of picks: days at (0, 0), sums at (0, j), squares at
+    (j, j). A spread whose return never changes has no correlation.
     """
     cells = pick_cells(symbol, n)
-    dates = cells.groupBy("run_id").agg(F.count_distinct("date").alias("days"))
-    moments = (
-        cells.groupBy("run_id", "pick", "spread")
-        .agg(
-            F.sum("ret").alias("sum"),
-            F.sum(F.col("ret") * F.col("ret")).alias("squares"),
-            F.count(F.lit(1)).alias("rows"),
-            F.min("ret").alias("low"),
-            F.max("ret").alias("high"),
-        )
-        .join(dates, "run_id")
-        .withColumn("mean", F.col("sum") / F.col("days"))
-        .withColumn("varies", (F.col("low") != F.col("high")) | ((F.col("rows") < F.col("days")) & (F.col("low") != 0)))
-        .withColumn("var", F.col("squares") - F.col("sum") * F.col("mean"))
-    )
-    cell = F.struct("pick", "ret")
-    daily = cells.filter("ret <> 0").groupBy("run_id", "date").agg(F.array_sort(F.collect_list(cell)).alias("row"))
-    left = daily.select("run_id", "row", F.explode("row").alias("a"))
-    pairs = left.select("run_id", "a", F.explode(F.filter("row", lambda b: b["pick"] > F.col("a.pick"))).alias("b"))
-    products = pairs.groupBy("run_id", F.col("a.pick").alias("pick1"), F.col("b.pick").alias("pick2")).agg(
-        F.sum(F.col("a.ret") * F.col("b.ret")).alias("product")
+    one = F.struct(F.lit(0).alias("pick"), F.lit(1.0).alias("ret"), F.lit("").alias("spread"))
+    row = F.array_sort(F.concat(F.array(one), F.collect_list(F.struct("pick", "ret", "spread"))))
+    daily = cells.groupBy("run_id", "date").agg(row.alias("row"))
+    left = daily.select("run_id", "row", F.posexplode("row").alias("at", "a"))
+    from_here = F.inline(F.slice("row", F.col("at") + 1, F.lit(n + 1))).alias("j", "y", "name")
+    pairs = left.select("run_id", F.col("a.pick").alias("i"), F.col("a.ret").alias("x"), from_here)
+    named = F.when(F.col("i") == 0, F.col("name")).otherwise("")
+    sums = pairs.groupBy("run_id", "i", "j", named.alias("spread")).agg(
+        F.sum(F.col("x") * F.col("y")).alias("total"),
+        F.count(F.lit(1)).alias("rows"),
+        F.min("y").alias("low"),
+        F.max("y").alias("high"),
     )
-    # The matrix itself: every pair of the at most n picks, each unordered pair computed once.
-    one = moments.select("run_id", "days", *[F.col(c).alias(f"{c}1") for c in ("pick", "spread", "mean", "var", "varies")])
-    two = moments.select("run_id", *[F.col(c).alias(f"{c}2") for c in ("pick", "spread", "mean", "var", "varies")])
-    matrix = one.join(two, (one["run_id"] == two["run_id"]) & (F.col("pick1") <= F.col("pick2"))).drop(two["run_id"])
-    cross = F.coalesce("product", F.lit(0.0)) - F.col("days") * F.col("mean1") * F.col("mean2")
-    corr = F.when(F.col("pick1") == F.col("pick2"), F.lit(1.0)).otherwise(cross / F.sqrt(F.col("var1") * F.col("var2")))
-    usable = F.col("varies1") & F.col("varies2") & (F.col("var1") > 0) & (F.col("var2") > 0)
-    half = matrix.join(products, ["run_id", "pick1", "pick2"], "left").withColumn("corr", F.when(usable, corr))
-    places = F.array(
-        F.struct(F.col("spread1").alias("s1"), F.col("spread2").alias("s2")),
-        F.struct(F.col("spread2").alias("s1"), F.col("spread1").alias("s2")),
+    return _correlations(sums)
+
+
+def _correlations(sums: DataFrame) -> DataFrame:
+    """The matrix of every run from its product sums, held as one map of at most n + 1 per pick."""
+    cell = F.struct("spread", "total", "rows", "low", "high")
+    lines = sums.groupBy("run_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", cell))).alias("line"))
+    runs = lines.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "line"))).alias("lines"))
+
+    def total(i, j):
+        return F.coalesce(F.try_element_at(F.try_element_at(F.col("lines"), i), j)["total"], F.lit(0.0))
+
+    days = total(F.lit(0), F.lit(0))
+
+    def measured(pick, sums_of_pick):
+        mean = sums_of_pick["total"] / days
+        # A day without a row is a zero, so it may be what makes a constant return vary.
+        whole = (sums_of_pick["rows"] == days) | (sums_of_pick["high"] == 0)
+        flat = (sums_of_pick["low"] == sums_of_pick["high"]) & whole
+        var = F.when(~flat, total(pick, pick) - days * mean * mean)
+        return F.struct(pick.alias("pick"), sums_of_pick["spread"].alias("spread"), mean.alias("mean"), var.alias("var"))
+
+    picks = F.filter(F.map_entries(F.try_element_at("lines", F.lit(0))), lambda e: e["key"] > 0)
+    sides = runs.select("run_id", "lines", F.transform(picks, lambda e: measured(e["key"], e["value"])).alias("picks"))
+    # The result itself is every pair of a run's at most n picks.
+    first = sides.select("run_id", "lines", "picks", F.explode("picks").alias("a"))
+    matrix = first.select("run_id", "lines", "a", F.explode("picks").alias("b"))
+    product = total(F.least("a.pick", "b.pick"), F.greatest("a.pick", "b.pick"))
+    cross = product - days * F.col("a.mean") * F.col("b.mean")
+    corr = F.when(F.col("a.pick") == F.col("b.pick"), F.lit(1.0)).otherwise(cross / F.sqrt(F.col("a.var") * F.col("b.var")))
+    varies = (F.col("a.var") > 0) & (F.col("b.var") > 0)
+    return matrix.select(
+        "run_id", F.col("a.spread").alias("s1"), F.col("b.spread").alias("s2"), F.when(varies, corr).alias("corr")
     )
-    return half.select("run_id", "corr", F.inline(F.array_distinct(places))).select("run_id", "s1", "s2", "corr")
 
 
 def active_spread_count(symbol: DataFrame, n: int = 50) -> DataFrame:
