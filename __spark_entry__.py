@@ -16,6 +16,8 @@ from stratlens.functions import columns
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
 from stratlens.operators.ordered import choose_block
 from stratlens.plans import reports
+from stratlens.schemas import PORTFOLIO, PORTFOLIO_HEADERS
+from stratlens.sources.runs import normalize
 
 # Twenty bars instead of the usual 300: at the small scale factors no spread has 300 events.
 BAR_OPTIONS = reports.Options(lookback=20)
@@ -113,6 +115,19 @@ def _first_capital(t: FixtureTables) -> DataFrame:
     return returns.capital_to_portfolio(returns.first_strategy(t.capital_curves))
 
 
+def _localised_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns under localised headers, one layout per half of the runs' dates, read back."""
+    source = FixtureTables(spark, sf_dir).portfolio
+    names = {english: local for local, english in PORTFOLIO_HEADERS.items() if english in source.columns}
+    text = source.select("run_id", *[F.col(c).cast("string").alias(local) for c, local in names.items()])
+    early = text.filter(F.col("日期") < "1998-01-01")
+    late = text.filter(F.col("日期") >= "1998-01-01").withColumn("日期", F.replace(F.col("日期"), F.lit("-"), F.lit("")))
+    both = early.unionByName(late.drop("套利对数"), allowMissingColumns=True)
+    read = normalize(both, PORTFOLIO_HEADERS, PORTFOLIO)
+    kept = read.select("run_id", "date", "daily_pnl", "daily_pnl_pct", "num_trades", "num_spreads")
+    return _rounded(kept, daily_pnl=4, daily_pnl_pct=8)
+
+
 def queries() -> dict[str, Query]:
     r, u, on = reports, universe, _on_tables
     return {
@@ -212,6 +227,7 @@ def queries() -> dict[str, Query]:
         # names and numbers
         "spread_names": _spread_names,
         "lenient_numbers": _lenient_numbers,
+        "localised_portfolio": _localised_portfolio,
     }
 
 
@@ -638,6 +654,12 @@ from fx_trades t join diagnostic d on d.run_id = t.run_id and d.spread = t.sprea
   lower(case when letters1 <> '' then letters1 else substr(leg1, 1, 1) end) as product,
   case when contains(spread, '&') then upper(letters1) || '&' || upper(letters2) else spread end as folder
 from legs""",
+        ),
+        "localised_portfolio": _sql(
+            port,
+            [],
+            f"""select run_id, date, {_round(daily_pnl=4, daily_pnl_pct=8)}, num_trades,
+  cast(case when date < date '1998-01-01' then num_spreads end as integer) as num_spreads from fx_portfolio""",
         ),
         "lenient_numbers": """
 select event_id, case event_id % 5 when 0 then null when 2 then null when 3 then round(round(value, 2) * 10, 4)

@@ -13,9 +13,9 @@ SALTS = 32
 def salted_join(
     rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Attach per-key ``facts`` (at most one row per key) to ``rows`` without one task per key.
+    """Attach the few ``facts`` of each key to its many ``rows`` without one task per key.
 
-    Each key's rows are dealt over ``salts`` sub-keys and its fact row is repeated once for each.
+    Each key's rows are dealt over ``salts`` sub-keys and its facts are repeated once for each.
     Whether the small side is broadcast instead is left to its measured size at run time.
     """
     dealt = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import safe_ratio, side
+from stratlens.operators.joins import salted_join
 from stratlens.operators.returns import portfolio_nav
 
 
@@ -81,13 +82,13 @@ def roll_dates(rolls: DataFrame) -> DataFrame:
     return rolls.select("run_id", F.col("tradingday").alias("date")).filter(F.col("date").isNotNull()).distinct()
 
 
-def roll_events(portfolio: DataFrame, rolls: DataFrame) -> DataFrame:
+def roll_events(portfolio: DataFrame, rolls: DataFrame, block: str | None = None) -> DataFrame:
     """Portfolio net value with roll dates marked, for runs that have a roll table."""
     dates = roll_dates(rolls)
     counts = (
         rolls.select("run_id", "tradingday").distinct().groupBy("run_id").agg(F.count("tradingday").alias("roll_count"))
     )
-    nav = portfolio_nav(portfolio).join(counts, "run_id")
+    nav = salted_join(portfolio_nav(portfolio, block=block), counts, ["run_id"])
     marked = nav.join(dates.withColumn("_roll", F.lit(True)), ["run_id", "date"], "left")
     return marked.select("run_id", "date", "nav", F.coalesce("_roll", F.lit(False)).alias("is_roll"), "roll_count")
 

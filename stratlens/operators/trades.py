@@ -105,7 +105,7 @@ def density(df: DataFrame, value: Column | str, points: int = 200, bins: int = 3
 
     ``curve`` is the density scaled to the counts of ``histogram``. A row touches only grid points
     within nine bandwidths (farther ones add nothing in double precision), so rows spread over
-    ever fewer points as a run grows. Equal values are counted first and spread once.
+    ever fewer points as a run grows; contributions are summed per point before the shuffle.
     """
     reach = 9.0
     values = _value_rows(df, value, keys)
@@ -116,8 +116,7 @@ def density(df: DataFrame, value: Column | str, points: int = 200, bins: int = 3
         (F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))).alias("_h"),
         ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
     )
-    tallied = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    shaped = salted_join(tallied, shape, keys)
+    shaped = salted_join(values, shape, keys)
     offset = F.col("_v") - F.col("_lo")
     nearest = F.greatest(F.ceil((offset - reach * F.col("_h")) / F.col("_step")), F.lit(0))
     farthest = F.least(F.floor((offset + reach * F.col("_h")) / F.col("_step")), F.lit(points - 1))
@@ -127,7 +126,7 @@ def density(df: DataFrame, value: Column | str, points: int = 200, bins: int = 3
     summed = (
         shaped.withColumn("point", F.explode(touched))
         .groupBy(*keys, "point")
-        .agg(F.sum(F.col("_n") * F.exp(-0.5 * distance * distance)).alias("_k"))
+        .agg(F.sum(F.exp(-0.5 * distance * distance)).alias("_k"))
     )
     grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))))
     height = F.coalesce("_k", F.lit(0.0)) / (F.col("_rows") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))

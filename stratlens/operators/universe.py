@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import is_active, month_label, product_prefix, return_or_zero
-from stratlens.operators.returns import RUN, net_value, portfolio_nav
+from stratlens.operators.joins import salted_join
+from stratlens.operators.returns import net_value, portfolio_nav
 
 PORTFOLIO_SERIES = "portfolio"
 
@@ -99,15 +100,23 @@ def spread_nav(symbol: DataFrame, block: str | None = None) -> DataFrame:
     return net_value(symbol.filter(F.col("spread").isNotNull()), ("run_id", "spread"), "nav", block)
 
 
-def spread_nav_picks(symbol: DataFrame, portfolio: DataFrame, n: int = 10) -> DataFrame:
+def spread_nav_picks(
+    symbol: DataFrame,
+    portfolio: DataFrame,
+    n: int = 10,
+    symbol_block: str | None = None,
+    portfolio_block: str | None = None,
+) -> DataFrame:
     """Net value of the best and worst spreads next to the whole portfolio's."""
     picks = top_bottom_spreads(spread_totals(symbol), n).select("run_id", "spread")
     chosen = symbol.join(picks, ["run_id", "spread"], "left_semi")
-    spreads = spread_nav(chosen).select("run_id", F.col("spread").alias("series"), "date", "nav", F.lit(False).alias("is_portfolio"))
-    whole = portfolio_nav(portfolio).select(
+    spreads = spread_nav(chosen, symbol_block).select(
+        "run_id", F.col("spread").alias("series"), "date", "nav", F.lit(False).alias("is_portfolio")
+    )
+    whole = portfolio_nav(portfolio, block=portfolio_block).select(
         "run_id", F.lit(PORTFOLIO_SERIES).alias("series"), "date", "nav", F.lit(True).alias("is_portfolio")
     )
-    return spreads.unionByName(whole.join(symbol.select("run_id").distinct(), "run_id", "left_semi"))
+    return spreads.unionByName(salted_join(whole, symbol.select("run_id").distinct(), ["run_id"]))
 
 
 def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import beyond_entry, is_gain, return_or_zero
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
-from stratlens.operators.ordered import choose_block
+from stratlens.operators.ordered import MAX_SERIES_ROWS, choose_block
+from stratlens.operators.returns import daily_order
 from stratlens.sources.tables import RunTables
 
 
@@ -31,9 +32,9 @@ Datasets = dict[str, DataFrame]
 
 
 # --- portfolio ---------------------------------------------------------------
-def nav_drawdown(portfolio: DataFrame) -> DataFrame:
-    priced = returns.portfolio_nav(portfolio)
-    return returns.drawdown_additive(priced).select("run_id", "date", "nav", "drawdown")
+def nav_drawdown(portfolio: DataFrame, block: str | None = None) -> DataFrame:
+    priced = returns.portfolio_nav(portfolio, block=block)
+    return returns.drawdown_additive(priced, block=block).select("run_id", "date", "nav", "drawdown")
 
 
 def daily_pnl(portfolio: DataFrame) -> DataFrame:
@@ -46,12 +47,13 @@ def active_returns_pct(portfolio: DataFrame) -> DataFrame:
     return active.select("run_id", "date", (return_or_zero() * 100).alias("return_pct"))
 
 
-def cost_curves(portfolio: DataFrame) -> DataFrame:
-    return returns.cost_curves(portfolio).select("run_id", "date", "cum_gross", "cum_net", "cum_commission")
+def cost_curves(portfolio: DataFrame, block: str | None = None) -> DataFrame:
+    curves = returns.cost_curves(portfolio, block=block)
+    return curves.select("run_id", "date", "cum_gross", "cum_net", "cum_commission")
 
 
-def rolling_metrics(portfolio: DataFrame, windows: Sequence[int]) -> DataFrame:
-    return rolling.rolling_metrics(returns.portfolio_nav(portfolio), windows)
+def rolling_metrics(portfolio: DataFrame, windows: Sequence[int], block: str | None = None) -> DataFrame:
+    return rolling.rolling_metrics(returns.portfolio_nav(portfolio, block=block), windows, block=block)
 
 
 # --- trades ------------------------------------------------------------------
@@ -71,12 +73,12 @@ def holding_hours(matched: DataFrame) -> DataFrame:
 # --- diagnostics -------------------------------------------------------------
 def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> DataFrame:
     """Close and z-score of each run's diagnostic spreads, with the threshold bands."""
+    cut, block = choose_block(bars, ["spread"], ["datetime", "row_id"])
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n).select("run_id", "spread")
-    wanted = bars.join(picks.select("spread").distinct(), "spread", "left_semi")
-    cut, block = choose_block(wanted, ["spread"], ["datetime", "row_id"])
-    scored = rolling.zscore(cut, options.lookback, block=block)
-    return trades.salted_join(scored, runs_per_spread(picks), ["spread"]).select(
-        F.explode("runs").alias("run_id"),
+    wanted = trades.salted_join(cut, picks.select("spread").distinct(), ["spread"])
+    scored = rolling.zscore(wanted, options.lookback, block=block)
+    return trades.salted_join(scored, picks, ["spread"]).select(
+        "run_id",
         "spread",
         "datetime",
         "close",
@@ -87,11 +89,6 @@ def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> Dat
     )
 
 
-def runs_per_spread(picks: DataFrame) -> DataFrame:
-    """Which runs chose a spread, one row per spread."""
-    return picks.groupBy("spread").agg(F.collect_set("run_id").alias("runs"))
-
-
 def diagnostic_events(symbol: DataFrame, signal_rows: DataFrame, fills: DataFrame, options: Options) -> DataFrame:
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n)
     return signals.chart_events(picks, signal_rows, fills)
@@ -99,7 +96,7 @@ def diagnostic_events(symbol: DataFrame, signal_rows: DataFrame, fills: DataFram
 
 # --- report list -------------------------------------------------------------
 def _r01(t: RunTables, o: Options) -> Datasets:
-    return {"nav_drawdown": nav_drawdown(t.portfolio)}
+    return {"nav_drawdown": nav_drawdown(t.portfolio, t.portfolio_block)}
 
 
 def _r02(t: RunTables, o: Options) -> Datasets:
@@ -113,13 +110,13 @@ def _r02(t: RunTables, o: Options) -> Datasets:
 
 def _r03(t: RunTables, o: Options) -> Datasets:
     return {
-        "spread_nav_picks": universe.spread_nav_picks(t.symbol, t.portfolio, o.top_n),
+        "spread_nav_picks": universe.spread_nav_picks(t.symbol, t.portfolio, o.top_n, t.symbol_block, t.portfolio_block),
         "spread_month_matrix": universe.spread_month_matrix(t.symbol),
     }
 
 
 def _r04(t: RunTables, o: Options) -> Datasets:
-    return {"cost_curves": cost_curves(t.portfolio)}
+    return {"cost_curves": cost_curves(t.portfolio, t.portfolio_block)}
 
 
 def _r05(t: RunTables, o: Options) -> Datasets:
@@ -155,7 +152,10 @@ def _r10(t: RunTables, o: Options) -> Datasets:
 
 
 def _r11(t: RunTables, o: Options) -> Datasets:
-    return {"roll_events": signals.roll_events(t.portfolio, t.rolls), "roll_dates": signals.roll_dates(t.rolls)}
+    return {
+        "roll_events": signals.roll_events(t.portfolio, t.rolls, t.portfolio_block),
+        "roll_dates": signals.roll_dates(t.rolls),
+    }
 
 
 def _r12(t: RunTables, o: Options) -> Datasets:
@@ -167,14 +167,14 @@ def _r12(t: RunTables, o: Options) -> Datasets:
 
 
 def _r13(t: RunTables, o: Options) -> Datasets:
-    return {"rolling_metrics": rolling_metrics(t.portfolio, o.rolling_windows)}
+    return {"rolling_metrics": rolling_metrics(t.portfolio, o.rolling_windows, t.portfolio_block)}
 
 
 def _r14(t: RunTables, o: Options) -> Datasets:
-    scorecard = compare.run_scorecard(t.portfolio)
+    scorecard = compare.run_scorecard(t.portfolio, t.portfolio_block)
     return {
         "run_scorecard": scorecard,
-        "multi_nav": compare.multi_nav(t.portfolio),
+        "multi_nav": compare.multi_nav(t.portfolio, t.portfolio_block),
         "run_radar": compare.run_radar(scorecard),
         "return_vs_drawdown": compare.return_vs_drawdown(scorecard),
     }
@@ -225,6 +225,18 @@ EQUITY_GROUPS = {
 # ------------------------------------------------------------------------------
 
 
+def measured(tables: RunTables, max_rows: int = MAX_SERIES_ROWS) -> RunTables:
+    """The tables with their daily series cut into blocks where one would be too long for a task.
+
+    A file may hold many rows per date (one per strategy, say), so the calendar alone is no bound.
+    """
+    portfolio, portfolio_block = choose_block(tables.portfolio, ["run_id"], daily_order(tables.portfolio), max_rows)
+    symbol, symbol_block = choose_block(tables.symbol, ["run_id", "spread"], daily_order(tables.symbol), max_rows)
+    return replace(
+        tables, portfolio=portfolio, symbol=symbol, portfolio_block=portfolio_block, symbol_block=symbol_block
+    )
+
+
 def groups_for(adapter: str) -> dict[str, tuple[str, ...]]:
     return EQUITY_GROUPS if adapter == "equity" else SPREAD_GROUPS
 
@@ -240,12 +252,14 @@ def build_reports(
     """Every dataset of a report group.
 
     Report 08 needs ``bars`` and is skipped without them; report 14 compares runs and is built
-    only when asked for, whatever the group.
+    only when asked for, whatever the group. Every report scans the tables anew, so tables read
+    from CSV are best staged first (``sources.sink.stage_tables``).
     """
     options = options or Options()
     groups = groups_for(adapter)
     if group not in groups:
         raise ValueError(f"report group must be one of {sorted(groups)}")
+    tables = measured(tables)
     built: Datasets = {}
     for report in groups[group]:
         if report == "08":

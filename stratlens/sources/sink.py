@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
+from stratlens.sources.tables import LAYOUTS, RunTables
+
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One Parquet dataset per report, foldered by run.
@@ -20,3 +23,20 @@ def write_reports(reports: Mapping[str, DataFrame], root: str, mode: str = "over
     for name, df in reports.items():
         write_report(df, f"{root}/{name}", mode)
     return [f"{root}/{name}" for name in reports]
+
+
+def stage_tables(tables: RunTables, root: str) -> RunTables:
+    """Write the tables as Parquet below ``root`` and return them read back.
+
+    Reports then read only the columns they use instead of parsing every CSV again, and a
+    condition on the run reads only that run's folder.
+    """
+    staged = {}
+    for name in LAYOUTS:
+        source = getattr(tables, name)
+        if source.columns == ["run_id"]:
+            continue  # a table nobody wrote
+        write_report(source, f"{root}/{name}")
+        # Partition values are read back as text, so a run named 007 keeps its name.
+        staged[name] = source.sparkSession.read.schema(source.schema).parquet(f"{root}/{name}")
+    return replace(tables, **staged)

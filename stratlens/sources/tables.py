@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +40,13 @@ class RunTables:
     ic_summary: DataFrame
     synthesis_summary: DataFrame
     feature_importance: DataFrame
+    # Columns that cut over-long daily series into pieces, see ``operators.ordered``.
+    portfolio_block: str | None = None
+    symbol_block: str | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, **tables: DataFrame) -> RunTables:
-        unknown = set(tables) - {field.name for field in fields(cls)}
+        unknown = set(tables) - set(LAYOUTS)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
-        return cls(**{f.name: tables[f.name] if f.name in tables else empty_table(spark, f.name) for f in fields(cls)})
+        return cls(**{name: tables[name] if name in tables else empty_table(spark, name) for name in LAYOUTS})

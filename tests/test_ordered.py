@@ -164,3 +164,31 @@ def test_roundtrips_against_slots(spark, how):
     expected = [(side, opened, times[i], a, b, v, p) for i, opened, side, a, b, v, p in model_pairs([r.asDict() for r in fills.collect()])]
     assert sorted(got) == sorted(expected) and len(got) > 100
     assert matched.filter("holding_minutes < 0").count() == 0
+
+
+def test_reports_agree_on_long_daily_series(spark):
+    from stratlens.plans import reports
+    from stratlens.sources.tables import RunTables
+
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1)
+    rows = []
+    for i in range(600):
+        run = "big" if i % 6 else "small"
+        date = (start + timedelta(days=rng.randrange(90))).date() if i % 3 else start.date()
+        rows.append((run, date, rng.choice("ABC"), float(rng.randrange(-5, 6)), round(rng.gauss(0, 0.01), 6), 1.0, i))
+    schema = "run_id string, date date, spread string, daily_pnl double, daily_pnl_pct double, commission double, row_id bigint"
+    daily = spark.createDataFrame(rows, schema).withColumn("num_trades", F.lit(1)).withColumn("num_spreads", F.lit(1))
+    rolls = spark.createDataFrame([("big", start.date())], "run_id string, tradingday date")
+    tables = RunTables.of(spark, portfolio=daily, symbol=daily, rolls=rolls)
+    cut = reports.measured(tables, 40)
+    assert cut.portfolio_block and cut.symbol_block
+    options = reports.Options(rolling_windows=(5, 9))
+    for report in ("01", "03", "04", "11", "13", "14"):
+        whole, pieces = reports.REPORTS[report](tables, options), reports.REPORTS[report](cut, options)
+        for name in whole:
+            left, right = (
+                sorted(str([round(v, 6) + 0.0 if isinstance(v, float) else v for v in r]) for r in d[name].collect())
+                for d in (whole, pieces)
+            )
+            assert left == right, name

@@ -11,7 +11,7 @@ from stratlens.plans import reports
 from stratlens.sources.bars import load_bars
 from stratlens.sources.equity import load_equity_runs
 from stratlens.sources.runs import load_runs
-from stratlens.sources.sink import write_report, write_reports
+from stratlens.sources.sink import stage_tables, write_report, write_reports
 
 
 def put(path: Path, text: str, encoding: str = "utf-8") -> None:
@@ -152,3 +152,13 @@ def test_sink(spark, tree, tmp_path):
     assert len(write_reports(built, target)) == len(built)
     back = spark.read.parquet(f"{target}/monthly_returns")
     assert {(r["run_id"], r["label"]) for r in back.collect()} == {("run a", "2024-01"), ("b+%&c", "2024-01")}
+
+
+def test_staged_tables_read_the_same(spark, tree, tmp_path):
+    tables = load_runs(spark, str(tree))
+    staged = stage_tables(tables, str(tmp_path / "staged"))
+    for name in ("portfolio", "trades", "rolls", "capital_curves"):
+        before, after = getattr(tables, name), getattr(staged, name)
+        columns = sorted(set(before.columns) - {"row_id"})
+        assert after.schema.simpleString() and set(after.columns) == set(before.columns)
+        assert sorted(map(str, after.select(columns).collect())) == sorted(map(str, before.select(columns).collect()))
