@@ -171,9 +171,9 @@ def queries() -> dict[str, Query]:
         "roundtrip_pnl_density": on(
             lambda t: _density(r.roundtrips(t.trades), "gross_pnl"), x=6, density=8, curve=6
         ),
-        "holding_hours_hist": on(lambda t: _hist(r.holding_hours(r.roundtrips(t.trades)), "hours"), lo=6, hi=6),
+        "holding_hours_hist": on(lambda t: trades.histogram(r.holding_hours(r.roundtrips(t.trades)), "hours", above=0.0), lo=6, hi=6),
         "holding_hours_density": on(
-            lambda t: _density(r.holding_hours(r.roundtrips(t.trades)), "hours"), x=6, density=8, curve=6
+            lambda t: trades.density(r.holding_hours(r.roundtrips(t.trades)), "hours", above=0.0), x=6, density=8, curve=6
         ),
         # signals and rolls
         "signal_fill_daily": on(lambda t: signals.signal_fill_daily(t.signals, t.trades), conversion=8),

@@ -17,21 +17,24 @@ from stratlens.operators.factors import unpivot_curves
 
 VIEWS = {
     # Money in units of 1e-4, so that sums are whole numbers.
-    "symbol_base": """
+    "fx_lines": """
         select l_returnflag as run_id, cast(l_shipdate as date) as date,
           concat(upper(substr(p_type, 1, 2)), cast(2101 + p_partkey % 12 as string), '&B', cast(2102 + p_partkey % 12 as string)) as spread,
-          cast(sum(cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor((l_discount - l_tax) * 100 + 0.5E0) - 5 as bigint)) as bigint) as pnl,
-          cast(sum(cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor(l_tax * 100 + 0.5E0) as bigint)) as bigint) as fees,
+          cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor((l_discount - l_tax) * 100 + 0.5E0) - 5 as bigint) as pnl,
+          cast(floor(l_extendedprice * 100 + 0.5E0) as bigint) * cast(floor(l_tax * 100 + 0.5E0) as bigint) as fees
+        from lineitem join part on l_partkey = p_partkey""",
+    "symbol_base": """
+        select run_id, date, spread, cast(sum(pnl) as bigint) as pnl, cast(sum(fees) as bigint) as fees,
           cast(count(*) as bigint) as num_trades
-        from lineitem join part on l_partkey = p_partkey group by 1, 2, 3""",
+        from fx_lines group by 1, 2, 3""",
     "fx_symbol": """
         select run_id, date, spread, pnl / 10000.0E0 as daily_pnl,
           floor(pnl / 100000.0E0 + 0.5E0) / 1000000.0E0 as daily_pnl_pct, fees / 10000.0E0 as commission, num_trades
         from symbol_base""",
     "portfolio_base": """
         select run_id, date, cast(sum(pnl) as bigint) as pnl, cast(sum(fees) as bigint) as fees,
-          cast(sum(num_trades) as bigint) as num_trades, cast(count(*) as bigint) as num_spreads
-        from symbol_base group by 1, 2""",
+          cast(count(*) as bigint) as num_trades, cast(count(distinct spread) as bigint) as num_spreads
+        from fx_lines group by 1, 2""",
     "fx_portfolio": """
         select run_id, date, pnl / 10000.0E0 as daily_pnl, floor(pnl / 100000.0E0 + 0.5E0) / 1000000.0E0 as daily_pnl_pct,
           fees / 10000.0E0 as commission, num_trades, num_spreads

@@ -37,11 +37,10 @@ def synthesis_fallback(curves: DataFrame, synthesis: DataFrame) -> DataFrame:
 
 def quantile_spread(curves: DataFrame) -> DataFrame:
     """First minus last curve per date; runs with a single curve have none."""
-    # A missing end keeps its place: a struct is never NULL, so it still wins max_by and min_by.
-    point = F.struct("capital")
     ends = curves.groupBy("run_id", "date").agg(
-        F.min_by(point, "col_pos").alias("top"),
-        F.max_by(point, "col_pos").alias("bottom"),
-        F.count_distinct("col_pos").alias("curves"),
+        F.min_by("capital", "col_pos").alias("top"),
+        F.max_by("capital", "col_pos").alias("bottom"),
+        F.min("col_pos").alias("first"),
+        F.max("col_pos").alias("last"),
     )
-    return ends.filter("curves >= 2").select("run_id", "date", (F.col("top.capital") - F.col("bottom.capital")).alias("spread"))
+    return ends.filter("first < last").select("run_id", "date", (F.col("top") - F.col("bottom")).alias("spread"))

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
+SALT = "_salt"
+
+
+def salt_of(df: DataFrame, keys: Sequence[str], salts: int = SALTS) -> Column:
+    """A sub-key that depends on the row's contents alone.
+
+    A task run again after a lost executor must deal its rows as before, so neither row numbers
+    nor sums of floating-point numbers, which may come out in another order, take part.
+    """
+    others = [name for name in df.columns if name not in keys]
+    stable = [name for name, kind in df.dtypes if name in others and kind not in ("double", "float")]
+    return F.pmod(F.xxhash64(*(stable or others or keys)), F.lit(salts)).cast("int")
 
 
 def salted_join(
@@ -16,8 +28,9 @@ def salted_join(
     """Attach the few ``facts`` of each key to its many ``rows`` without one task per key.
 
     Each key's rows are dealt over ``salts`` sub-keys and its facts are repeated once for each.
-    Whether the small side is broadcast instead is left to its measured size at run time.
+    ``rows`` may bring its own ``_salt``. Whether the small side is broadcast instead is left to
+    its measured size at run time.
     """
-    dealt = rows.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
-    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+    dealt = rows if SALT in rows.columns else rows.withColumn(SALT, salt_of(rows, keys, salts))
+    copies = facts.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, SALT], how).drop(SALT)

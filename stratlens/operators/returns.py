@@ -150,5 +150,5 @@ def capital_to_portfolio(curves: DataFrame, initial_capital: float = 10000.0, st
 
 def first_strategy(curves: DataFrame) -> DataFrame:
     """Only each run's first curve (lowest column position)."""
-    heads = curves.groupBy("run_id").agg(F.min_by("strategy", "col_pos").alias("strategy"))
-    return curves.join(heads, ["run_id", "strategy"], "left_semi")
+    heads = curves.groupBy("run_id").agg(F.min("col_pos").alias("col_pos"))
+    return curves.join(heads, ["run_id", "col_pos"], "left_semi").select(*curves.columns)

@@ -38,12 +38,16 @@ def signal_fill_daily(signals: DataFrame, fills: DataFrame) -> DataFrame:
 def signal_fill_monthly(daily: DataFrame) -> DataFrame:
     """Mean conversion per month end, without gaps; a month without days has no value."""
     means = daily.groupBy("run_id", F.last_day("date").alias("month_end")).agg(F.avg("conversion").alias("conversion"))
-    spans = means.groupBy("run_id").agg(F.min("month_end").alias("_from"), F.max("month_end").alias("_to"))
-    first_days = F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))
-    spine = spans.select("run_id", F.explode(first_days).alias("_first")).select(
-        "run_id", F.last_day("_first").alias("month_end")
+    # One entry per calendar month, so a run's list stays short.
+    runs = means.groupBy("run_id").agg(
+        F.min("month_end").alias("_from"),
+        F.max("month_end").alias("_to"),
+        F.map_from_entries(F.collect_list(F.struct("month_end", "conversion"))).alias("_means"),
     )
-    return spine.join(means, ["run_id", "month_end"], "left")
+    first_days = F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))
+    months = runs.select("run_id", "_means", F.explode(first_days).alias("_first"))
+    month_end = F.last_day("_first")
+    return months.select("run_id", month_end.alias("month_end"), F.try_element_at("_means", month_end).alias("conversion"))
 
 
 def open_signals(signals: DataFrame) -> DataFrame:
@@ -58,23 +62,24 @@ def open_signal_oi(signals: DataFrame) -> DataFrame:
 
 def signal_day_coverage(signals: DataFrame, fills: DataFrame) -> DataFrame:
     """Entry-signal days with and without a fill; without any fills all of them are signal-only."""
-    entry_days = open_signals(signals).select("run_id", F.to_date("action_datetime").alias("date")).dropna().distinct()
-    fill_days = fills.select("run_id", F.to_date("datetime").alias("date"), F.lit(True).alias("filled")).dropna().distinct()
-    matched = entry_days.join(fill_days, ["run_id", "date"], "left").groupBy("run_id").agg(
-        F.count_if(F.col("filled")).alias("with_fill"), F.count_if(F.col("filled").isNull()).alias("signal_only")
-    )
-    runs = signals.select("run_id").distinct()
-    filled_runs = fills.select("run_id", F.lit(True).alias("has_fills")).distinct()
-    return (
-        runs.join(filled_runs, "run_id", "left")
-        .join(matched, "run_id", "left")
-        .select(
-            "run_id",
-            F.coalesce("has_fills", F.lit(False)).alias("has_fills"),
-            F.coalesce("with_fill", F.lit(0)).alias("days_with_fill"),
-            F.coalesce("signal_only", F.lit(0)).alias("days_signal_only"),
+
+    def marks(df: DataFrame, time: str, signal, entry, fill) -> DataFrame:
+        day = F.to_date(time)
+        return df.select(
+            "run_id", day.alias("date"), signal.alias("signal"), (entry & day.isNotNull()).alias("entry"), fill.alias("fill")
         )
+
+    yes, no = F.lit(True), F.lit(False)
+    opening = F.coalesce(F.col("offset") == "open", no)
+    both = marks(signals, "action_datetime", yes, opening, no).unionByName(marks(fills, "datetime", no, no, yes))
+    days = both.groupBy("run_id", "date").agg(*[F.bool_or(c).alias(c) for c in ("signal", "entry", "fill")])
+    runs = days.groupBy("run_id").agg(
+        F.bool_or("signal").alias("signal"),
+        F.bool_or("fill").alias("has_fills"),
+        F.count_if(F.col("entry") & F.col("fill")).alias("days_with_fill"),
+        F.count_if(F.col("entry") & ~F.col("fill")).alias("days_signal_only"),
     )
+    return runs.filter("signal").drop("signal")
 
 
 def roll_dates(rolls: DataFrame) -> DataFrame:
@@ -84,13 +89,11 @@ def roll_dates(rolls: DataFrame) -> DataFrame:
 
 def roll_events(portfolio: DataFrame, rolls: DataFrame, block: str | None = None) -> DataFrame:
     """Portfolio net value with roll dates marked, for runs that have a roll table."""
-    dates = roll_dates(rolls)
-    counts = (
-        rolls.select("run_id", "tradingday").distinct().groupBy("run_id").agg(F.count("tradingday").alias("roll_count"))
-    )
-    nav = salted_join(portfolio_nav(portfolio, block=block), counts, ["run_id"])
-    marked = nav.join(dates.withColumn("_roll", F.lit(True)), ["run_id", "date"], "left")
-    return marked.select("run_id", "date", "nav", F.coalesce("_roll", F.lit(False)).alias("is_roll"), "roll_count")
+    # A set of calendar dates: short whatever the size of the roll table.
+    dates = rolls.groupBy("run_id").agg(F.collect_set("tradingday").alias("_rolls"))
+    nav = salted_join(portfolio_nav(portfolio, block=block), dates, ["run_id"])
+    is_roll = F.coalesce(F.array_contains("_rolls", F.col("date")), F.lit(False))
+    return nav.select("run_id", "date", "nav", is_roll.alias("is_roll"), F.size("_rolls").cast("bigint").alias("roll_count"))
 
 
 def chart_events(picks: DataFrame, signals: DataFrame, fills: DataFrame) -> DataFrame:
@@ -104,4 +107,4 @@ def chart_events(picks: DataFrame, signals: DataFrame, fills: DataFrame) -> Data
     kinds = F.when(offset == "OPEN", "fill_open").when(offset == "CLOSE", "fill_close")
     traded = events(fills, "spread", "datetime", kinds).filter(F.col("kind").isNotNull())
     chosen = picks.select("run_id", "spread")
-    return entries.unionByName(traded).join(chosen, ["run_id", "spread"], "left_semi")
+    return salted_join(entries.unionByName(traded), chosen, ["run_id", "spread"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import side
-from stratlens.operators.joins import salted_join
+from stratlens.operators.joins import SALT, salt_of, salted_join
 from stratlens.operators.ordered import previous
 from stratlens.operators.returns import RUN
 
@@ -58,23 +58,30 @@ def pair_roundtrips(fills: DataFrame, block: str | None = None) -> DataFrame:
     )
 
 
-def _bounds(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _bounds(values: DataFrame, keys: Sequence[str], above: float | None) -> DataFrame:
     stats = values.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_rows"), F.stddev_samp("_v").alias("_sd")
     )
-    return stats.filter("_rows > 0")
+    return stats if above is None else stats.filter(F.col("_hi") > above)
 
 
 def _value_rows(df: DataFrame, value: Column | str, keys: Sequence[str]) -> DataFrame:
+    """Just the keys and the value, salted by what else the row holds before that is dropped."""
     column = F.col(value) if isinstance(value, str) else value
-    return df.select(*keys, column.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    kept = df.select(*keys, column.cast("double").alias("_v"), salt_of(df, keys).alias(SALT))
+    return kept.filter(F.col("_v").isNotNull())
 
 
-def histogram(df: DataFrame, value: Column | str, bins: int = 30, keys: Sequence[str] = RUN) -> DataFrame:
-    """Equal-width counts between each run's extremes; the last bin includes its upper edge."""
+def histogram(
+    df: DataFrame, value: Column | str, bins: int = 30, keys: Sequence[str] = RUN, above: float | None = None
+) -> DataFrame:
+    """Equal-width counts between each run's extremes; the last bin includes its upper edge.
+
+    With ``above``, only runs whose largest value exceeds it.
+    """
     values = _value_rows(df, value, keys)
     same = F.col("_lo") == F.col("_hi")
-    edges = _bounds(values, keys).select(
+    edges = _bounds(values, keys, above).select(
         *keys,
         F.when(same, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_from"),
         F.when(same, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_to"),
@@ -100,7 +107,14 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 30, keys: Sequence
     )
 
 
-def density(df: DataFrame, value: Column | str, points: int = 200, bins: int = 30, keys: Sequence[str] = RUN) -> DataFrame:
+def density(
+    df: DataFrame,
+    value: Column | str,
+    points: int = 200,
+    bins: int = 30,
+    keys: Sequence[str] = RUN,
+    above: float | None = None,
+) -> DataFrame:
     """Gaussian density on an even grid over each run's range, bandwidth by Scott's rule.
 
     ``curve`` is the density scaled to the counts of ``histogram``. A row touches only grid points
@@ -109,7 +123,7 @@ def density(df: DataFrame, value: Column | str, points: int = 200, bins: int = 3
     """
     reach = 9.0
     values = _value_rows(df, value, keys)
-    shape = _bounds(values, keys).filter("_sd > 0").select(
+    shape = _bounds(values, keys, above).filter("_sd > 0").select(
         *keys,
         "_lo",
         "_rows",

@@ -116,7 +116,7 @@ def spread_nav_picks(
     whole = portfolio_nav(portfolio, block=portfolio_block).select(
         "run_id", F.lit(PORTFOLIO_SERIES).alias("series"), "date", "nav", F.lit(True).alias("is_portfolio")
     )
-    return spreads.unionByName(salted_join(whole, symbol.select("run_id").distinct(), ["run_id"]))
+    return spreads.unionByName(salted_join(whole, picks.select("run_id").distinct(), ["run_id"]))
 
 
 def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:
@@ -249,20 +249,11 @@ def sector_box(symbol: DataFrame) -> DataFrame:
     at most one value per calendar day."""
     box = Window.partitionBy("run_id", "sector")
     quartiles = F.percentile("pnl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(box)
-    daily = sector_daily_pnl(symbol).withColumn("q", quartiles)
-    q1, q3 = F.col("q")[0], F.col("q")[2]
-    reach = (q3 - q1) * 1.5
-    above = F.when(F.col("pnl") >= q1 - reach, F.col("pnl"))
-    below = F.when(F.col("pnl") <= q3 + reach, F.col("pnl"))
-    grouped = daily.groupBy("run_id", "sector").agg(
-        F.first("q").alias("q"), F.min(above).alias("lowest"), F.max(below).alias("highest")
-    )
-    return grouped.select(
-        "run_id",
-        "sector",
-        q1.alias("q1"),
-        F.col("q")[1].alias("med"),
-        q3.alias("q3"),
-        F.least("lowest", q1).alias("whislo"),
-        F.greatest("highest", q3).alias("whishi"),
+    daily = sector_daily_pnl(symbol).withColumn("_q", quartiles)
+    boxed = daily.select("run_id", "sector", "pnl", *[F.col("_q")[i].alias(q) for i, q in enumerate(("q1", "med", "q3"))])
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    above = F.when(F.col("pnl") >= F.col("q1") - reach, F.col("pnl"))
+    below = F.when(F.col("pnl") <= F.col("q3") + reach, F.col("pnl"))
+    return boxed.groupBy("run_id", "sector", "q1", "med", "q3").agg(
+        F.least(F.min(above), F.col("q1")).alias("whislo"), F.greatest(F.max(below), F.col("q3")).alias("whishi")
     )

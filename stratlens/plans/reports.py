@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratlens.functions.columns import beyond_entry, is_gain, return_or_zero
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
+from stratlens.operators.joins import salted_join
 from stratlens.operators.ordered import MAX_SERIES_ROWS, choose_block
 from stratlens.operators.returns import daily_order
 from stratlens.sources.tables import RunTables
@@ -64,10 +65,8 @@ def roundtrips(fills: DataFrame) -> DataFrame:
 
 
 def holding_hours(matched: DataFrame) -> DataFrame:
-    """Holding time in hours, for runs where any trade was held at all."""
-    held = matched.groupBy("run_id").agg(F.max("holding_minutes").alias("_longest")).filter("_longest > 0")
-    hours = matched.select("run_id", (F.col("holding_minutes") / 60).alias("hours"))
-    return trades.salted_join(hours, held.select("run_id"), ["run_id"])
+    """Holding time of every trade in hours."""
+    return matched.withColumn("hours", F.col("holding_minutes") / 60)
 
 
 # --- diagnostics -------------------------------------------------------------
@@ -75,9 +74,9 @@ def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> Dat
     """Close and z-score of each run's diagnostic spreads, with the threshold bands."""
     cut, block = choose_block(bars, ["spread"], ["datetime", "row_id"])
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n).select("run_id", "spread")
-    wanted = trades.salted_join(cut, picks.select("spread").distinct(), ["spread"])
+    wanted = salted_join(cut, picks.select("spread").distinct(), ["spread"])
     scored = rolling.zscore(wanted, options.lookback, block=block)
-    return trades.salted_join(scored, picks, ["spread"]).select(
+    return salted_join(scored, picks, ["spread"]).select(
         "run_id",
         "spread",
         "datetime",
@@ -130,8 +129,8 @@ def _r06(t: RunTables, o: Options) -> Datasets:
         "roundtrips": matched,
         "roundtrip_pnl_hist": trades.histogram(matched, "gross_pnl", o.bins),
         "roundtrip_pnl_density": trades.density(matched, "gross_pnl", bins=o.bins),
-        "holding_hours_hist": trades.histogram(hours, "hours", o.bins),
-        "holding_hours_density": trades.density(hours, "hours", bins=o.bins),
+        "holding_hours_hist": trades.histogram(hours, "hours", o.bins, above=0.0),
+        "holding_hours_density": trades.density(hours, "hours", bins=o.bins, above=0.0),
     }
 
 

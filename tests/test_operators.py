@@ -194,7 +194,8 @@ def test_density_integrates(spark):
 
 def test_holding_needs_some_time(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 90.0), ("b", 0.0)], "run_id string, holding_minutes double")
-    assert sorted((r["run_id"], r["hours"]) for r in reports.holding_hours(df).collect()) == [("a", 0.0), ("a", 1.5)]
+    rows = trades.histogram(reports.holding_hours(df), "hours", 3, above=0.0).orderBy("bin").collect()
+    assert [(r["run_id"], r["lo"], r["hi"], r["n"]) for r in rows] == [("a", 0.0, 0.5, 1), ("a", 0.5, 1.0, 0), ("a", 1.0, 1.5, 1)]
 
 
 def test_picks(spark):
