@@ -104,7 +104,8 @@ def summarize_returns(df: DataFrame, keys: Sequence[str] = RUN, block: str | Non
 def monthly_returns(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Summed return per calendar month."""
     return (
-        df.groupBy(*keys, F.year("date").alias("year"), F.month("date").alias("month"))
+        df.filter(F.col("date").isNotNull())
+        .groupBy(*keys, F.year("date").alias("year"), F.month("date").alias("month"))
         .agg(F.sum(return_or_zero()).alias("ret"))
         .withColumn("label", month_label(F.make_date("year", "month", F.lit(1))))
         .withColumn("is_gain", is_gain("ret"))
@@ -113,7 +114,8 @@ def monthly_returns(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
 
 def annual_returns(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     """Summed return per calendar year."""
-    yearly = df.groupBy(*keys, F.year("date").alias("year")).agg(F.sum(return_or_zero()).alias("ret"))
+    dated = df.filter(F.col("date").isNotNull())
+    yearly = dated.groupBy(*keys, F.year("date").alias("year")).agg(F.sum(return_or_zero()).alias("ret"))
     return yearly.withColumn("is_gain", is_gain("ret"))
 
 

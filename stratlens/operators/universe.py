@@ -123,14 +123,21 @@ def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:
     """Monthly return of the largest spreads, over every month any of them traded (else zero)."""
     picks = largest_spreads(spread_totals(symbol), n).select("run_id", "spread")
     monthly = (
-        symbol.join(picks, ["run_id", "spread"])
+        symbol.filter(F.col("date").isNotNull())
+        .join(picks, ["run_id", "spread"])
         .groupBy("run_id", "spread", month_label().alias("ym"))
         .agg(F.sum(return_or_zero()).alias("ret"))
     )
-    months = monthly.select("run_id", "ym").distinct()
-    grid = picks.join(months, "run_id")
-    filled = grid.join(monthly, ["run_id", "spread", "ym"], "left")
-    return filled.select("run_id", "spread", "ym", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    # At most n spreads per run, each with one entry per calendar month.
+    line = F.map_from_entries(F.collect_list(F.struct("ym", "ret")))
+    lines = monthly.groupBy("run_id", "spread").agg(line.alias("line"))
+    runs = lines.groupBy("run_id").agg(
+        F.collect_list(F.struct("spread", "line")).alias("lines"),
+        F.array_distinct(F.flatten(F.collect_list(F.map_keys("line")))).alias("months"),
+    )
+    cells = runs.select("run_id", "months", F.inline("lines")).select("run_id", "spread", "line", F.explode("months").alias("ym"))
+    ret = F.coalesce(F.try_element_at("line", F.col("ym")), F.lit(0.0))
+    return cells.select("run_id", "spread", "ym", ret.alias("ret"))
 
 
 def active_spreads_per_day(symbol: DataFrame) -> DataFrame:
@@ -164,7 +171,8 @@ def pick_cells(symbol: DataFrame, n: int = 50) -> DataFrame:
     """Summed return per run, date and picked spread, with the pick's number."""
     picks = active_spreads(spread_totals(symbol), n).select("run_id", "spread", F.col("rank").alias("pick"))
     return (
-        symbol.join(picks, ["run_id", "spread"])
+        symbol.filter(F.col("date").isNotNull())
+        .join(picks, ["run_id", "spread"])
         .groupBy("run_id", "date", "pick", "spread")
         .agg(_total(F.col("daily_pnl_pct").cast("double")).alias("ret"))
     )

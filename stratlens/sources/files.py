@@ -40,11 +40,11 @@ def escape_glob(text: str) -> str:
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in text)
 
 
-def glob(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths matching a pattern, in name order; none if there are none."""
+def glob(spark: SparkSession, pattern: str, folders: bool = False) -> list[str]:
+    """Files (or folders) matching a pattern, in name order; none if there are none."""
     hadoop, fs = _filesystem(spark, pattern)
     found = fs.globStatus(hadoop)
-    return sorted(status.getPath().toString() for status in found or [])
+    return sorted(status.getPath().toString() for status in found or [] if status.isDirectory() == folders)
 
 
 def is_dir(spark: SparkSession, path: str) -> bool:

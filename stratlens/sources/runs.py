@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratlens import schemas
 from stratlens.functions.columns import finite, lenient_timestamp, strict_timestamp
-from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, path_part, read_tables, relative
+from stratlens.sources.files import InputFile, escape_glob, glob, path_part, read_tables, relative
 from stratlens.sources.tables import RunTables, empty_table
 
 # --- fixed values: where a run keeps its tables -------------------------------
@@ -59,10 +59,11 @@ def normalize(df: DataFrame, headers: Mapping[str, str], layout: Mapping[str, st
 
 def list_runs(spark: SparkSession, root: str, run_ids: Iterable[str] | None = None) -> list[str]:
     """The runs below ``root``; asking for one that has no folder is an error."""
+    found = [relative(spark, root, path) for path in glob(spark, f"{escape_glob(root)}/*", folders=True)]
     if run_ids is None:
-        return [relative(spark, root, path) for path in glob(spark, f"{escape_glob(root)}/*") if is_dir(spark, path)]
+        return found
     wanted = list(run_ids)
-    missing = [run for run in wanted if not is_dir(spark, f"{root}/{run}")]
+    missing = sorted(set(wanted) - set(found))
     if missing:
         raise FileNotFoundError(f"no folder for runs {missing} below {root}")
     return wanted

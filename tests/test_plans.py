@@ -13,7 +13,6 @@ from stratlens.operators.joins import salted_join
 from stratlens.plans import reports
 
 SF_DIR = "/root/testdata/sf0.001"
-SCALAR = {"run_radar", "return_vs_drawdown"}  # a count of the runs, one row per task
 
 
 def plan(df) -> str:
@@ -34,11 +33,6 @@ def no_broadcast(spark):
         spark.conf.unset(name)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SCALAR))
-def test_no_single_partition(spark, name):
-    assert "SinglePartition" not in plan(entry.queries()[name](spark, SF_DIR))
-
-
 def test_columns_are_pruned(spark):
     text = plan(entry.queries()["monthly_returns"](spark, SF_DIR))
     for unused in ("l_orderkey", "l_quantity", "p_name", "p_type"):
