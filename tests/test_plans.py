@@ -37,7 +37,7 @@ def test_columns_are_pruned(spark):
     text = plan(entry.queries()["monthly_returns"](spark, SF_DIR))
     for unused in ("l_orderkey", "l_quantity", "p_name", "p_type"):
         assert unused not in text
-    assert "PushedFilters: [IsNotNull(l_partkey)]" in text
+    assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_partkey)]" in text
 
 
 def test_windows_share_one_exchange(spark):
