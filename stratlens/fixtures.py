@@ -117,8 +117,9 @@ def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(_layout(path)).parquet(path)
 
 
+@lru_cache
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture view over the parquet files of ``sf_dir``."""
+    """One fixture view over the parquet files of ``sf_dir``; only its plan is kept, not its rows."""
     text = f"{with_views(name)} select * from {name}"
     used = [table for table in RAW_TABLES if re.search(rf"\b(from|join) {table}\b", text)]
     for table in used:

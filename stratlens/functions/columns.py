@@ -19,14 +19,13 @@ def _letters(text: Column) -> Column:
 def product_prefix(spread: Column | str) -> Column:
     """Upper-case letters of the first leg; a leg without letters keeps its first two characters."""
     leg = F.split_part(F.coalesce(_col(spread), F.lit("nan")), F.lit("&"), F.lit(1))
-    return F.when(F.length(_letters(leg)) > 0, F.upper(_letters(leg))).otherwise(F.substring(leg, 1, 2))
+    return F.coalesce(F.nullif(F.upper(_letters(leg)), F.lit("")), F.substring(leg, 1, 2))
 
 
 def spread_product(spread: Column | str) -> Column:
     """Lower-case letters of the first leg; a leg without letters keeps its first character."""
     leg = F.split_part(F.coalesce(_col(spread), F.lit("nan")), F.lit("&"), F.lit(1))
-    kept = F.when(F.length(_letters(leg)) > 0, _letters(leg)).otherwise(F.substring(leg, 1, 1))
-    return F.lower(kept)
+    return F.lower(F.coalesce(F.nullif(_letters(leg), F.lit("")), F.substring(leg, 1, 1)))
 
 
 def spread_pair_folder(spread: Column | str) -> Column:
