@@ -19,6 +19,15 @@ from stratlens.plans import reports
 from stratlens.schemas import PORTFOLIO, PORTFOLIO_HEADERS
 from stratlens.sources.runs import normalize
 
+try:  # a checkout may come without the training-data operators and their pipeline
+    from stratlens.llm import queries as llm
+except ModuleNotFoundError:
+    llm = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError:
+    corpus_pipeline = None
+
 # Twenty bars instead of the usual 300: at the small scale factors no spread has 300 events.
 BAR_OPTIONS = reports.Options(lookback=20)
 
@@ -129,6 +138,11 @@ def _localised_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    more = llm.queries() if llm else {}
+    return _analytics() | more | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+
+
+def _analytics() -> dict[str, Query]:
     r, u, on = reports, universe, _on_tables
     return {
         # portfolio
@@ -386,6 +400,12 @@ from kernel"""
 
 
 def oracle_sql() -> dict[str, str]:
+    more = llm.oracle_sql() if llm else {}
+    pipeline = corpus_pipeline.ORACLE_SQL if corpus_pipeline else None
+    return _analytics_sql() | more | ({"pipeline": pipeline} if pipeline else {})
+
+
+def _analytics_sql() -> dict[str, str]:
     port, sym = "fx_portfolio", "fx_symbol"
     monthly = "select run_id, year(date) as year, month(date) as month, sum(daily_pnl_pct) as ret from fx_portfolio group by all"
     capital_rows = """
