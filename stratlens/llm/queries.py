@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import minhash
+from stratlens.llm import minhash, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,14 @@ def _minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
+        "op7_best_fit_packing": _packing,
     }
 
 
