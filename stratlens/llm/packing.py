@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratlens.llm import shared, text
-from stratlens.llm.tokens import PartCache, packed
+from stratlens.llm.tokens import WordCache, packed
 
-CAPACITY, END, SLACK, GROUP = 1024, 2, 8, 5_000
+CAPACITY, END, SLACK, GROUP, SLICE = 1024, 2, 8, 5_000, 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -32,14 +32,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _encoder(path: str) -> PartCache:
+def _encoder(path: str) -> WordCache:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        return (packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts)
+    def encode(texts: list[str]) -> Iterator[tuple[bytes]]:
+        return ((packed(tokenizer.encode(t, add_special_tokens=False).ids),) for t in texts)
 
-    return PartCache(encode)
+    return WordCache(encode)
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -53,11 +53,11 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         encoder, end = _encoder(path), packed([END])
         for batch in batches:
             offsets, _ = text.utf8(batch.column("text"))
-            for i, j in text.slices(offsets):
+            for i, j in text.slices(offsets, SLICE):
                 ids = batch.column("doc_id").slice(i, j - i).to_pylist()
                 texts = [t or "" for t in batch.column("text").slice(i, j - i).to_pylist()]
                 rows = []
-                for doc_id, code in zip(ids, encoder.ids(texts), strict=True):
+                for doc_id, (code,) in zip(ids, encoder.joined(texts), strict=True):
                     code += end
                     n = len(code) // 4
                     starts = [0, *range((n - 1) % capacity + 1, n, capacity)]
