@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, minhash, packing
+from stratlens.llm import bpe, minhash, packing, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,16 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
         "op6_byte_level_bpe": _bpe,
         "op7_best_fit_packing": _packing,
+        "op10_suffix_array_dedup": _suffixes,
     }
 
 
