@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, minhash, packing, rules, suffixes
+from stratlens.llm import bpe, language, minhash, packing, rules, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
         "op3_quality_rules": _rules,
+        "op5_language_id": _language,
         "op6_byte_level_bpe": _bpe,
         "op7_best_fit_packing": _packing,
         "op10_suffix_array_dedup": _suffixes,
