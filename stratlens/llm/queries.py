@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, language, minhash, packing, rules, suffixes
+from stratlens.llm import bpe, language, minhash, packing, rules, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def _bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
         "op3_quality_rules": _rules,
+        "op4_warc_chunks": _warc,
         "op5_language_id": _language,
         "op6_byte_level_bpe": _bpe,
         "op7_best_fit_packing": _packing,
