@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, language, minhash, packing, rules, suffixes, warc
+from stratlens.llm import bpe, html, language, minhash, packing, rules, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_table(spark, sf_dir, "pages"))
+
+
 def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": _language,
         "op6_byte_level_bpe": _bpe,
         "op7_best_fit_packing": _packing,
+        "op8_html_style_tree": _html,
         "op10_suffix_array_dedup": _suffixes,
     }
 
