@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, html, language, minhash, packing, rules, suffixes, warc
+from stratlens.llm import bpe, hnsw, html, language, minhash, packing, rules, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(_table(spark, sf_dir, "pages"))
 
 
+def _hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op6_byte_level_bpe": _bpe,
         "op7_best_fit_packing": _packing,
         "op8_html_style_tree": _html,
+        "op9_hnsw_near_dedup": _hnsw,
         "op10_suffix_array_dedup": _suffixes,
     }
 

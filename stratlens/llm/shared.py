@@ -39,6 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """Mark a checkpointed list of keys for broadcast if it is counted to be short; else leave the join to Spark."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the links (a, b) can reach.
 
