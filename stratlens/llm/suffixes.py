@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ _PLACE = 20
 _BYTES = text.randoms(256, 21)
 _STEPS = text.randoms(16, 22) | np.uint64(1)
 
-SCAN = "doc_id long, key string, n_bytes long, sha string, anchor array<long>, first array<int>, last array<int>, place array<int>"
-PIECE = "key string, first int, anchor long, low int, high int, piece binary, digest binary"
+SCAN = "doc_id long, key string, n_bytes long, sha string, anchors array<long>, again array<boolean>"
+PIECE = "key string, first int, anchor long, low int, high int, digest binary"
 GROUPED = "grp binary, grid_low int, grid_high int, anchor long, digest binary, low int, high int, piece binary, seen binary"
 RANGES = "anchor long, digest binary, ranges array<struct<low:int,high:int>>"
 
@@ -141,39 +142,44 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), (edges[1::2] - 1).tolist()
 
 
+def _anchors_of_texts(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """anchors() of each text, one after the other: the number for each text, then first, last, place and hash."""
+    base = offsets[0]
+    part = data[base : offsets[-1]]
+    first = last = place = np.zeros(0, np.int64)
+    grams = np.zeros(0, np.uint64)
+    if len(part) >= length:
+        first, last, place, grams = anchors(part, length)
+    begins, ends = offsets[:-1] - base, offsets[1:] - base - length
+    # Windows across two texts are not windows: clip the runs to each text.
+    low = np.searchsorted(last, begins)
+    high = np.where(ends >= begins, np.maximum(np.searchsorted(first, ends, "right"), low), low)
+    counts = high - low
+    take = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.repeat(begins, counts)
+    clipped = np.maximum(first[take], start) - start, np.minimum(last[take], np.repeat(ends, counts)) - start
+    return counts, *clipped, place[take] - start, grams[take].view(np.int64)
+
+
 def _scan(length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text.utf8(batch.column("text"))
             for i, j in text.slices(offsets):
-                base, lists = offsets[i], []
-                part = data[base : offsets[j]]
-                first = last = place = anchor = np.zeros(0, np.int64)
-                if len(part) >= length:
-                    first, last, place, anchor = anchors(part, length)
-                begins = offsets[i:j] - base
-                ends = offsets[i + 1 : j + 1] - base - length  # last window of each text
-                counts = []
-                # Windows across two texts are not windows: clip the runs to each text.
-                low = np.searchsorted(last, begins)
-                high = np.maximum(np.searchsorted(first, ends, "right"), low)
-                high = np.where(ends >= begins, high, low)
-                counts = high - low
-                take = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = np.repeat(begins, counts)
-                columns = (
-                    anchor[take].astype(np.uint64).view(np.int64),
-                    (np.maximum(first[take], start) - start).astype(np.int32),
-                    (np.minimum(last[take], np.repeat(ends, counts)) - start).astype(np.int32),
-                    (place[take] - start).astype(np.int32),
-                )
-                bounds = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in columns]
+                counts, _, _, _, grams = _anchors_of_texts(offsets[i : j + 1], data, length)
+                once, again, n = [], [], []
+                for part in np.split(grams, np.cumsum(counts)[:-1]):
+                    values, times = np.unique(part, return_counts=True)
+                    once.append(values)
+                    again.append(times > 1)
+                    n.append(len(values))
+                bounds = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(c))) for c in (once, again)]
                 sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i),
                      pa.array(np.diff(offsets[i : j + 1])), pa.array(sha, pa.string()), *lists],
-                    ["doc_id", "key", "n_bytes", "sha", "anchor", "first", "last", "place"],
+                    ["doc_id", "key", "n_bytes", "sha", "anchors", "again"],
                 )
 
     return scan
@@ -184,26 +190,30 @@ def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _cut_pieces(length: int):
+def _cut_pieces(length: int, with_bytes: bool):
+    """Pieces around the anchors that a text is listed with; the bytes only on request."""
     schema = pa.schema(
         [("key", pa.string()), ("first", pa.int32()), ("anchor", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
-         ("piece", pa.binary()), ("digest", pa.binary())]
+         ("digest", pa.binary()), *([("piece", pa.binary())] if with_bytes else [])]
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, size = [], 0
-            for key, document, found in zip(batch["key"], batch["text"], batch["anchors"], strict=True):
-                data, key = document.as_py().encode(), key.as_py()
-                for x in found.as_py():
-                    first, low, high = x["first"], x["first"] - x["place"], x["last"] - x["place"]
-                    piece = data[first : x["last"] + length]
-                    rows.append((key, first, x["anchor"], low, high, piece, xxhash.xxh3_128_digest(piece, low & 0xFFFFFFFF)))
-                    size += len(piece)
-                if size > 4 << 20:
-                    yield _emit(rows, schema)
-                    rows, size = [], 0
-            yield _emit(rows, schema)
+            offsets, data = text.utf8(batch.column("text"))
+            for i, j in text.slices(offsets):
+                counts, first, last, place, grams = _anchors_of_texts(offsets[i : j + 1], data, length)
+                at, rows, raw = 0, [], data[offsets[i] : offsets[j]].tobytes()
+                for k, n in enumerate(counts.tolist()):
+                    key, begin = batch["key"][i + k].as_py(), int(offsets[i + k] - offsets[i])
+                    wanted = set(batch["anchors"][i + k].as_py())
+                    own = zip(*(c[at : at + n].tolist() for c in (first, last, place, grams)), strict=True)
+                    for a, b, p, anchor in own:
+                        if anchor in wanted:
+                            piece = raw[begin + a : begin + b + length]
+                            digest = xxhash.xxh3_128_digest(piece, (a - p) & 0xFFFFFFFF)
+                            rows.append((key, a, anchor, a - p, b - p, digest, *([piece] if with_bytes else [])))
+                    at += n
+                yield _emit(rows, schema)
 
     return cut
 
@@ -275,7 +285,7 @@ def _sort_groups(length: int):
 
 def _shorten(length: int):
     schema = pa.schema(
-        [("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()),
+        [("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("shorter", pa.string()),
          ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
     )
 
@@ -293,8 +303,9 @@ def _shorten(length: int):
                 for low, high in spans:
                     kept.append(data[at:low])
                     at = high
+                left = b"".join([*kept, data[at:]])
                 rows.append(
-                    (key.as_py(), sum(b - a for a, b in spans), len(spans), b"".join([*kept, data[at:]]),
+                    (key.as_py(), sum(b - a for a, b in spans), len(spans), left, left.decode(errors="ignore"),
                      [{"start": a, "stop": b} for a, b in spans])
                 )
             yield _emit(rows, schema)
@@ -314,26 +325,27 @@ def _repeats(pieces: DataFrame, length: int, group: int) -> DataFrame:
         F.col("anchor").cast("string").cast("binary").alias("grp"), F.lit(GRAM - length).alias("grid_low"),
         F.lit(0).alias("grid_high"), "anchor", "digest", "low", "high", "piece", F.col("digest").alias("seen"),
     )
-    small: list[DataFrame] = []
+    ready: list[DataFrame] = []
     while True:
         big = rows.groupBy("grp").agg(F.count("*").alias("size"), (F.min("seen") == F.max("seen")).alias("equal"))
         big = shared.cut(big.where(F.col("size") > group))
         if big.isEmpty():
             break
-        equal, hot = big.where("equal").select("grp"), big.where("not equal").select("grp")
-        found = found.union(rows.join(equal, "grp", "left_semi").select("anchor", "digest", whole.alias("ranges")))
-        small.append(rows.join(big.select("grp"), "grp", "left_anti"))
-        rows = shared.table(rows.join(hot, "grp", "left_semi").mapInArrow(_halve(length), GROUPED), "halves")
-    for more in small:
+        marked = rows.join(shared.small(big), "grp")
+        found = found.union(marked.where("equal").select("anchor", "digest", whole.alias("ranges")))
+        ready.append(rows.join(shared.small(big.select("grp")), "grp", "left_anti"))
+        rows = shared.table(marked.where("not equal").drop("size", "equal").mapInArrow(_halve(length), GROUPED), "halves")
+    for more in ready:
         rows = rows.unionByName(more)
     ordered = rows.repartition("grp").sortWithinPartitions("grp")
     return found.union(ordered.mapInArrow(_sort_groups(length), RANGES))
 
 
 def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """One row per row of docs (doc_id, text): n_bytes, n_removed, n_spans, sha (of what is kept), kept (bytes) and spans.
+    """One row per row of docs (doc_id, text): n_bytes, n_removed, n_spans, sha, kept (bytes), shorter (text) and spans.
 
-    kept and spans are null where nothing is removed, and for texts that repeat as a whole (nothing is kept).
+    kept, shorter and spans are null where nothing is removed; a text that repeats as a whole keeps nothing and its
+    spans are null. shorter is kept without what a cut left of a character.
     Bytes are removed if a string of length bytes that covers them starts at two places or more, in one
     document or several; a repeated row is a second place. Nulls count as empty, and texts shorter than
     length lose nothing. A null doc_id is allowed. Other columns are ignored; an empty table gives an empty result.
@@ -343,19 +355,16 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
     scan = shared.table(source.mapInArrow(_scan(length), SCAN), "anchors")
     classes = shared.cut(scan.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
     one = scan.join(classes.select("key", "rep"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    zipped = F.arrays_zip("anchor", "first", "last", "place")
-    places = one.select("key", "rep", F.inline(zipped))
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    candidates = places.join(twice, "anchor").groupBy("key", "rep").agg(
-        F.collect_list(F.struct("anchor", "first", "last", "place")).alias("anchors")
-    )
+    places = one.select("key", "rep", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("again").alias("again"))))
+    twice = places.groupBy("anchor").agg((F.count("*") + F.count_if("again")).alias("n")).where("n > 1").select("anchor")
+    candidates = places.join(twice, "anchor").groupBy("key", "rep").agg(F.collect_list("anchor").alias("anchors"))
     texts = source.join(
         candidates.withColumnRenamed("key", "own"),
         F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("own")),
     ).select("key", "text", "anchors")
     texts = shared.table(texts, "candidates")
-    pieces = shared.table(texts.mapInArrow(_cut_pieces(length), PIECE), "cuts")
-    ranges = _repeats(pieces, length, group)
+    ranges = _repeats(texts.mapInArrow(_cut_pieces(length, True), PIECE + ", piece binary"), length, group)
+    pieces = texts.mapInArrow(_cut_pieces(length, False), PIECE)
     # Ranges are around the anchor; first - low is the anchor's place in the text.
     at = F.col("first") - F.col("low")
     moved = F.transform("ranges", lambda r: F.struct((r["low"] + at).alias("low"), (r["high"] + at).alias("high")))
@@ -364,7 +373,7 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
     )
     found = spans.groupBy("key").agg(F.collect_list("ranges").alias("found"))
     changed = texts.select("key", "text").join(found, "key").mapInArrow(
-        _shorten(length), "key string, n_removed long, n_spans long, kept binary, spans array<struct<start:long,stop:long>>"
+        _shorten(length), "key string, n_removed long, n_spans long, kept binary, shorter string, spans array<struct<start:long,stop:long>>"
     ).dropDuplicates(["key"])
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     gone = F.sha2(F.lit("").cast("binary"), 256)
@@ -376,7 +385,7 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
             F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
             F.when(whole, gone).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha")).alias("sha"),
-            kept.alias("kept"), "spans",
+            kept.alias("kept"), F.when(whole, "").otherwise(F.col("shorter")).alias("shorter"), "spans",
         )
     )
 
@@ -384,3 +393,21 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs; cases as in shortened()."""
     return shortened(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs, with all their columns; text (and n_chars, if there is one) without what shortened() removes."""
+    changed = shortened(docs, length).where("n_removed > 0").dropDuplicates(["doc_id", "key"]).select(
+        F.col("doc_id").alias("changed_id"), F.col("key").alias("changed_key"), F.col("shorter").alias("changed_text")
+    )
+    names = {c: f"{c}_{uuid.uuid4().hex}" for c in changed.columns}
+    changed = changed.withColumnsRenamed(names)
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["changed_id"])) & (key == F.col(names["changed_key"]))
+    rows = docs.join(changed, same, "left")
+    new = F.col(names["changed_text"])
+    columns = {"text": F.coalesce(new, F.col("text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(new.isNull(), F.col("n_chars")).otherwise(F.length(new).cast(kind))
+    return rows.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
