@@ -18,6 +18,7 @@ Chances of missing a pair of similarity exactly 0.85: 4e-7 by the bands, 3e-7 by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ _A = text.randoms(HASHES, 11).astype(np.uint32) | np.uint32(1)
 _B = text.randoms(HASHES, 12).astype(np.uint32)
 _BAND = text.randoms(BANDS * ROWS, 13) | np.uint64(1)
 
-FEATURES = "doc_id long, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+FEATURES = "doc_id long, text_key string, n_shingles long, digest binary, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -83,8 +84,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), n, digest, *planes, lists],
-                ["doc_id", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands"],
+                [batch.column("doc_id").slice(i, j - i), batch.column("text_key").slice(i, j - i), n, digest, *planes, lists],
+                ["doc_id", "text_key", "n_shingles", "digest", "s0", "s1", "s2", "s3", "bands"],
             )
 
 
@@ -157,8 +158,12 @@ def _block_links(percent: int):
     return links
 
 
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; more columns are ignored).
+    """doc_id, text_key, n_shingles, component_id and kept for each row of docs (doc_id, text; more columns are ignored).
 
     Two documents are linked if the shingles they share are at least percent of those of either one.
     Nulls and empty texts have no shingles and stay alone; fewer than five words count as one shingle;
@@ -166,13 +171,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     doc_id is no representative: such a row is kept only if no row with an id has its set.
     An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
     rows = shared.table(docs.mapInArrow(_features, FEATURES), "minhash")
     full = rows.where("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     signed = (
         full.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id")
-        .where("digest = own").drop("own", "digest").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+        .where("digest = own").drop("own", "digest").withColumnRenamed("doc_id", "rep").drop("text_key").dropDuplicates(["rep"])
     )
     signed = shared.table(signed, "representatives")
     banded = signed.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -217,8 +222,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         .select("digest", F.coalesce("component", "rep").alias("class_id"))
     )
-    out = rows.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "digest").join(labelled, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps; of repeated rows one stays."""
+    judged = shared.cut(near_duplicates(docs, percent).where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")))
+    own_id, own_key = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "key"))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (text_key() == F.col(own_key))
+    rows = docs.join(judged.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)), mine, "left_semi")
+    return rows if judged.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])

@@ -10,6 +10,7 @@ conditional expressions; the default verdict is to keep.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -22,6 +23,9 @@ from stratlens.llm import shared
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+COUNTS = (
+    "n_words", "n_distinct_words", "n_repeat_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_lines", "n_dup_lines",
+)
 # At most about this many labelled rows are used for learning.
 SAMPLE, BINS = 20_000, 16
 PRECISION, LEAST_COVERED, MOST_CONDITIONS, MOST_RULES = 0.9, 20, 3, 12
@@ -84,23 +88,26 @@ def statistics(text: Column) -> Column:
     return _let(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), with_words)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(within: str = "") -> Column:
+    """By the counts in columns, or in fields of the struct that within names (with a dot at its end)."""
+    words = F.col(f"{within}n_words")
+    return (words < 10) | (100 * F.col(f"{within}n_repeat_words") > 20 * words)
 
 
-def features() -> dict[str, Column]:
+def features(within: str = "") -> dict[str, Column]:
     """What conditions compare: shares in a thousand and means, from the counts."""
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    count = {name: F.col(within + name) for name in COUNTS}
+    words, chars, lines = (F.greatest(count[n], F.lit(1)) for n in ("n_words", "word_chars", "n_lines"))
     return {
-        "n_words": F.col("n_words").cast("double"),
-        "symbols": 1000.0 * F.col("n_symbols") / chars,
-        "exclamations": 1000.0 * F.col("n_exclamations") / words,
-        "capitals": 1000.0 * F.col("n_capitals") / chars,
-        "repeated": 1000.0 * F.col("n_repeat_words") / words,
-        "distinct": 1000.0 * F.col("n_distinct_words") / words,
-        "dup_lines": 1000.0 * F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "word_length": F.col("word_chars") / words,
-        "line_words": F.col("n_words") / F.greatest("n_lines", F.lit(1)),
+        "n_words": count["n_words"].cast("double"),
+        "symbols": 1000.0 * count["n_symbols"] / chars,
+        "exclamations": 1000.0 * count["n_exclamations"] / words,
+        "capitals": 1000.0 * count["n_capitals"] / chars,
+        "repeated": 1000.0 * count["n_repeat_words"] / words,
+        "distinct": 1000.0 * count["n_distinct_words"] / words,
+        "dup_lines": 1000.0 * count["n_dup_lines"] / lines,
+        "word_length": count["word_chars"] / words,
+        "line_words": count["n_words"] / lines,
     }
 
 
@@ -110,8 +117,8 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = features()[self.feature]
+    def column(self, within: str = "") -> Column:
+        value = features(within)[self.feature]
         return value > self.threshold if self.above else value <= self.threshold
 
 
@@ -220,14 +227,27 @@ def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[lis
     return rules
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
+def verdict(rules: list[list[Condition]], within: str = "") -> Column:
     """Keep, unless a rule of the list rejects."""
     column = F.lit(True)
     for rule in reversed(rules):
-        column = F.when(reduce(lambda a, b: a & b, [c.column() for c in rule]), F.lit(False)).otherwise(column)
+        column = F.when(reduce(lambda a, b: a & b, [c.column(within) for c in rule]), F.lit(False)).otherwise(column)
     return column
 
 
+def _statistics(docs: DataFrame) -> DataFrame:
+    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return shared.table(stats, "statistics")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that judged() keeps. The verdict reads the row itself, not its id."""
+    found = learn(_statistics(docs), labels, sample)
+    name = f"statistics_{uuid.uuid4().hex}"
+    keep = ~base_failed(f"{name}.") & verdict(found, f"{name}.")
+    return docs.withColumn(name, statistics(F.col("text"))).where(keep).drop(name)
+
+
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, counts, base_failed and kept for each row of docs (doc_id, text).
 
@@ -235,7 +255,6 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     other; other columns are ignored; an empty table gives an empty result; without labels the base rule
     decides alone.
     """
-    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
-    stats = shared.table(stats, "statistics")
+    stats = _statistics(docs)
     kept = ~base_failed() & verdict(learn(stats, labels, sample))
     return stats.select("*", base_failed().alias("base_failed"), kept.alias("kept"))
