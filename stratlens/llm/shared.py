@@ -47,21 +47,24 @@ def small(df: DataFrame, most: int = 20_000) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of the links (a, b) can reach.
 
-    Every node hooks to its smallest smaller neighbour, the parent map is shortened twice by joining it
-    with itself, and the links are renamed by it; links inside one root vanish. A chain shrinks at least
-    by half a round, so the rounds grow with the logarithm of the longest path. All groupings are
-    partial sums of a minimum; no component is gathered.
+    Every node hooks to its smallest smaller neighbour, the parent map is joined with itself until all paths end at
+    their roots, and the links are renamed by it; links inside one root vanish. Of the nodes with a link
+    left at most half are roots, so the rounds grow with the logarithm of their number. All groupings
+    are partial sums of a minimum; no component is gathered.
     """
     links = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = cut(links.distinct())
     result = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     result = result.select("id", F.col("id").alias("component"))
     while not links.isEmpty():
-        parent = links.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent"))
-        for _ in range(2):
+        parent = cut(links.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent")))
+        while True:  # to the roots: paths halve
             up = parent.select(F.col("child").alias("parent"), F.col("parent").alias("up"))
-            parent = parent.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"))
-        parent = cut(parent)
+            parent = cut(parent.join(up, "parent", "left").select("child", F.coalesce("up", "parent").alias("parent"), "up"))
+            if parent.where("up is not null").isEmpty():
+                break
+            parent = parent.drop("up")
+        parent = parent.drop("up")
         for end in ("a", "b"):
             renamed = parent.select(F.col("child").alias(end), "parent")
             links = links.join(renamed, end, "left").withColumn(end, F.coalesce("parent", end)).drop("parent")
