@@ -153,9 +153,7 @@ def _grow(cells: list[Cell], names: list[str], bins: dict[str, int]) -> list[tup
                 for above, b, g in ((False, below_bad, below_good), (True, bad - below_bad, good - below_good)):
                     if b:
                         value = b * (math.log2(_precision(b, g)) - math.log2(_precision(bad, good)))
-                        # Of equal cuts, the one that rejects least.
-                        same = above and best is not None and best[:2] == (name, True) and value >= gain - 1e-9
-                        if value > gain + 1e-9 or same:
+                        if value > gain + 1e-9:
                             best, gain = (name, above, at), value
         if best is None:
             break
