@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.llm import text
-from stratlens.llm.tokens import WordCache, packed
+from stratlens.llm.tokens import WordCache
 
 SLICE = 4 << 20
 
@@ -121,14 +122,18 @@ class Codec:
             pos = np.arange(len(data), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
             self._table("start", pa.table({"word": word, "pos": pos, "token": self.single[data]}))
             found = self.db.sql(query).to_arrow_table()
-            for k, ids in zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True):
-                out[chosen[k]] = packed(ids)
+            ids = found["ids"].combine_chunks()
+            ends = (4 * ids.offsets.to_numpy()).tolist()
+            data = ids.values.to_numpy().astype("<u4").tobytes()
+            for k, a, b in zip(found["word"].to_pylist(), ends, ends[1:], strict=False):
+                out[chosen[k]] = data[a:b]
         return out
 
     def decode_words(self, coded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
-        ids = [memoryview(c).cast("I").tolist() for c in coded]
-        rows = pa.table({"word": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))})
+        ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+        rows = pa.table({"word": pa.array(range(len(coded)), pa.int32()), "ids": ids})
         self._table("coded", rows)
         found = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(coded)
@@ -142,6 +147,12 @@ class Codec:
         return list(zip(coded, self.decode_words(coded), strict=True))
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> Codec:
+    """One for all tasks of a Python worker: the words that it knows stay."""
+    return Codec(path, pattern)
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded (bytes) of each text.
 
@@ -151,7 +162,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
     path = path or vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = _codec(path, pattern)
         for batch in batches:
             offsets, _ = text.utf8(batch.column("text"))
             for i, j in text.slices(offsets, SLICE):
