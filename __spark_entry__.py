@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratlens.fixtures import STRATEGIES, FixtureTables, raw, view, with_views
 from stratlens.functions import columns
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
-from stratlens.operators.ordered import choose_block
+from stratlens.operators.ordered import BLOCK, calendar_blocks
 from stratlens.plans import reports
 from stratlens.schemas import PORTFOLIO, PORTFOLIO_HEADERS
 from stratlens.sources.runs import normalize
@@ -28,7 +28,7 @@ try:
 except ModuleNotFoundError:
     corpus_pipeline = None
 
-# Twenty bars instead of the usual 300: at the small scale factors no spread has 300 events.
+# Twenty bars instead of the usual 300, which no spread has at the small scale factors; zscore_default has 300.
 BAR_OPTIONS = reports.Options(lookback=20)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,15 @@ def _bar_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut, block = choose_block(_bars(spark, sf_dir), ["spread"], ["datetime", "row_id"])
-    return _rounded(rolling.zscore(cut, BAR_OPTIONS.lookback, block=block), z=6)
+    cut = calendar_blocks(_bars(spark, sf_dir), ["datetime"], BAR_OPTIONS.bar_unit)
+    return _rounded(rolling.zscore(cut, BAR_OPTIONS.lookback, block=BLOCK).drop(BLOCK), z=6)
+
+
+def _zscore_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual look-back, over contracts instead of spreads: these have enough bars at the small scale factors."""
+    bars = view(spark, sf_dir, "fx_contract_bars")
+    cut = calendar_blocks(bars, ["datetime"], BAR_OPTIONS.bar_unit)
+    return _rounded(rolling.zscore(cut, reports.Options.lookback, block=BLOCK).drop(BLOCK), z=6)
 
 
 def _zscore_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def _zscore_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zscore_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = FixtureTables(spark, sf_dir)
-    return reports.diagnostic_events(_bar_symbol(spark, sf_dir), tables.signals, tables.trades, BAR_OPTIONS)
+    return reports.diagnostic_events(_bar_symbol(spark, sf_dir), tables.signals, tables.trades, _bars(spark, sf_dir), BAR_OPTIONS)
 
 
 def _diagnostic_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +146,10 @@ def _localised_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     more = llm.queries() if llm else {}
-    return _analytics() | more | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
+    return analytics() | more | ({"pipeline": corpus_pipeline.run} if corpus_pipeline else {})
 
 
-def _analytics() -> dict[str, Query]:
+def analytics() -> dict[str, Query]:
     r, u, on = reports, universe, _on_tables
     return {
         # portfolio
@@ -223,6 +230,7 @@ def _analytics() -> dict[str, Query]:
         "sector_box": on(lambda t: u.sector_box(t.symbol), q1=6, med=6, q3=6, whislo=6, whishi=6),
         # bars
         "zscore": _zscore,
+        "zscore_default": _zscore_default,
         "zscore_bars": _zscore_bars,
         "zscore_events": _zscore_events,
         # factors and capital curves
@@ -402,10 +410,10 @@ from kernel"""
 def oracle_sql() -> dict[str, str]:
     more = llm.oracle_sql() if llm else {}
     pipeline = corpus_pipeline.ORACLE_SQL if corpus_pipeline else None
-    return _analytics_sql() | more | ({"pipeline": pipeline} if pipeline else {})
+    return analytics_sql() | more | ({"pipeline": pipeline} if pipeline else {})
 
 
-def _analytics_sql() -> dict[str, str]:
+def analytics_sql() -> dict[str, str]:
     port, sym = "fx_portfolio", "fx_symbol"
     monthly = "select run_id, year(date) as year, month(date) as month, sum(daily_pnl_pct) as ret from fx_portfolio group by all"
     capital_rows = """
@@ -637,6 +645,11 @@ from dense a join dense b on a.run_id = b.run_id and a.date = b.date group by 1,
 from sector_daily join q using (run_id, sector) group by 1, 2""",
         ),
         "zscore": _sql("fx_bars", [ZSCORE], f"select spread, datetime, close, row_id, {_round(z=6)} from scored"),
+        "zscore_default": _sql(
+            "fx_contract_bars",
+            [ZSCORE.replace("= 20", "= 300").replace("19 preceding", "299 preceding").replace("fx_bars", "fx_contract_bars")],
+            f"select spread, datetime, close, row_id, {_round(z=6)} from scored",
+        ),
         "zscore_bars": _sql(
             "fx_bars fx_symbol_events",
             [DIAGNOSTIC, ZSCORE],
@@ -645,12 +658,12 @@ from sector_daily join q using (run_id, sector) group by 1, 2""",
 from diagnostic d join scored using (spread)""",
         ),
         "zscore_events": _sql(
-            "fx_symbol_events fx_signals fx_trades",
-            [DIAGNOSTIC],
+            "fx_symbol_events fx_signals fx_trades fx_bars",
+            [DIAGNOSTIC, "drawn as (select * from diagnostic where spread in (select spread from fx_bars))"],
             """select s.run_id, symbol as spread, 'entry' as kind, action_datetime as time, price
-from fx_signals s join diagnostic d on d.run_id = s.run_id and d.spread = s.symbol where offset_ = 'open'
+from fx_signals s join drawn d on d.run_id = s.run_id and d.spread = s.symbol where offset_ = 'open'
 union all select t.run_id, t.spread, case offset_ when 'OPEN' then 'fill_open' else 'fill_close' end, datetime, price
-from fx_trades t join diagnostic d on d.run_id = t.run_id and d.spread = t.spread""",
+from fx_trades t join drawn d on d.run_id = t.run_id and d.spread = t.spread""",
         ),
         "factor_ic": _sql("fx_ic", [], "select run_id, factor, ic_mean from fx_ic"),
         "synthesis_curves": _sql("fx_capital", [CURVES], f"select run_id, strategy, date, {_round(capital=2)} from curves"),

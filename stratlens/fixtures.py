@@ -60,6 +60,9 @@ VIEWS = {
         select concat('A', cast(2101 + user_id % 12 as string), '&B', cast(2101 + user_id % 7 as string)) as spread,
           ts as datetime, 100 + value as close, event_id as row_id
         from events""",
+    "fx_contract_bars": """
+        select concat('A', cast(2101 + user_id % 12 as string)) as spread, ts as datetime, 100 + value as close, event_id as row_id
+        from events""",
     # Daily profit of the spreads that have bars; every twelfth contract stays exactly flat.
     "fx_symbol_events": """
         select concat('R', cast(user_id % 3 as string)) as run_id, cast(ts as date) as date,

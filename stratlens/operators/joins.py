@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 SALT = "_salt"
 
 
-def salt_of(df: DataFrame, keys: Sequence[str], salts: int = SALTS) -> Column:
+def salts_for(df: DataFrame) -> int:
+    """As many sub-keys as a shuffle has partitions, so that one hot key can use all of them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salt_of(df: DataFrame, keys: Sequence[str], salts: int | None = None) -> Column:
     """A sub-key that depends on the row's contents alone.
 
     A task run again after a lost executor must deal its rows as before, so neither row numbers
@@ -19,18 +23,19 @@ def salt_of(df: DataFrame, keys: Sequence[str], salts: int = SALTS) -> Column:
     """
     others = [name for name in df.columns if name not in keys]
     stable = [name for name, kind in df.dtypes if name in others and kind not in ("double", "float")]
-    return F.pmod(F.xxhash64(*(stable or others or keys)), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*(stable or others or keys)), F.lit(salts or salts_for(df))).cast("int")
 
 
 def salted_join(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = SALTS
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner", salts: int | None = None
 ) -> DataFrame:
     """Attach the few ``facts`` of each key to its many ``rows`` without one task per key.
 
-    Each key's rows are dealt over ``salts`` sub-keys and its facts are repeated once for each.
+    Each key's rows are dealt over ``salts`` sub-keys (see ``salts_for``) and its facts are repeated once for each.
     ``rows`` may bring its own ``_salt``. Whether the small side is broadcast instead is left to
     its measured size at run time.
     """
+    salts = salts or salts_for(rows)
     dealt = rows if SALT in rows.columns else rows.withColumn(SALT, salt_of(rows, keys, salts))
     copies = facts.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, SALT], how).drop(SALT)

@@ -2,23 +2,18 @@
 
 A series is the set of rows sharing ``keys``, sorted by ``order``. One row per key and calendar
 day keeps a series short whatever the input size, and then a single window per key is the right
-plan. Fills and bars have no such bound, so ``choose_block`` measures them: if some series is too
-long for one task it adds a ``block`` column that cuts every series into consecutive pieces, and
-the functions below run per piece and carry only one summary row per piece across the cuts.
+plan. Fills and bars have no such bound: ``calendar_blocks`` adds a ``block`` column that cuts
+every series at a calendar unit, and the functions below run per piece and carry only one summary
+row per piece across the cuts. The plan is the same for every size, and building it runs no job.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratlens.session import ensure_checkpoint_dir
-
-MAX_SERIES_ROWS = 2_000_000
-CALENDAR_UNITS = ("year", "month", "day", "hour")
 BLOCK = "block"
 
 
@@ -26,46 +21,23 @@ def _sorted_by(order: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 
 
-def _series(keys: Sequence[str], order: Sequence[str], block: str | None):
-    return Window.partitionBy(*keys, *([block] if block else [])).orderBy(*_sorted_by(order))
-
-
-def _longest(df: DataFrame, groups: Sequence[Column | str]) -> int:
-    row = df.groupBy(*groups).count().agg(F.max("count").alias("n")).first()
-    return row["n"] or 0
+def _last_of(order: Sequence[str]) -> Column:
+    """Largest for the row that the windows sort last: missing values after all others."""
+    return F.struct(*[c for name in order for c in (F.col(name).isNull(), F.col(name))])
 
 
-def _calendar(order_column: str, unit: str) -> Column:
-    # Missing times sort last, so they get a last block of their own.
-    far = F.lit("9999-12-31").cast("timestamp_ntz")
-    return F.coalesce(F.date_trunc(unit, F.col(order_column)).cast("timestamp_ntz"), far)
+def _series(keys: Sequence[str], order: Sequence[str], block: str | None):
+    return Window.partitionBy(*keys, *([block] if block else [])).orderBy(*_sorted_by(order))
 
 
-def choose_block(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_SERIES_ROWS
-) -> tuple[DataFrame, str | None]:
-    """Decide how to cut the series of ``df``; returns the frame and its block column, if any.
+def calendar_blocks(df: DataFrame, order: Sequence[str], unit: str) -> DataFrame:
+    """Add ``block``, the start of the calendar ``unit`` (year, month, day, hour) of the first sort column.
 
-    One count per key settles the usual case without any cut. Longer series are cut at the
-    coarsest calendar unit whose pieces fit. If even an hour is too long, the rows are
-    range-partitioned over the full order, which splits any hot key, and checkpointed so that
-    the partition number is a stable block.
+    Choose the unit so that the rows of one key in it fit a task. Missing times sort last, so they
+    get a last block of their own.
     """
-    if _longest(df, list(keys)) <= max_rows:
-        return df, None
-    for unit in CALENDAR_UNITS:
-        cut = _calendar(order[0], unit)
-        if _longest(df.withColumn(BLOCK, cut), [*keys, BLOCK]) <= max_rows:
-            return df.withColumn(BLOCK, cut), BLOCK
-    return range_blocks(df, keys, order, max_rows), BLOCK
-
-
-def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = max(2, math.ceil(2 * df.count() / max_rows))
-    ranged = df.repartitionByRange(parts, *keys, *_sorted_by(order))
-    return ranged.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
+    far = F.lit("9999-12-31").cast("timestamp_ntz")
+    return df.withColumn(BLOCK, F.coalesce(F.date_trunc(unit, F.col(order[0])).cast("timestamp_ntz"), far))
 
 
 def cumulative(
@@ -118,7 +90,7 @@ def previous(
     series = _series(keys, order, block)
     if not block:
         return df.withColumn(name, F.lag(value).over(series))
-    lasts = df.groupBy(*keys, block).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    lasts = df.groupBy(*keys, block).agg(F.max_by(value, _last_of(order)).alias("_last"))
     carried = lasts.select(
         *keys, block, F.lag("_last").over(Window.partitionBy(*keys).orderBy(block)).alias("_carry")
     )

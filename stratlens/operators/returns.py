@@ -1,7 +1,7 @@
 """Net value, drawdown, cost curves, calendar returns and the per-run performance summary.
 
 Returns add up (they are never compounded). Inputs are daily tables: one row per key and date,
-so a series is bounded by the calendar; pass ``block`` (see ``ordered.choose_block``) otherwise.
+so a series is bounded by the calendar; pass ``block`` (see ``ordered.calendar_blocks``) otherwise.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratlens.functions.columns import is_gain, month_label, return_or_zero, safe_ratio
 from stratlens.operators.joins import salted_join
-from stratlens.operators.ordered import cumulative
+from stratlens.operators.ordered import BLOCK, calendar_blocks, cumulative, previous
 from stratlens.schemas import TRADING_DAYS
 
 RUN = ("run_id",)
@@ -129,20 +129,23 @@ def month_matrix(df: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return counted.filter("_months >= 2").drop("_months")
 
 
-def capital_to_portfolio(curves: DataFrame, initial_capital: float = 10000.0, strategy: str = "") -> DataFrame:
-    """Daily portfolio rows from long capital curves.
+def capital_to_portfolio(
+    curves: DataFrame, initial_capital: float = 10000.0, strategy: str = "", unit: str = "year"
+) -> DataFrame:
+    """Daily portfolio rows from long capital curves, cut at the calendar ``unit`` for the changes.
 
     With no ``strategy`` named every curve is converted; ``first_strategy`` picks one per run.
     """
     chosen = curves.filter(F.col("strategy") == strategy) if strategy else curves
-    by_date = Window.partitionBy("run_id", "strategy").orderBy("date")
     nav = F.col("capital") / F.lit(float(initial_capital)) if initial_capital else F.col("capital")
 
     def change(column: str):
-        return F.coalesce(F.col(column) - F.lag(column).over(by_date), F.lit(0.0))
+        return F.coalesce(F.col(column) - F.col(f"_before.{column}"), F.lit(0.0))
 
+    cut = calendar_blocks(chosen.withColumn("net_value", nav), ["date"], unit)
+    both = F.struct("capital", "net_value")
     return (
-        chosen.withColumn("net_value", nav)
+        previous(cut, ["run_id", "strategy"], ["date"], both, "_before", BLOCK)
         .withColumn("daily_pnl", change("capital"))
         .withColumn("daily_pnl_pct", change("net_value"))
         .withColumn("commission", F.lit(0.0))

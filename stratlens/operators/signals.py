@@ -89,11 +89,10 @@ def roll_dates(rolls: DataFrame) -> DataFrame:
 
 def roll_events(portfolio: DataFrame, rolls: DataFrame, block: str | None = None) -> DataFrame:
     """Portfolio net value with roll dates marked, for runs that have a roll table."""
-    # A set of calendar dates: short whatever the size of the roll table.
-    dates = rolls.groupBy("run_id").agg(F.collect_set("tradingday").alias("_rolls"))
-    nav = salted_join(portfolio_nav(portfolio, block=block), dates, ["run_id"])
-    is_roll = F.coalesce(F.array_contains("_rolls", F.col("date")), F.lit(False))
-    return nav.select("run_id", "date", "nav", is_roll.alias("is_roll"), F.size("_rolls").cast("bigint").alias("roll_count"))
+    counts = rolls.groupBy("run_id").agg(F.count_distinct("tradingday").alias("roll_count"))
+    nav = salted_join(portfolio_nav(portfolio, block=block), counts, ["run_id"])
+    marked = nav.join(roll_dates(rolls).withColumn("is_roll", F.lit(True)), ["run_id", "date"], "left")
+    return marked.select("run_id", "date", "nav", F.coalesce("is_roll", F.lit(False)).alias("is_roll"), "roll_count")
 
 
 def chart_events(picks: DataFrame, signals: DataFrame, fills: DataFrame) -> DataFrame:
@@ -106,5 +105,4 @@ def chart_events(picks: DataFrame, signals: DataFrame, fills: DataFrame) -> Data
     entries = events(open_signals(signals), "symbol", "action_datetime", F.lit("entry"))
     kinds = F.when(offset == "OPEN", "fill_open").when(offset == "CLOSE", "fill_close")
     traded = events(fills, "spread", "datetime", kinds).filter(F.col("kind").isNotNull())
-    chosen = picks.select("run_id", "spread")
-    return salted_join(entries.unionByName(traded), chosen, ["run_id", "spread"])
+    return entries.unionByName(traded).join(picks.select("run_id", "spread"), ["run_id", "spread"], "left_semi")

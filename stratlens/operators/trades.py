@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import side
-from stratlens.operators.joins import SALT, salt_of, salted_join
+from stratlens.operators.joins import SALT, salt_of, salted_join, salts_for
 from stratlens.operators.ordered import previous
 from stratlens.operators.returns import RUN
 
@@ -117,11 +117,10 @@ def density(
 ) -> DataFrame:
     """Gaussian density on an even grid over each run's range, bandwidth by Scott's rule.
 
-    ``curve`` is the density scaled to the counts of ``histogram``. A row touches only grid points
-    within nine bandwidths (farther ones add nothing in double precision), so rows spread over
-    ever fewer points as a run grows; contributions are summed per point before the shuffle.
+    ``curve`` is the density scaled to the counts of ``histogram``. Equal values are counted first;
+    every value adds to every grid point, and the contributions are summed per point before the
+    shuffle.
     """
-    reach = 9.0
     values = _value_rows(df, value, keys)
     shape = _bounds(values, keys, above).filter("_sd > 0").select(
         *keys,
@@ -130,19 +129,18 @@ def density(
         (F.col("_sd") * F.pow(F.col("_rows").cast("double"), F.lit(-0.2))).alias("_h"),
         ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
     )
-    shaped = salted_join(values, shape, keys)
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    dealt = counted.withColumn(SALT, F.pmod(F.xxhash64("_v"), F.lit(salts_for(df))).cast("int"))
+    shaped = salted_join(dealt, shape, keys)
     offset = F.col("_v") - F.col("_lo")
-    nearest = F.greatest(F.ceil((offset - reach * F.col("_h")) / F.col("_step")), F.lit(0))
-    farthest = F.least(F.floor((offset + reach * F.col("_h")) / F.col("_step")), F.lit(points - 1))
     distance = (F.col("point") * F.col("_step") - offset) / F.col("_h")
-    # Even a bandwidth far below the grid step keeps the sequence valid: it is then empty.
-    touched = F.when(nearest <= farthest, F.sequence(nearest, farthest))
+    every_point = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint")))
     summed = (
-        shaped.withColumn("point", F.explode(touched))
+        shaped.withColumn("point", every_point)
         .groupBy(*keys, "point")
-        .agg(F.sum(F.exp(-0.5 * distance * distance)).alias("_k"))
+        .agg(F.sum(F.col("_times") * F.exp(-0.5 * distance * distance)).alias("_k"))
     )
-    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))))
+    grid = shape.withColumn("point", every_point)
     height = F.coalesce("_k", F.lit(0.0)) / (F.col("_rows") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
     bin_width = F.col("_step") * (points - 1) / bins
     return grid.join(summed, [*keys, "point"], "left").select(

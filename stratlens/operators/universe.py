@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import is_active, month_label, product_prefix, return_or_zero
-from stratlens.operators.joins import salted_join
 from stratlens.operators.returns import net_value, portfolio_nav
 
 PORTFOLIO_SERIES = "portfolio"
@@ -116,7 +115,7 @@ def spread_nav_picks(
     whole = portfolio_nav(portfolio, block=portfolio_block).select(
         "run_id", F.lit(PORTFOLIO_SERIES).alias("series"), "date", "nav", F.lit(True).alias("is_portfolio")
     )
-    return spreads.unionByName(salted_join(whole, picks.select("run_id").distinct(), ["run_id"]))
+    return spreads.unionByName(whole.join(picks.select("run_id"), "run_id", "left_semi"))
 
 
 def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:
@@ -142,7 +141,7 @@ def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:
 
 def active_spreads_per_day(symbol: DataFrame) -> DataFrame:
     """Number of spreads with a profit other than zero, per run and date that has any."""
-    active = symbol.filter(is_active("daily_pnl"))
+    active = symbol.filter(is_active("daily_pnl") & F.col("date").isNotNull())
     return active.groupBy("run_id", "date").agg(F.count_distinct("spread").alias("active_spreads"))
 
 
@@ -181,59 +180,57 @@ def pick_cells(symbol: DataFrame, n: int = 50) -> DataFrame:
 def spread_correlation(symbol: DataFrame, n: int = 50) -> DataFrame:
     """Pearson correlation of the picked spreads' daily returns; a day without a row is zero.
 
-    Zero days add nothing to a product sum, so each date gives one row of its at most ``n``
-    returns, led by a constant 1 as pick 0. The products of a row's members are combined before
-    the shuffle into one sum per run and pair of picks: days at (0, 0), sums at (0, j), squares at
-    (j, j). A spread whose return never changes has no correlation.
+    Returns are taken around each pick's first one, so large levels cancel before they are multiplied. Each
+    date's at most ``n`` returns make its pairs, which are summed per run and pair before the shuffle:
+    products, sums and days that both have. Days that one or neither has follow from the picks' own
+    sums. A spread whose return never changes has no correlation.
     """
     cells = pick_cells(symbol, n)
-    one = F.struct(F.lit(0).alias("pick"), F.lit(1.0).alias("ret"), F.lit("").alias("spread"))
-    row = F.array_sort(F.concat(F.array(one), F.collect_list(F.struct("pick", "ret", "spread"))))
-    daily = cells.groupBy("run_id", "date").agg(row.alias("row"))
+    picks = cells.groupBy("run_id", "pick", "spread").agg(
+        F.min_by("ret", "date").alias("base"), F.min("ret").alias("low"), F.max("ret").alias("high")
+    )
+    based = cells.join(picks.select("run_id", "pick", "base"), ["run_id", "pick"])
+    daily = based.groupBy("run_id", "date").agg(
+        F.array_sort(F.collect_list(F.struct("pick", (F.col("ret") - F.col("base")).alias("x")))).alias("row")
+    )
     left = daily.select("run_id", "row", F.posexplode("row").alias("at", "a"))
-    from_here = F.inline(F.slice("row", F.col("at") + 1, F.lit(n + 1))).alias("j", "y", "name")
-    pairs = left.select("run_id", F.col("a.pick").alias("i"), F.col("a.ret").alias("x"), from_here)
-    named = F.when(F.col("i") == 0, F.col("name")).otherwise("")
-    sums = pairs.groupBy("run_id", "i", "j", named.alias("spread")).agg(
-        F.sum(F.col("x") * F.col("y")).alias("total"),
-        F.count(F.lit(1)).alias("rows"),
-        F.min("y").alias("low"),
-        F.max("y").alias("high"),
+    pairs = left.select(
+        "run_id", F.col("a.pick").alias("i"), F.col("a.x").alias("x"), F.inline(F.slice("row", F.col("at") + 1, n)).alias("j", "y")
+    )
+    sums = pairs.groupBy("run_id", "i", "j").agg(
+        F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("both")
+    )
+    days = daily.groupBy("run_id").agg(F.count(F.lit(1)).alias("days"))
+    own = sums.where("i = j").select("run_id", F.col("i").alias("pick"), "x", F.col("xy").alias("xx"), F.col("both").alias("rows"))
+    missing = F.col("days") - F.col("rows")
+    mean = (F.col("x") - missing * F.col("base")) / F.col("days")
+    square = F.col("xx") + missing * F.col("base") * F.col("base") - F.col("days") * mean * mean
+    # A day without a row is a zero, so it may be what makes a constant return vary.
+    flat = (F.col("low") == F.col("high")) & ((missing == 0) | (F.col("high") == 0))
+    sides = picks.join(own, ["run_id", "pick"]).join(days, "run_id").select(
+        "run_id", "days", F.struct("pick", "spread", "base", "x", "rows", mean.alias("mean"), F.when(~flat, square).alias("square")).alias("p")
     )
-    return _correlations(sums)
-
-
-def _correlations(sums: DataFrame) -> DataFrame:
-    """The matrix of every run from its product sums, held as one map of at most n + 1 per pick."""
-    cell = F.struct("spread", "total", "rows", "low", "high")
-    lines = sums.groupBy("run_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("j", cell))).alias("line"))
-    runs = lines.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "line"))).alias("lines"))
-
-    def total(i, j):
-        return F.coalesce(F.try_element_at(F.try_element_at(F.col("lines"), i), j)["total"], F.lit(0.0))
-
-    days = total(F.lit(0), F.lit(0))
-
-    def measured(pick, sums_of_pick):
-        mean = sums_of_pick["total"] / days
-        # A day without a row is a zero, so it may be what makes a constant return vary.
-        whole = (sums_of_pick["rows"] == days) | (sums_of_pick["high"] == 0)
-        flat = (sums_of_pick["low"] == sums_of_pick["high"]) & whole
-        var = F.when(~flat, total(pick, pick) - days * mean * mean)
-        return F.struct(pick.alias("pick"), sums_of_pick["spread"].alias("spread"), mean.alias("mean"), var.alias("var"))
-
-    picks = F.filter(F.map_entries(F.try_element_at("lines", F.lit(0))), lambda e: e["key"] > 0)
-    sides = runs.select("run_id", "lines", F.transform(picks, lambda e: measured(e["key"], e["value"])).alias("picks"))
-    # The result itself is every pair of a run's at most n picks.
-    first = sides.select("run_id", "lines", "picks", F.explode("picks").alias("a"))
-    matrix = first.select("run_id", "lines", "a", F.explode("picks").alias("b"))
-    product = total(F.least("a.pick", "b.pick"), F.greatest("a.pick", "b.pick"))
-    cross = product - days * F.col("a.mean") * F.col("b.mean")
-    corr = F.when(F.col("a.pick") == F.col("b.pick"), F.lit(1.0)).otherwise(cross / F.sqrt(F.col("a.var") * F.col("b.var")))
-    varies = (F.col("a.var") > 0) & (F.col("b.var") > 0)
-    return matrix.select(
-        "run_id", F.col("a.spread").alias("s1"), F.col("b.spread").alias("s2"), F.when(varies, corr).alias("corr")
+    return _correlations(sides, sums)
+
+
+def _correlations(sides: DataFrame, sums: DataFrame) -> DataFrame:
+    """Every pair of a run's at most n picks, from the picks' own figures and the sums of the pairs with a common day."""
+    matrix = sides.select("run_id", "days", F.col("p").alias("a")).join(sides.select("run_id", F.col("p").alias("b")), "run_id")
+    keyed = matrix.withColumns({"i": F.least("a.pick", "b.pick"), "j": F.greatest("a.pick", "b.pick")})
+    joined = keyed.join(sums, ["run_id", "i", "j"], "left")
+    zero, turned = F.lit(0.0), F.col("a.pick") > F.col("b.pick")
+    a_both = F.coalesce(F.when(turned, F.col("y")).otherwise(F.col("x")), zero)
+    b_both = F.coalesce(F.when(turned, F.col("x")).otherwise(F.col("y")), zero)
+    both = F.coalesce("both", F.lit(0))
+    neither = F.col("days") - F.col("a.rows") - F.col("b.rows") + both
+    product = (
+        F.coalesce("xy", zero) - F.col("b.base") * (F.col("a.x") - a_both) - F.col("a.base") * (F.col("b.x") - b_both)
+        + neither * F.col("a.base") * F.col("b.base")
     )
+    cross = product - F.col("days") * F.col("a.mean") * F.col("b.mean")
+    corr = F.when(F.col("a.pick") == F.col("b.pick"), F.lit(1.0)).otherwise(cross / F.sqrt(F.col("a.square") * F.col("b.square")))
+    varies = (F.col("a.square") > 0) & (F.col("b.square") > 0)
+    return joined.select("run_id", F.col("a.spread").alias("s1"), F.col("b.spread").alias("s2"), F.when(varies, corr).alias("corr"))
 
 
 def active_spread_count(symbol: DataFrame, n: int = 50) -> DataFrame:
@@ -247,7 +244,7 @@ def sector_pnl(symbol: DataFrame) -> DataFrame:
 
 
 def sector_daily_pnl(symbol: DataFrame) -> DataFrame:
-    by_sector = symbol.groupBy("run_id", "date", product_prefix("spread").alias("sector"))
+    by_sector = symbol.filter(F.col("date").isNotNull()).groupBy("run_id", "date", product_prefix("spread").alias("sector"))
     return by_sector.agg(_total("daily_pnl").alias("pnl"))
 
 

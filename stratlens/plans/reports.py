@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratlens.functions.columns import beyond_entry, is_gain, return_or_zero
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
 from stratlens.operators.joins import salted_join
-from stratlens.operators.ordered import MAX_SERIES_ROWS, choose_block
+from stratlens.operators.ordered import BLOCK, calendar_blocks
 from stratlens.operators.returns import daily_order
 from stratlens.sources.tables import RunTables
 
@@ -27,6 +27,10 @@ class Options:
     exit_z: float = 0.0
     diagnostic_n: int = 5
     bins: int = 30
+    # Calendar units at which series are cut; a key's rows in one unit are what a task must hold.
+    fill_unit: str = "month"
+    bar_unit: str = "month"
+    daily_unit: str = "year"
 
 
 Datasets = dict[str, DataFrame]
@@ -58,10 +62,9 @@ def rolling_metrics(portfolio: DataFrame, windows: Sequence[int], block: str | N
 
 
 # --- trades ------------------------------------------------------------------
-def roundtrips(fills: DataFrame) -> DataFrame:
-    """Matched trades; fills are measured first so that no series exceeds one task."""
-    cut, block = choose_block(fills, trades.SERIES, trades.FILL_ORDER)
-    return trades.pair_roundtrips(cut, block)
+def roundtrips(fills: DataFrame, unit: str = Options.fill_unit) -> DataFrame:
+    """Matched trades, over series cut at the calendar ``unit``."""
+    return trades.pair_roundtrips(calendar_blocks(fills, trades.FILL_ORDER, unit), BLOCK)
 
 
 def holding_hours(matched: DataFrame) -> DataFrame:
@@ -72,10 +75,9 @@ def holding_hours(matched: DataFrame) -> DataFrame:
 # --- diagnostics -------------------------------------------------------------
 def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> DataFrame:
     """Close and z-score of each run's diagnostic spreads, with the threshold bands."""
-    cut, block = choose_block(bars, ["spread"], ["datetime", "row_id"])
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n).select("run_id", "spread")
-    wanted = salted_join(cut, picks.select("spread").distinct(), ["spread"])
-    scored = rolling.zscore(wanted, options.lookback, block=block)
+    wanted = calendar_blocks(bars.join(picks, "spread", "left_semi"), ["datetime"], options.bar_unit)
+    scored = rolling.zscore(wanted, options.lookback, block=BLOCK)
     return salted_join(scored, picks, ["spread"]).select(
         "run_id",
         "spread",
@@ -88,8 +90,12 @@ def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> Dat
     )
 
 
-def diagnostic_events(symbol: DataFrame, signal_rows: DataFrame, fills: DataFrame, options: Options) -> DataFrame:
+def diagnostic_events(
+    symbol: DataFrame, signal_rows: DataFrame, fills: DataFrame, bars: DataFrame, options: Options
+) -> DataFrame:
+    """Events of the diagnostic spreads that have bars."""
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n)
+    picks = picks.join(bars.select("spread"), "spread", "left_semi")
     return signals.chart_events(picks, signal_rows, fills)
 
 
@@ -123,7 +129,7 @@ def _r05(t: RunTables, o: Options) -> Datasets:
 
 
 def _r06(t: RunTables, o: Options) -> Datasets:
-    matched = roundtrips(t.trades)
+    matched = roundtrips(t.trades, o.fill_unit)
     hours = holding_hours(matched)
     return {
         "roundtrips": matched,
@@ -224,15 +230,17 @@ EQUITY_GROUPS = {
 # ------------------------------------------------------------------------------
 
 
-def measured(tables: RunTables, max_rows: int = MAX_SERIES_ROWS) -> RunTables:
-    """The tables with their daily series cut into blocks where one would be too long for a task.
+def cut_daily(tables: RunTables, unit: str = Options.daily_unit) -> RunTables:
+    """The tables with their daily series cut at the calendar ``unit``.
 
     A file may hold many rows per date (one per strategy, say), so the calendar alone is no bound.
     """
-    portfolio, portfolio_block = choose_block(tables.portfolio, ["run_id"], daily_order(tables.portfolio), max_rows)
-    symbol, symbol_block = choose_block(tables.symbol, ["run_id", "spread"], daily_order(tables.symbol), max_rows)
     return replace(
-        tables, portfolio=portfolio, symbol=symbol, portfolio_block=portfolio_block, symbol_block=symbol_block
+        tables,
+        portfolio=calendar_blocks(tables.portfolio, daily_order(tables.portfolio), unit),
+        symbol=calendar_blocks(tables.symbol, daily_order(tables.symbol), unit),
+        portfolio_block=BLOCK,
+        symbol_block=BLOCK,
     )
 
 
@@ -258,13 +266,13 @@ def build_reports(
     groups = groups_for(adapter)
     if group not in groups:
         raise ValueError(f"report group must be one of {sorted(groups)}")
-    tables = measured(tables)
+    tables = cut_daily(tables, options.daily_unit)
     built: Datasets = {}
     for report in groups[group]:
         if report == "08":
             if bars is not None:
                 built["zscore_bars"] = diagnostic_bars(tables.symbol, bars, options)
-                built["zscore_events"] = diagnostic_events(tables.symbol, tables.signals, tables.trades, options)
+                built["zscore_events"] = diagnostic_events(tables.symbol, tables.signals, tables.trades, bars, options)
         elif report != "14":
             built.update(REPORTS[report](tables, options))
     if compare_runs:

@@ -1,9 +1,7 @@
-"""Session settings the engine relies on, and the checkpoint folder."""
+"""Session settings the engine relies on."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -28,17 +26,3 @@ def local_session(name: str = "stratlens", cores: str = "*", shuffle_partitions:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; fall back to a temporary one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-stratlens-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")

@@ -189,7 +189,7 @@ def test_density_integrates(spark):
     h = statistics.stdev(values) * len(values) ** -0.2
     for r in rows:
         exact = sum(math.exp(-0.5 * ((r["x"] - v) / h) ** 2) for v in values) / (len(values) * h * math.sqrt(2 * math.pi))
-        assert r["density"] == pytest.approx(exact, rel=1e-9, abs=1e-15)
+        assert r["density"] == pytest.approx(exact, rel=1e-9, abs=0.0)
 
 
 def test_holding_needs_some_time(spark):
@@ -243,6 +243,14 @@ def test_correlation_with_gaps_and_constants(spark):
     assert breadth == {day(i): sum(1 for s in dense if dense[s][i] != 0) for i in range(60)}
 
 
+def test_correlation_of_large_levels(spark):
+    rng = random.Random(10)
+    series = {s: [1000 + rng.uniform(-1e-3, 1e-3) for _ in range(80)] for s in "AB"}
+    rows = [("r", s, i, 1.0, v) for s, vs in series.items() for i, v in enumerate(vs)]
+    got = {(r["s1"], r["s2"]): r["corr"] for r in universe.spread_correlation(symbol(spark, rows)).collect()}
+    assert got["A", "B"] == got["B", "A"] == pytest.approx(pearson(series["A"], series["B"]), abs=1e-6)
+
+
 def test_month_matrix_of_spreads(spark):
     rows = [("r", "A", 0, 5.0, 0.1), ("r", "A", 40, 5.0, 0.2), ("r", "B", 0, -1.0, 0.3), ("r", "Z", 80, 0.0, 0.5)]
     got = {(r["spread"], r["ym"]): r["ret"] for r in universe.spread_month_matrix(symbol(spark, rows)).collect()}
@@ -254,6 +262,9 @@ def test_sectors(spark):
     box = {r["sector"]: r for r in universe.sector_box(symbol(spark, rows)).collect()}
     assert (box["A"]["q1"], box["A"]["med"], box["A"]["q3"], box["A"]["whislo"], box["A"]["whishi"]) == (2, 3, 4, 1, 4)
     assert box["NAN"]["med"] == 7.0
+    undated = symbol(spark, rows).withColumn("date", F.when(F.col("daily_pnl") != 100, F.col("date")))
+    assert {r["sector"]: r["med"] for r in universe.sector_box(undated).collect()} == {"A": 2.5, "NAN": 7.0}
+    assert None not in {r["date"] for r in universe.active_spreads_per_day(undated).collect()}
     assert {r["sector"]: r["pnl"] for r in universe.sector_pnl(symbol(spark, rows)).collect()} == {"A": 110.0, "NAN": 7.0}
 
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tests import oracle
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
+QUERIES, SQL = entry.analytics(), entry.analytics_sql()
 COUNT_RUNS = {"run_radar", "return_vs_drawdown"}  # end in one count of the runs, a row per task
 
 
@@ -20,7 +20,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL) and SQL.items() <= entry.oracle_sql().items()
 
 
 def test_entry(spark):
@@ -33,5 +33,5 @@ def test_query(spark, con, name):
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "SinglePartition" not in plan or name in COUNT_RUNS
-    expected = con.sql(entry.oracle_sql()[name]).to_arrow_table()
+    expected = con.sql(SQL[name]).to_arrow_table()
     assert oracle.compare(built.toArrow(), expected) == []
