@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,13 +10,31 @@ from pyspark.sql import DataFrame
 from stratlens.sources.tables import LAYOUTS, RunTables
 
 
-def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One Parquet dataset per report, foldered by run.
+# Within a run's files rows follow those of these columns that a dataset has, in this order.
+SORT = (
+    "strategy", "series", "rank", "pick", "sector", "axis", "kind", "window", "date", "spread", "symbol", "datetime", "action_datetime",
+    "tradingday", "open_time", "time", "year", "month", "ym", "month_end", "point", "bin", "s1", "s2", "row_id",
+)
+SORT_FIRST = {"trades": ("spread", "datetime"), "signals": ("symbol", "action_datetime"), "symbol": ("date", "spread")}
+
+
+def write_report(df: DataFrame, path: str, mode: str = "overwrite", first: Sequence[str] = ()) -> None:
+    """One Parquet dataset per report, foldered by run and sorted within each file.
 
     Rebalancing on the run keeps files few per run, and splits a run that is far larger than the
-    others over several writers.
+    others over several writers. Overwriting replaces the folders of the runs that df holds and
+    leaves other runs alone; ``clear_report`` empties a whole dataset.
     """
-    df.hint("rebalance", "run_id").write.mode(mode).partitionBy("run_id").parquet(path)
+    order = [c for c in dict.fromkeys(["run_id", *first, *SORT]) if c in df.columns]
+    rows = df.hint("rebalance", "run_id").sortWithinPartitions(*order)
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def clear_report(df: DataFrame, path: str) -> None:
+    """Replace a whole dataset, all runs, by what df holds."""
+    order = [c for c in ["run_id", *SORT] if c in df.columns]
+    rows = df.hint("rebalance", "run_id").sortWithinPartitions(*order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(path)
 
 
 def write_reports(reports: Mapping[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
@@ -36,7 +54,7 @@ def stage_tables(tables: RunTables, root: str) -> RunTables:
         source = getattr(tables, name)
         if source.columns == ["run_id"]:
             continue  # a table nobody wrote
-        write_report(source, f"{root}/{name}")
+        write_report(source, f"{root}/{name}", first=SORT_FIRST.get(name, ()))
         # Partition values are read back as text, so a run named 007 keeps its name.
         staged[name] = source.sparkSession.read.schema(source.schema).parquet(f"{root}/{name}")
     return replace(tables, **staged)

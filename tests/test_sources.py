@@ -11,7 +11,7 @@ from stratlens.plans import reports
 from stratlens.sources.bars import load_bars
 from stratlens.sources.equity import load_equity_runs
 from stratlens.sources.runs import load_runs
-from stratlens.sources.sink import stage_tables, write_report, write_reports
+from stratlens.sources.sink import clear_report, stage_tables, write_report, write_reports
 
 
 def put(path: Path, text: str, encoding: str = "utf-8") -> None:
@@ -162,3 +162,18 @@ def test_staged_tables_read_the_same(spark, tree, tmp_path):
         columns = sorted(set(before.columns) - {"row_id"})
         assert after.schema.simpleString() and set(after.columns) == set(before.columns)
         assert sorted(map(str, after.select(columns).collect())) == sorted(map(str, before.select(columns).collect()))
+
+
+def test_one_run_is_rewritten_alone_and_sorted(spark, tmp_path):
+    path = f"{tmp_path}/nav"
+    rows = lambda run, n: spark.range(n).selectExpr(f"'{run}' as run_id", "date_add(date'2024-01-01', cast((id * 7) % n as int)) as date".replace("% n", f"% {n}"), "id as nav")
+    write_report(rows("a", 11).union(rows("b", 5)), path)
+    write_report(rows("a", 3), path)
+    counts = {r["run_id"]: r["count"] for r in spark.read.parquet(path).groupBy("run_id").count().collect()}
+    assert counts == {"a": 3, "b": 5}
+    clear_report(rows("c", 4), path)
+    assert [r["run_id"] for r in spark.read.parquet(path).select("run_id").distinct().collect()] == ["c"]
+    files = {r["f"] for r in spark.read.parquet(path).selectExpr("input_file_name() as f").collect()}
+    for name in files:
+        dates = [r["date"] for r in spark.read.parquet(name).collect()]
+        assert dates == sorted(dates)
