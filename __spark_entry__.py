@@ -156,6 +156,7 @@ def analytics() -> dict[str, Query]:
         # Gross profit nearly cancels out in this data, so the ratio carries few exact digits.
         "run_scorecard": on(lambda t: compare.run_scorecard(t.portfolio), comm_ratio=4),
         "nav_drawdown": on(lambda t: r.nav_drawdown(t.portfolio), nav=8, drawdown=8),
+        "nav_drawdown_supplied": on(lambda t: r.nav_drawdown(_first_capital(t)), nav=8, drawdown=8),
         "drawdown_relative": on(_drawdown_relative, drawdown=8),
         "daily_pnl": on(lambda t: r.daily_pnl(t.portfolio), daily_pnl=4),
         "active_return_hist": on(lambda t: _hist(r.active_returns_pct(t.portfolio), "return_pct"), lo=8, hi=8),
@@ -282,7 +283,7 @@ ROUNDTRIPS = """
 sided as (
   select *, offset_ = 'OPEN' as opens,
     case when offset_ = 'OPEN' then direction when direction = 'SHORT' then 'LONG' else 'SHORT' end as side
-  from fx_trades),
+  from fx_trades where instance_id is not null),
 paired as (
   select *, lag(opens) over w as o_opens, lag(datetime) over w as open_time, lag(price) over w as open_price,
     lag(volume) over w as o_volume, lag(commission) over w as o_commission
@@ -322,8 +323,8 @@ sector_daily as (
 
 CURVES = """
 curves as (
-  select run_id, date, strategy, case strategy when 'q5' then 0 when 'q3' then 1 else 2 end as col_pos, capital
-  from fx_capital unpivot (capital for strategy in (q5, q3, q1)))"""
+  select run_id, date, strategy, 5 - cast(substr(strategy, 2) as integer) as col_pos, capital
+  from fx_capital unpivot (capital for strategy in (q5, q4, q3, q2, q1)))"""
 
 DAILY_CONVERSION = """
 s as (select run_id, cast(action_datetime as date) as date, count(*) as signals from fx_signals group by 1, 2),
@@ -426,6 +427,13 @@ from curves {where} window w as (partition by run_id, strategy order by date)"""
         "nav_drawdown": _sql(
             port, [NAV], f"select run_id, date, {_round(nav=8)}, round(nav - max(nav) over {BY_RUN}, 8) + 0.0 as drawdown from nav"
         ),
+        # Net values that a run supplies are taken as they are.
+        "nav_drawdown_supplied": _sql(
+            "fx_capital",
+            [],
+            f"""select run_id, date, round(q5 / 10000, 8) + 0.0 as nav, round(q5 / 10000 - max(q5 / 10000) over {BY_RUN}, 8) + 0.0 as drawdown
+from fx_capital""",
+        ),
         "drawdown_relative": _sql(
             port, [NAV], f"select run_id, date, round(1 - nav / nullif(max(nav) over {BY_RUN}, 0), 8) + 0.0 as drawdown from nav"
         ),

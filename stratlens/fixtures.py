@@ -39,23 +39,29 @@ VIEWS = {
         select run_id, date, pnl / 10000.0E0 as daily_pnl, floor(pnl / 100000.0E0 + 0.5E0) / 1000000.0E0 as daily_pnl_pct,
           fees / 10000.0E0 as commission, num_trades, num_spreads
         from portfolio_base""",
+    # Fills and signals fall into months of their own, with gaps; one run has signals only. Error events are
+    # fills without an instance, which no close can match.
     "fx_trades": """
-        select concat('R', cast(user_id % 3 as string)) as run_id, concat('s', cast(user_id as string)) as instance_id,
-          concat('A', cast(2101 + user_id % 12 as string), '&B', cast(2101 + user_id % 7 as string)) as spread, ts as datetime,
+        select concat('R', cast(user_id % 3 as string)) as run_id,
+          case when event_type <> 'error' then concat('s', cast(user_id as string)) end as instance_id,
+          concat('A', cast(2101 + user_id % 12 as string), '&B', cast(2101 + user_id % 7 as string)) as spread,
+          ts + interval '50' day * (user_id % 4) as datetime,
           case when event_type in ('signup', 'purchase') then 'LONG' else 'SHORT' end as direction,
           case when event_type in ('signup', 'view') then 'OPEN' else 'CLOSE' end as offset_,
           100 + value as price, cast(1 + event_id % 5 as int) as volume,
           cast(1 + event_id % 3 as double) as commission, event_id as row_id
-        from events where event_type <> 'error'""",
+        from events""",
     "fx_signals": """
-        select concat('R', cast(user_id % 3 as string)) as run_id,
+        select concat('R', cast(user_id % 4 as string)) as run_id,
           concat('A', cast(2101 + user_id % 12 as string), '&B', cast(2101 + user_id % 7 as string)) as symbol,
-          ts as action_datetime, 100 + value as price,
+          ts + interval '100' day * (user_id % 3) as action_datetime, 100 + value as price,
           case when event_type in ('signup', 'view', 'error') then 'open' else 'close' end as offset_, value * 10 as bar_oi
         from events""",
     "fx_rolls": """
-        select distinct l_returnflag as run_id, cast(l_shipdate as date) as tradingday
-        from lineitem where extract(day from l_shipdate) = 15 and extract(month from l_shipdate) in (3, 6, 9, 12)""",
+        select distinct l_returnflag as run_id,
+          case when extract(day from l_shipdate) = 15 and extract(month from l_shipdate) in (3, 6, 9, 12)
+            then cast(l_shipdate as date) end as tradingday
+        from lineitem""",
     "fx_bars": """
         select concat('A', cast(2101 + user_id % 12 as string), '&B', cast(2101 + user_id % 7 as string)) as spread,
           ts as datetime, 100 + value as close, event_id as row_id
@@ -74,7 +80,9 @@ VIEWS = {
     "fx_capital": """
         select o_orderstatus as run_id, last_day(cast(o_orderdate as date)) as date,
           cast(sum(case when o_orderpriority = '1-URGENT' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) as q5,
+          cast(sum(case when o_orderpriority = '2-HIGH' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) as q4,
           cast(sum(case when o_orderpriority = '3-MEDIUM' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) as q3,
+          cast(sum(case when o_orderpriority = '4-NOT SPECIFIED' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) as q2,
           cast(sum(case when o_orderpriority = '5-LOW' then cast(o_totalprice as decimal(18,2)) else 0 end) as double) as q1
         from orders group by 1, 2""",
     "fx_ic": """
@@ -90,7 +98,7 @@ VIEWS = {
 }
 
 RAW_TABLES = ("lineitem", "part", "orders", "events")
-STRATEGIES = ("q5", "q3", "q1")
+STRATEGIES = ("q5", "q4", "q3", "q2", "q1")
 
 
 def with_views(*names: str) -> str:

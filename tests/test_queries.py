@@ -35,3 +35,13 @@ def test_query(spark, con, name):
     assert "SinglePartition" not in plan or name in COUNT_RUNS
     expected = con.sql(SQL[name]).to_arrow_table()
     assert oracle.compare(built.toArrow(), expected) == []
+
+
+def test_fixtures_reach_every_branch(spark):
+    rows = lambda name: QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    coverage = rows("signal_day_coverage")
+    assert any(not r["has_fills"] for r in coverage) and any(r["days_signal_only"] and r["days_with_fill"] for r in coverage)
+    assert any(r["conversion"] is None for r in rows("signal_fill_monthly"))
+    daily = rows("signal_fill_daily")
+    assert any(r["signals"] == 0 for r in daily) and any(r["fills"] == 0 for r in daily)
+    assert any(r["z"] is not None for r in rows("zscore_default"))
