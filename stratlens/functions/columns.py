@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +100,8 @@ def strict_timestamp(text: Column | str) -> Column:
     parsed = lenient_timestamp(raw)
     problem = F.raise_error(F.concat(F.lit("not a date or time: "), raw.cast("string")))
     return F.when(raw.isNotNull() & parsed.isNull(), problem.cast("timestamp_ntz")).otherwise(parsed)
+
+
+def named_or_at(columns: Sequence[str], name: str, place: int) -> str:
+    """The column of that name, else the one in that place."""
+    return name if name in columns else columns[place]

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratlens.functions.columns import named_or_at
+
 
 def factor_ic(ic: DataFrame) -> DataFrame:
     """Mean information coefficient per factor; tables without these names use their end columns."""
     columns = [name for name in ic.columns if name != "run_id"]
-    factor = "factor" if "factor" in columns else columns[0]
-    value = "ic_mean" if "ic_mean" in columns else columns[-1]
+    factor, value = named_or_at(columns, "factor", 0), named_or_at(columns, "ic_mean", -1)
     return ic.select(
         "run_id", F.coalesce(F.col(factor).cast("string"), F.lit("nan")).alias("factor"), F.col(value).cast("double").alias("ic_mean")
     )

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratlens.functions.columns import finite, strict_timestamp
+from stratlens.functions.columns import finite, named_or_at, strict_timestamp
 from stratlens.operators.returns import capital_to_portfolio, first_strategy
-from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, read_tables
+from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, read_tables, read_wide
 from stratlens.sources.runs import list_runs, run_files, run_of
 from stratlens.sources.tables import RunTables, empty_table
 
@@ -34,21 +34,30 @@ def _text(name: str) -> Column:
     return F.coalesce(_cell(name), F.lit("nan"))
 
 
-def _curves(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    """Wide text cells to one row per date and strategy, with the column's place in its file."""
-    strategies = [name for name in header if name != "date"]
-    if "date" not in header or not strategies:
-        return empty_table(df.sparkSession, "capital_curves")
-    points = [
-        F.struct(F.lit(name).alias("strategy"), F.lit(i).alias("col_pos"), _number(name).alias("capital"))
-        for i, name in enumerate(strategies)
-    ]
-    return df.select("run_id", strict_timestamp("date").cast("date").alias("date"), F.inline(F.array(*points)))
+def _curves(spark: SparkSession, files: Sequence[InputFile], owner_of: Column) -> DataFrame:
+    """Capital curves, one row per date and strategy, with the column's place among a file's strategies.
+
+    Files without a date column have none.
+    """
+    if not files:
+        return empty_table(spark, "capital_curves")
+    cells = read_wide(spark, [file.path for file in files], "run_id", owner_of)
+    row = Window.partitionBy("path", "line")
+    dated = cells.withColumns(
+        {
+            "date": F.max(F.when(F.col("name") == "date", F.col("cell"))).over(row),
+            "date_place": F.max(F.when(F.col("name") == "date", F.col("place"))).over(row),
+        }
+    ).where("date_place is not null and name <> 'date'")
+    place = F.col("place") - (F.col("place") > F.col("date_place")).cast("int")
+    return dated.select(
+        "run_id", strict_timestamp("date").cast("date").alias("date"), F.col("name").alias("strategy"),
+        place.cast("int").alias("col_pos"), _number("cell").alias("capital"),
+    )
 
 
 def _information(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    factor = "factor" if "factor" in header else header[0]
-    mean = "ic_mean" if "ic_mean" in header else header[-1]
+    factor, mean = named_or_at(header, "factor", 0), named_or_at(header, "ic_mean", -1)
     return df.select("run_id", _text(factor).alias("factor"), _number(mean).alias("ic_mean"))
 
 
@@ -80,15 +89,16 @@ def load_equity_runs(
         at_root = posixpath.basename(root.rstrip("/"))
     runs = [] if at_root else list_runs(spark, root, wanted)
 
-    def load(table: str, name: str, shape) -> DataFrame:
+    def files_of(name: str) -> list[InputFile]:
         if at_root:
-            files = [InputFile(path, at_root) for path in glob(spark, f"{escape_glob(root)}/{name}")]
-        else:
-            files = run_files(spark, root, name, runs)
-        loaded = read_tables(spark, files, shape, run_of(name))
+            return [InputFile(path, at_root) for path in glob(spark, f"{escape_glob(root)}/{name}")]
+        return run_files(spark, root, name, runs)
+
+    def load(table: str, name: str, shape) -> DataFrame:
+        loaded = read_tables(spark, files_of(name), shape, run_of(name))
         return empty_table(spark, table) if loaded is None else loaded
 
-    curves = load("capital_curves", CAPITAL_FILE, _curves)
+    curves = _curves(spark, files_of(CAPITAL_FILE), run_of(CAPITAL_FILE))
     chosen = curves if strategy else first_strategy(curves)
     return RunTables.of(
         spark,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from stratlens.schemas import NA_TOKENS
 
 BOM = "\ufeff"
+CORRUPT = "_row_with_other_cells"
 
 
 @dataclass(frozen=True)
@@ -108,11 +109,20 @@ def read_strings(
 ) -> DataFrame:
     """All cells of same-header files as text, missing-value words as NULL, led by ``owner``.
 
-    ``row_id`` grows along each scanned piece of a file and breaks ties between equal times.
+    ``row_id`` grows along each scanned piece of a file and breaks ties between equal times. A row with more
+    cells than its header fails the read; missing cells are NULL.
     """
-    schema = ", ".join(f"{_quoted(name)} string" for name in columns)
+    schema = ", ".join(f"{_quoted(name)} string" for name in [*columns, CORRUPT])
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+    # Without all columns parsed, a row's number of cells would not be seen.
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     raw = reader.csv([escape_glob(path) for path in paths])
+    outside_quotes = F.regexp_replace(CORRUPT, '"[^"]*"', "")
+    cells_found = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
+    message = F.concat(F.lit("more cells than the header has in "), F.col("_metadata.file_path"))
+    # Spark reads the column of odd rows only together with another one.
+    always = F.length(F.coalesce(F.col(_quoted(columns[0])), F.lit(""))) >= 0
+    raw = raw.where(F.when(cells_found > len(columns), F.raise_error(message).cast("boolean")).otherwise(always))
     words = F.array(*[F.lit(token) for token in NA_TOKENS])
     cells = [F.when(~F.array_contains(words, F.col(_quoted(n))), F.col(_quoted(n))).alias(n) for n in columns]
     return raw.select(owner_of.alias(owner), *cells, F.monotonically_increasing_id().alias("row_id"))
@@ -133,3 +143,38 @@ def read_tables(
         return None
     parts = [shape(read_strings(spark, paths, header, owner, owner_of), header) for header, paths in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_wide(spark: SparkSession, paths: Sequence[str], owner: str, owner_of: Column) -> DataFrame:
+    """Files whose headers are data (a column per series): one row per line and cell, whatever the headers.
+
+    ``owner, path, line, place, name, cell``. Headers are rows like any other: each file's first line, joined to
+    its other lines by path, so that the plan is the same however many headers there are. Lines are split at
+    commas outside quotes; a quoted cell may hold commas and doubled quotes, not line breaks.
+    """
+    lines = spark.read.text([escape_glob(path) for path in paths]).select(
+        owner_of.alias(owner), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    heads = lines.where("start = 0").groupBy("path").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("head"))
+    joined = lines.where(F.trim("value") != "").join(heads, "path").where("line <> first").withColumns(
+        {"cells": _cells(F.col("value")), "names": _cells(F.replace("head", F.lit(BOM), F.lit("")))}
+    )
+    too_many = F.concat(F.lit("more cells than the header has in "), F.col("path"))
+    kept = joined.where(
+        F.when(F.size("cells") > F.size("names"), F.raise_error(too_many).cast("boolean")).otherwise(F.lit(True))
+    )
+    words = F.array(*[F.lit(token) for token in NA_TOKENS])
+    pairs = F.transform(
+        "names", lambda name, i: F.struct(i.alias("place"), name.alias("name"), F.get("cells", i).alias("cell"))
+    )
+    return kept.select(owner, "path", "line", F.inline(pairs)).withColumn(
+        "cell", F.when(~F.array_contains(words, F.col("cell")), F.col("cell"))
+    )
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, quotes removed."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    quoted = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(c))

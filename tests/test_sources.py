@@ -96,9 +96,9 @@ def test_unreadable_date_fails(spark, tmp_path):
 
 def test_equity_runs(spark, tmp_path):
     put(tmp_path / "demo/capital_curves.csv", "date,q5,q1\n2025-01-31,10000,9800\n2025-02-28,10200,9900\n2025-03-31,10100,9700\n")
-    put(tmp_path / "demo/ic_summary.csv", "factor,ic_mean\npe,0.03\n")
+    put(tmp_path / "demo/ic_summary.csv", "factor,ic_mean\nbook,0.07\n")
     put(tmp_path / "other/capital_curves.csv", "ols,date\n10000,2025-01-31\n,2025-02-28\n10300,2025-03-31\n")
-    put(tmp_path / "other/ic_summary.csv", "name,ignored,value\nmomentum_20d,x,0.04\n")
+    put(tmp_path / "other/ic_summary.csv", "name,ignored,value\nskew_5d,x,-0.02\n")
     put(tmp_path / "bare/synthesis_comparison_summary.csv", "method,n,score\nrank,1,0.5\n")
     tables = load_equity_runs(spark, str(tmp_path))
 
@@ -112,8 +112,8 @@ def test_equity_runs(spark, tmp_path):
 
     built = reports.build_reports(tables, "equity", "equity")
     assert {(r["run_id"], r["factor"], r["ic_mean"]) for r in built["factor_ic"].collect()} == {
-        ("demo", "pe", 0.03),
-        ("other", "momentum_20d", 0.04),
+        ("demo", "book", 0.07),
+        ("other", "skew_5d", -0.02),
     }
     assert [r["spread"] for r in built["quantile_spread"].orderBy("date").collect()] == [200.0, 300.0, 400.0]
     assert [tuple(r) for r in built["synthesis_fallback"].collect()] == [("bare", "rank", 0.5)]
@@ -177,3 +177,23 @@ def test_one_run_is_rewritten_alone_and_sorted(spark, tmp_path):
     for name in files:
         dates = [r["date"] for r in spark.read.parquet(name).collect()]
         assert dates == sorted(dates)
+
+
+def test_row_with_more_cells_than_the_header_fails(spark, tmp_path):
+    put(tmp_path / "r/rolls/roll_events.csv", 'tradingday,x\n2024-01-03,"a,b"\n2024-01-04\n')
+    assert load_runs(spark, str(tmp_path)).rolls.count() == 2
+    put(tmp_path / "s/rolls/roll_events.csv", "tradingday,x\n2024-01-03,1,2,3\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        load_runs(spark, str(tmp_path)).rolls.count()
+
+
+def test_many_headers_are_one_plan(spark, tmp_path):
+    for i in range(200):
+        put(tmp_path / f"run{i:03d}/capital_curves.csv", f'"s,{i}",date,t{i}\n{i},2024-01-02,NA\n{i + 1},2024-01-03,5\n', "utf-8-sig")
+    put(tmp_path / "undated/capital_curves.csv", "a,b\n1,2\n")
+    curves = load_equity_runs(spark, str(tmp_path)).capital_curves
+    plan = curves._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("FileScan text") == 2
+    rows = {(r["run_id"], r["date"].day, r["col_pos"]): (r["strategy"], r["capital"]) for r in curves.collect()}
+    assert len(rows) == 800 and rows["run007", 2, 0] == ("s,7", 7.0) and rows["run199", 3, 1] == ("t199", 5.0)
+    assert rows["run000", 2, 1] == ("t0", None)
