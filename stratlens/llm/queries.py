@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, hnsw, html, language, minhash, packing, rules, suffixes, warc
+from stratlens.llm import bpe, crossentropy, hnsw, html, language, minhash, packing, rules, suffixes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,12 @@ def _minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def _cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target: documents labelled good and not toxic."""
+    targets = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return crossentropy.differences(_table(spark, sf_dir, "documents"), targets)
+
+
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -54,6 +60,7 @@ def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
+        "op2_cross_entropy_difference": _cross_entropy,
         "op3_quality_rules": _rules,
         "op4_warc_chunks": _warc,
         "op5_language_id": _language,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratlens.llm import bpe, language, minhash, packing, rules, shared, suffixes, text
+from stratlens.llm import bpe, crossentropy, language, minhash, packing, rules, shared, suffixes, text
 from tests.llm import brute
 
 # Nulls, empty texts, repeated rows, ties, one long text; the extra columns clash with the operators' own.
@@ -313,3 +315,53 @@ def test_without_repeats_keeps_columns(spark):
     assert left.columns == docs.columns
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in left.collect()}
     assert got == {1: (own, len(own)), 2: ("tail", 4), 3: (None, 3)}
+
+
+def plain_differences(docs, targets):
+    """Losses from dictionaries of counts; bigrams are told apart by their slot only."""
+    encoding = crossentropy._encoding(crossentropy.vocabulary())
+    coded = {i: [crossentropy.START, *encoding.encode_ordinary(t or "")] for i, t in docs}
+    slot = lambda v, w: int(crossentropy.bigram_slots(np.array([v]), np.array([w]))[0])
+    pairs = {i: [(slot(v, w), v, w) for v, w in zip(ids, ids[1:], strict=False)] for i, ids in coded.items()}
+    models = []
+    for chosen in (targets, set(coded)):
+        counts = [Counter(p[k] for i in chosen for p in pairs.get(i, [])) for k in range(3)]
+        models.append((counts, sum(counts[2].values())))
+    scale = (1.0, models[0][1] / models[1][1])
+    out = {}
+    for i, own in pairs.items():
+        losses = []
+        for ((bigrams, contexts, tokens), total), times in zip(models, scale, strict=True):
+            loss = 0.0
+            for s, v, w in own:
+                share = (tokens[w] + 1) / (total + crossentropy.TOKENS)
+                loss -= math.log((bigrams[s] * times + 50 * share) / (contexts[v] * times + 50))
+            losses.append(loss / len(own) if own else None)
+        out[i] = (len(own), *losses, losses[0] - losses[1] if own else None)
+    return out
+
+
+def losses(rows):
+    return {r["doc_id"]: (r["n_tokens"], r["target_loss"], r["background_loss"], r["score"]) for r in rows}
+
+
+def same(got, want):
+    assert got.keys() == want.keys()
+    for i, row in got.items():
+        assert row == pytest.approx(want[i], rel=1e-5, abs=1e-6), i
+
+
+def test_cross_entropy(run, rows):
+    docs = rows("documents", "doc_id, text")
+    targets = {i for i, q, t in rows("labels", "doc_id, quality, toxic") if q == 1 and t == 0}
+    got = losses(run("op2_cross_entropy_difference"))
+    same(got, plain_differences(docs, targets & {i for i, _ in docs}))
+
+
+def test_cross_entropy_of_odd_rows(spark):
+    odd = [row for row in ODD if row[0] not in (6, 7)]
+    targets = spark.createDataFrame([(4,), (4,), (None,), (99,)], "doc_id long")
+    same(losses(crossentropy.differences(table(spark, odd), targets).collect()), plain_differences(odd, {4}))
+    none = crossentropy.differences(table(spark, odd), targets.where("false")).collect()
+    assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in none)
+    assert crossentropy.differences(empty(spark), targets).collect() == []
