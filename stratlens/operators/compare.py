@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.functions.columns import clip01
@@ -15,13 +15,19 @@ def run_scorecard(portfolio: DataFrame, block: str | None = None) -> DataFrame:
 
 
 def multi_nav(portfolio: DataFrame, block: str | None = None) -> DataFrame:
-    return portfolio_nav(portfolio, ("run_id",), block).select("run_id", "date", "nav")
+    """Net values of all runs, if there are at least two to compare."""
+    priced = portfolio_nav(portfolio, ("run_id",), block).select("run_id", "date", "nav")
+    return priced.filter(_several(portfolio))
+
+
+def _several(runs: DataFrame) -> Column:
+    """Whether the table holds at least two runs: one row per run and task is counted."""
+    return runs.agg((F.count_distinct("run_id") >= 2).alias("many")).scalar()
 
 
 def _comparable(scorecard: DataFrame) -> DataFrame:
     """Keep nothing unless there are at least two runs to compare."""
-    count = scorecard.agg((F.count_distinct("run_id") >= 2).alias("many"))
-    return scorecard.filter(count.scalar())
+    return scorecard.filter(_several(scorecard))
 
 
 def run_radar(scorecard: DataFrame) -> DataFrame:

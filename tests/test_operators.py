@@ -316,6 +316,8 @@ def test_radar_needs_two_runs(spark):
     assert axes["a", "net_of_commission"] == pytest.approx(1 - 200 / 600)
     assert compare.return_vs_drawdown(two).count() == 2
     assert compare.run_radar(two.filter("run_id = 'a'")).count() == 0
+    both = portfolio(spark, {"a": [0.1, 0.05], "b": [-0.1]}, extra)
+    assert compare.multi_nav(both).count() == 3 and compare.multi_nav(both.filter("run_id = 'a'")).count() == 0
 
 
 def test_quantile_spread_needs_two_curves(spark):

@@ -11,7 +11,7 @@ from tests import oracle
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = entry.analytics(), entry.analytics_sql()
-COUNT_RUNS = {"run_radar", "return_vs_drawdown"}  # end in one count of the runs, a row per task
+COUNT_RUNS = {"run_radar", "return_vs_drawdown", "multi_nav"}  # end in one count of the runs, a row per task
 
 
 @pytest.fixture(scope="module")
