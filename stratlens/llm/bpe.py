@@ -4,14 +4,15 @@ A task looks up the words it has met before. Words that are new to it go, some t
 one recursive query: rows (word, position, token, next token) join the merge table, each word's
 lowest rank is contracted at its leftmost place, and words without a mergeable pair leave with their
 last tokens. For words of over LONG bytes a second form contracts, in the same step, every hit of the lowest
-rank that has no hit just before it, so that a long run takes few steps. Another query decodes the
+rank, of a run of overlapping hits every other one, so that a long run takes few steps; for words of over VERY_LONG bytes the
+steps replace one table, so that memory follows the word and not the number of steps. Another query decodes the
 words' ids: tokens joined to their bytes and put together in order. What a task holds is bounded by the batch and by the cache's size.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -27,7 +28,7 @@ from stratlens.llm.tokens import WordCache
 
 SLICE = 4 << 20
 
-LONG = 64
+LONG, VERY_LONG = 64, 4096
 
 ENCODE = """
 with recursive step as (
@@ -50,26 +51,30 @@ with recursive step as (
 select word, list(token order by pos) as ids from step where not active group by word
 """
 
-ENCODE_LONG = """
-with recursive step as (
-  select word, pos, token, true as active from start
-  union all
-  (with pairs as (
-     select s.word, s.pos, s.token, s.after, m.merged
-     from (select word, pos, token, lead(token) over (partition by word order by pos) as after from step where active) s
-     left join merges m on m.l = s.token and m.r = s.after),
-   hits as (
-     select *, min(merged) over (partition by word) as best, lag(merged) over w as before, lag(merged, 2) over w as before2
-     from pairs window w as (partition by word order by pos)),
-   chosen as (
-     select *, coalesce(merged = best and (before is null or before <> best), false) as joined,
-       coalesce(before = best and (before2 is null or before2 <> best), false) as eaten
-     from hits)
-   select word, pos, case when joined then merged else token end, best is not null from chosen where not eaten)
-)
-select word, list(token order by pos) as ids from step where not active group by word
+STEP = """
+with pairs as (
+  select s.word, s.pos, s.token, s.after, m.merged
+  from (select word, pos, token, lead(token) over (partition by word order by pos) as after from step where active) s
+  left join merges m on m.l = s.token and m.r = s.after),
+hits as (
+  select *, coalesce(merged = min(merged) over (partition by word), false) as hit, max(merged) over (partition by word) is not null as more,
+    row_number() over (partition by word order by pos) as place
+  from pairs),
+runs as (
+  select *, place - row_number() over (partition by word, hit order by pos) as run from hits),
+chosen as (
+  select *, hit and row_number() over (partition by word, hit, run order by pos) % 2 = 1 as joined from runs),
+marked as (
+  select *, coalesce(lag(joined) over (partition by word order by pos), false) as eaten from chosen)
+select word, pos, case when joined then merged else token end as token, more as active from marked where not eaten
 """
 
+FIRST = "select word, pos, token, true as active from start"
+
+LAST = "select word, list(token order by pos) as ids from step where not active group by word"
+
+ENCODE_LONG = f"with recursive step as ({FIRST} union all ({STEP})) {LAST}"
+
 DECODE = """
 select i.word, string_agg(t.hex, '' order by i.pos) as hex
 from (select word, unnest(ids) as token, generate_subscripts(ids, 1) as pos from coded) i join tokens t using (token)
@@ -113,7 +118,9 @@ class Codec:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, by the recursive queries."""
         out, raw = [b""] * len(words), [w.encode() for w in words]
-        for query, chosen in ((ENCODE, [k for k, w in enumerate(raw) if len(w) <= LONG]), (ENCODE_LONG, [k for k, w in enumerate(raw) if len(w) > LONG])):
+        forms = ((self._recursive(ENCODE), 0, LONG), (self._recursive(ENCODE_LONG), LONG, VERY_LONG), (self._stepwise, VERY_LONG, 2**31))
+        for query, above, most in forms:
+            chosen = [k for k, w in enumerate(raw) if above < len(w) <= most]
             if not chosen:
                 continue
             data = np.frombuffer(b"".join(raw[k] for k in chosen), np.uint8)
@@ -121,7 +128,7 @@ class Codec:
             word = np.repeat(np.arange(len(chosen), dtype=np.int32), lengths)
             pos = np.arange(len(data), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
             self._table("start", pa.table({"word": word, "pos": pos, "token": self.single[data]}))
-            found = self.db.sql(query).to_arrow_table()
+            found = query()
             ids = found["ids"].combine_chunks()
             ends = (4 * ids.offsets.to_numpy()).tolist()
             data = ids.values.to_numpy().astype("<u4").tobytes()
@@ -129,6 +136,17 @@ class Codec:
                 out[chosen[k]] = data[a:b]
         return out
 
+    def _recursive(self, query: str) -> Callable[[], pa.Table]:
+        return lambda: self.db.sql(query).to_arrow_table()
+
+    def _stepwise(self) -> pa.Table:
+        """The same steps with one table in place of the recursion, which would keep the rows of all steps."""
+        self.db.execute(f"create or replace table step as {FIRST}")
+        while self.db.sql("select 1 from step where active limit 1").fetchall():
+            done = "select word, pos, token, active from step where not active"
+            self.db.execute(f"create or replace table step as ({STEP}) union all ({done})")
+        return self.db.sql(LAST).to_arrow_table()
+
     def decode_words(self, coded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
         ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)

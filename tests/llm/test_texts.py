@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import math
 import random
@@ -192,17 +191,23 @@ def test_byte_pairs_of_odd_rows(spark, tiktoken_encoding):
     assert bpe.digests(empty(spark)).collect() == []
 
 
-def test_recursive_forms_agree():
+def test_recursive_forms_agree(monkeypatch):
     codec = bpe.Codec(bpe.vocabulary())
-    words = ["banana", "x" * 60, "abab" * 10, "tionation", "é" * 9, "q"]
+    words = ["banana", "x" * 60, "abab" * 10, "tionation", "é" * 9, "q", "日本語のテキスト"]
     short = codec.encode_words(words)
-    bpe_long, bpe.LONG = bpe.LONG, 0
-    try:
-        assert codec.encode_words(words) == short
-    finally:
-        bpe.LONG = bpe_long
-    assert codec.decode_words(short) == [w.encode() for w in words]
-    assert base64.b64encode(codec.decode_words([b""])[0]) == b""
+    monkeypatch.setattr(bpe, "LONG", 0)
+    assert codec.encode_words(words) == short
+    monkeypatch.setattr(bpe, "VERY_LONG", 0)
+    assert codec.encode_words(words) == short
+    assert codec.decode_words([*short, b""]) == [*(w.encode() for w in words), b""]
+
+
+def test_very_long_words(tiktoken_encoding):
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), "漢字仮名" * 1500]
+    codec = bpe.Codec(bpe.vocabulary())
+    for word, ids in zip(words, codec.encode_words(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tiktoken_encoding.encode_ordinary(word)
 
 
 def packed(found, docs):
