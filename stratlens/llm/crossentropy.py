@@ -104,7 +104,8 @@ def fit(docs: DataFrame, targets: DataFrame, path: str | None = None) -> Model:
     """Both models from docs (doc_id, text); the target's documents are those with an id in targets (doc_id)."""
     ids = targets.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = rows.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("wanted"))
+    # The list of targets grows with the corpus, so the join is the same shuffle at every size.
+    flagged = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("wanted"))
     sums = flagged.mapInArrow(_count(path or vocabulary()), "slot int, target long, background long")
     summed = shared.cut(sums.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
     counts = np.zeros((2, SLOTS + 2 * TOKENS), np.int64)
