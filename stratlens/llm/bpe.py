@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stratlens.llm import text
 from stratlens.llm.tokens import WordCache
 
-SLICE = 4 << 20
+SLICE, CHUNK = 4 << 20, 256 << 10
 
 LONG, VERY_LONG = 64, 4096
 
@@ -76,9 +76,7 @@ LAST = "select word, list(token order by pos) as ids from step where not active
 ENCODE_LONG = f"with recursive step as ({FIRST} union all ({STEP})) {LAST}"
 
 DECODE = """
-select i.word, string_agg(t.hex, '' order by i.pos) as hex
-from (select word, unnest(ids) as token, generate_subscripts(ids, 1) as pos from coded) i join tokens t using (token)
-group by i.word
+select c.word, string_agg(t.hex, '' order by c.pos) as hex from coded c join tokens t using (token) group by c.word
 """
 
 
@@ -117,7 +115,16 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, by the recursive queries."""
-        out, raw = [b""] * len(words), [w.encode() for w in words]
+        raw, out, at = [w.encode() for w in words], [], 0
+        ends = np.cumsum([len(w) for w in raw])
+        while at < len(raw):  # what a query holds is bounded by CHUNK bytes of words, or one longer word
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            out += self._encode_chunk(raw[at:to])
+            at = to
+        return out
+
+    def _encode_chunk(self, raw: list[bytes]) -> list[bytes]:
+        out = [b""] * len(raw)
         forms = ((self._recursive(ENCODE), 0, LONG), (self._recursive(ENCODE_LONG), LONG, VERY_LONG), (self._stepwise, VERY_LONG, 2**31))
         for query, above, most in forms:
             chosen = [k for k, w in enumerate(raw) if above < len(w) <= most]
@@ -149,10 +156,11 @@ class Codec:
 
     def decode_words(self, coded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids, by ordered aggregation."""
-        ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
-        rows = pa.table({"word": pa.array(range(len(coded)), pa.int32()), "ids": ids})
-        self._table("coded", rows)
+        lengths = np.array([len(c) // 4 for c in coded], np.int64)
+        token = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+        word = np.repeat(np.arange(len(coded), dtype=np.int32), lengths)
+        pos = np.arange(len(token), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
+        self._table("coded", pa.table({"word": word, "pos": pos, "token": token}))
         found = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(coded)
         for k, digits in zip(found["word"].to_pylist(), found["hex"].to_pylist(), strict=True):

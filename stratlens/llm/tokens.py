@@ -65,8 +65,9 @@ class WordCache:
         self.encode, self.exact, self.known = encode, exact, Generations(entries, width)
 
     def joined(self, texts: list[str]) -> list[tuple[bytes, ...]]:
-        odd = [k for k, t in enumerate(texts) if ODD(t)]
         split = [PLAIN(t) for t in texts]
+        # What PLAIN leaves out, or two line ends in a row, makes a text odd.
+        odd = [k for k, t in enumerate(texts) if sum(map(len, split[k])) != len(t) or "\n\n" in t]
         whole = {}
         for k in odd:
             split[k] = self.exact(texts[k]) if self.exact else []
