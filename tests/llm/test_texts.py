@@ -371,3 +371,30 @@ def test_cross_entropy_of_odd_rows(spark):
     none = crossentropy.differences(table(spark, odd), targets.where("false")).collect()
     assert all((r["score"] is None) == (r["n_tokens"] == 0) for r in none)
     assert crossentropy.differences(empty(spark), targets).collect() == []
+
+
+def test_cross_entropy_counts_each_bigram_apart(spark, monkeypatch):
+    """Against counts by pairs of tokens, where so many distinct bigrams fall together in a table of 2^20 hashed slots."""
+    monkeypatch.setattr(crossentropy, "CHUNK", 1 << 16, raising=False)
+    encoding = crossentropy._encoding(crossentropy.vocabulary())
+    draw = random.Random(5)
+    docs = [(i, "".join(f" {chr(draw.randrange(97, 123))}{draw.randrange(10**6)}" for _ in range(4000))) for i in range(120)]
+    coded = {i: [crossentropy.START, *encoding.encode_ordinary(t)] for i, t in docs}
+    pairs = {i: list(zip(ids, ids[1:], strict=False)) for i, ids in coded.items()}
+    models = []
+    for chosen in (range(0, 120, 7), coded):
+        bigrams = Counter(p for i in chosen for p in pairs[i])
+        models.append((bigrams, Counter(p[0] for i in chosen for p in pairs[i]), Counter(p[1] for i in chosen for p in pairs[i])))
+    totals = [sum(m[0].values()) for m in models]
+    targets = spark.createDataFrame([(i,) for i in range(0, 120, 7)], "doc_id long")
+    got = losses(crossentropy.differences(table(spark, docs), targets).collect())
+    assert len(got) == len(docs)
+    for i, own in pairs.items():
+        want = []
+        for (bigrams, contexts, tokens), total in zip(models, totals, strict=True):
+            times = totals[0] / total
+            want.append(sum(
+                math.log((contexts[v] * times + 50) / (bigrams[v, w] * times + 50 * (tokens[w] + 1) / (total + crossentropy.TOKENS)))
+                for v, w in own
+            ) / len(own))
+        assert got[i] == pytest.approx((len(own), *want, want[0] - want[1]), rel=1e-5, abs=1e-6), i
