@@ -26,8 +26,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id."""
-    return minhash.deduplicated(docs)
+    """One document of each class of near duplicates (similarity 0.80 or more), the one with the smallest id."""
+    return minhash.deduplicated(docs, percent=80)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,11 +13,13 @@ there each pair of rows is estimated with one matrix operation, confirmed on ful
 ends are already connected, and a spanning forest of the links is emitted. No bucket is cut and no
 candidate dropped; an edge between already connected documents cannot change a component.
 
-Chances of missing a pair of similarity exactly 0.85: 4e-7 by the bands, 3e-7 by the estimate.
+Chances of missing a pair of similarity exactly 0.85: 4e-7 by the bands, 3e-7 by the estimate; of exactly
+0.80: 5e-5 and 3e-7.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -33,8 +35,6 @@ from stratlens.llm import shared, text
 HASHES, BITS, BANDS, ROWS = 128, 2, 25, 5
 SMALL, BLOCK = 48, 128
 PERCENT = 85
-# Five standard deviations of the estimate below the threshold.
-MARGIN = 0.185
 
 _A = text.randoms(HASHES, 11).astype(np.uint32) | np.uint32(1)
 _B = text.randoms(HASHES, 12).astype(np.uint32)
@@ -112,12 +112,19 @@ def estimate(left: str, right: str) -> Column:
     return ((1 - (differing[0] + differing[1]) / HASHES) - chance) / (1 - chance)
 
 
+def least_estimate(percent: int) -> float:
+    """Five standard deviations of the estimate below the threshold."""
+    chance = 0.5**BITS
+    equal = chance + (1 - chance) * percent / 100
+    return percent / 100 - 5 * math.sqrt(equal * (1 - equal) / HASHES) / (1 - chance)
+
+
 def linked(common: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
     return 100 * common >= percent * (n + m - common)
 
 
 def _block_links(percent: int):
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         band = int(pdf["band"].iloc[0])
@@ -197,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             few.alias("r"),
             (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep"))
             & (100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles"))
-            & (estimate("l", "r") >= percent / 100 - MARGIN),
+            & (estimate("l", "r") >= least_estimate(percent)),
         ).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
     )
     both = F.size(F.array_intersect("left", "right"))

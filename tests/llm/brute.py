@@ -29,7 +29,7 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """{doc_id: (n_shingles, component, kept)} from (doc_id, text) pairs with distinct ids."""
     sets = {i: shingles(t) for i, t in docs}
     holders = defaultdict(list)
@@ -39,7 +39,7 @@ def near_duplicates(docs):
     links = set()
     for i, s in sets.items():
         common = Counter(j for x in s for j in holders[x] if j > i)
-        links |= {(i, j) for j, n in common.items() if 100 * n >= 85 * (len(s) + len(sets[j]) - n)}
+        links |= {(i, j) for j, n in common.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)}
     roots = components(sets, links)
     return {i: (len(sets[i]), roots[i], roots[i] == i) for i in sets}
 

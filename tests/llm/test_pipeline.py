@@ -84,3 +84,18 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """Copies with words added, on both sides of 0.80 and of 0.85: 100 of 100 + k shingles are shared."""
+    draw = random.Random(4)
+    words = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in (10, 17, 18, 20, 24, 25, 26, 30):
+        for _ in range(6):
+            text = words(104)
+            rows += [(len(rows), text), (len(rows) + 1, f"{text} {words(k)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0) for i, t in rows], DOCUMENTS)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    found = brute.near_duplicates(rows, 80)
+    assert kept == {i for i, _ in rows if found[i][2]} and len(kept) == 6 * (6 + 2 * 2)
