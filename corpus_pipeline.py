@@ -15,7 +15,7 @@ from stratlens.llm import language, minhash, packing, rules, shared, suffixes
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; a text that is null, has no letter or stays undecided goes."""
+    """Documents whose language is found, however unsure; a text that is null or has no letter goes, and each text if nothing was learned."""
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     return language.accepted(docs, model)
 

@@ -210,20 +210,20 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is found with a score of at least least."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that predicted() does not call und, whatever their score."""
     shared_model = docs.sparkSession.sparkContext.broadcast(model)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared_model.value
         for batch in batches:
             offsets, data = _lower(batch.column("text"))
-            texts, sure = batch.column("text"), []
+            texts, found = batch.column("text"), []
             for i, j in text.slices(offsets):
-                _, score = fitted.predict(offsets[i : j + 1], data)
+                names, _ = fitted.predict(offsets[i : j + 1], data)
                 known = [t is not None and _HAS_LETTER(t) is not None for t in texts.slice(i, j - i).to_pylist()]
-                sure.append((score >= least) & np.array(known, bool))
-            yield batch.filter(pa.array(np.concatenate(sure) if sure else np.zeros(0, bool)))
+                found.append(np.array([bool(name and letters) for name, letters in zip(names, known, strict=True)], bool))
+            yield batch.filter(pa.array(np.concatenate(found) if found else np.zeros(0, bool)))
 
     return docs.mapInArrow(accept, docs.schema)
 

@@ -322,6 +322,19 @@ def test_without_repeats_keeps_columns(spark):
     assert got == {1: (own, len(own)), 2: ("tail", 4), 3: (None, 3)}
 
 
+def test_documents_of_an_unsure_language_stay(spark, rows):
+    """Some short texts have low scores; only what op5 calls und goes."""
+    texts = rows("documents", "doc_id, text, lang")
+    draw = random.Random(9)
+    mixed = [(i, "".join(draw.choice("qxzjkwvyñßçé ") for _ in range(draw.randrange(3, 9))) + "q") for i in range(300)]
+    labelled = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model, docs = language.fit(labelled), table(spark, mixed + [(900, "a"), (901, "12"), (902, None)])
+    judged = {r["doc_id"]: r for r in language.predicted(docs, model).collect()}
+    assert any(r["score"] < 0.5 for r in judged.values() if r["lang_pred"] != "und")
+    left = {r["doc_id"] for r in language.accepted(docs, model).collect()}
+    assert left == {i for i, r in judged.items() if r["lang_pred"] != "und"}
+
+
 def plain_differences(docs, targets):
     """Losses from dictionaries of counts; bigrams are told apart by their slot only."""
     encoding = crossentropy._encoding(crossentropy.vocabulary())
