@@ -2,10 +2,12 @@
 
 The pages of one host are merged into a style tree: a node is a path of element signatures (tag, class and id
 without digits). For each node the host's pages give the distribution of its presentation (the
-sequence of its children) and of its contents (its text blocks). A node whose pages all look alike has low entropy and
-so low importance; a branch's composite importance mixes the presentation of its root with the importance of what
-hangs below. Branches of low importance are removed from each page, besides elements that are page furniture
-by their tag, role, class or id. On pages with an article or main element only what it holds is text.
+sequence of its children) and of its contents (its text blocks). Importance is the chance that two pages differ
+there: a fixed set of wordings keeps it as a host grows, and equal pages of a host count once. A branch's composite
+importance mixes the presentation of its root with the importance of what hangs below. Branches of low importance are
+removed from each page, besides elements that are page furniture by their tag, role, class or id. On pages
+with an article or main element only what it holds is text; there a branch goes only if nearly all pages carry the
+same blocks in it while the rest of what the element holds differs.
 
 Counts are summed before they move; a host's tree has one row per node, never one per page.
 """
@@ -29,6 +31,8 @@ from stratlens.llm import shared
 
 # Below this importance a branch is noise; hosts with fewer pages at a node say nothing about it.
 IMPORTANCE, LEAST_PAGES, GAMMA = 0.35, 5, 0.9
+# The same below an article or main: about 94 % of the pages carry the same block.
+INSIDE = 0.1
 # Rows of the table of low branches that may be broadcast, and the salts of a join with a larger one.
 BROADCAST, SALTS = 50_000, 32
 
@@ -193,13 +197,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-COUNTS = "host string, path long, parent long, holder boolean, kind int, value long"
+COUNTS = "host string, path long, parent long, holder boolean, inside boolean, kind int, value long"
 LOW = "host string, path long"
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct presentations (kind 0) and contents (kind 1) of each node of each page."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64()]
     names = [c.split(" ")[0] for c in COUNTS.split(", ")]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -215,13 +219,13 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not node.furniture and node.tag not in INLINE:
                     steps = [c for c, before in zip(node.children, [None, *node.children], strict=False) if c != before]
                     style = xxhash.xxh64_intdigest(b"".join(c.to_bytes(8, "little") for c in steps))
-                    seen.add((node.path, nodes[node.parent].path, node.tag in HOLDERS, 0, style))
+                    seen.add((node.path, nodes[node.parent].path, node.tag in HOLDERS, nodes[node.parent].in_holder, 0, style))
             for owner, block in page.blocks:
                 node = nodes[owner]
                 if owner and not node.furniture:
                     value = xxhash.xxh64_intdigest(block.encode())
-                    seen.add((node.path, nodes[node.parent].path, node.tag in HOLDERS, 1, value))
-            rows += [(host, _signed(a), _signed(b), c, d, _signed(e)) for a, b, c, d, e in seen]
+                    seen.add((node.path, nodes[node.parent].path, node.tag in HOLDERS, nodes[node.parent].in_holder, 1, value))
+            rows += [(host, _signed(a), _signed(b), c, d, e, _signed(f)) for a, b, c, d, e, f in seen]
             if len(rows) > 50_000:
                 yield emit(rows)
                 rows = []
@@ -231,7 +235,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def low_branches(tree: pd.DataFrame, threshold: float = IMPORTANCE) -> list[int]:
     """Paths of one host's tree whose composite importance is below threshold.
 
-    tree: path, parent, holder, pages (at the node), style and content importance (content null without own text).
+    tree: path, parent, holder, inside (below a holder), pages (at the node), style and content importance (content null without own text).
     Inline elements are part of their blocks and have no node.
     """
     rows = {r.path: r for r in tree.itertuples()}
@@ -264,11 +268,21 @@ def low_branches(tree: pd.DataFrame, threshold: float = IMPORTANCE) -> list[int]
     for path in rows:
         if path not in importance:
             visit(path)
+
+    def lowest(r) -> float:
+        """What the branch has to reach: below a holder, nothing is judged where the holders themselves are alike."""
+        if not r.inside:
+            return threshold
+        up = rows.get(r.parent)
+        while up is not None and not up.holder:
+            up = rows.get(up.parent)
+        return INSIDE if up is not None and importance[up.path] >= threshold else 0.0
+
     # A branch is noise only if everything in it is: children come before their parents here.
     noise: dict[int, bool] = {}
     for path, value in importance.items():
         inside = all(noise.get(c, False) for c in below.get(path, ()) if c != path)
-        noise[path] = inside and value < threshold and rows[path].pages >= LEAST_PAGES and not rows[path].holder
+        noise[path] = inside and value < lowest(rows[path]) and rows[path].pages >= LEAST_PAGES and not rows[path].holder
     return [path for path, low in noise.items() if low]
 
 
@@ -277,18 +291,18 @@ def _low_of_host(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """host, path, parent, holder, pages, style and content importance of nodes that two pages of a host or more share."""
-    seen = pages.mapInArrow(_observe, COUNTS)
-    counts = seen.groupBy("host", "path", "parent", "holder", "kind", "value").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "path", "parent", "holder", "kind").agg(
-        F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted")
-    )
-    # Entropy of the values over its largest possible value: 1 where each page differs, 0 where all are alike.
-    even = 1 - F.col("weighted") / F.col("total") / F.log("total")
-    nodes = sums.groupBy("host", "path", "parent", "holder").agg(
+    """host, path, parent, holder, inside, pages, style and content importance of nodes that two different pages of a host or more share."""
+    distinct = pages.select("host", "html", F.md5(F.col("html").cast("binary")).alias("digest")).dropDuplicates(["host", "digest"])
+    seen = distinct.select("host", "html").mapInArrow(_observe, COUNTS)
+    node = ["host", "path", "parent", "holder", "inside"]
+    counts = seen.groupBy(*node, "kind", "value").agg(F.count("*").cast("double").alias("n"))
+    sums = counts.groupBy(*node, "kind").agg(F.sum("n").alias("total"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same"))
+    # The chance that two values differ: 1 where each page differs, 0 where all are alike.
+    differing = 1 - F.col("same") / (F.col("total") * (F.col("total") - 1))
+    nodes = sums.groupBy(*node).agg(
         F.max(F.when(F.col("kind") == 0, F.col("total"))).alias("pages"),
-        F.max(F.when((F.col("kind") == 0) & (F.col("total") > 1), even)).alias("style"),
-        F.max(F.when((F.col("kind") == 1) & (F.col("total") > 1), even)).alias("content"),
+        F.max(F.when((F.col("kind") == 0) & (F.col("total") > 1), differing)).alias("style"),
+        F.max(F.when((F.col("kind") == 1) & (F.col("total") > 1), differing)).alias("content"),
     )
     return nodes.where("pages > 1")
 
@@ -315,7 +329,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html).
 
     A null or empty html gives an empty text. Pages without a host (null or odd url) share one tree. Repeated rows give
-    repeated rows and count as pages of their host; other columns are ignored; an empty table gives an empty
+    repeated rows, and equal pages count as one page of their host; other columns are ignored; an empty table gives an empty
     result.
     """
     source = _sourced(pages)

@@ -101,6 +101,33 @@ def test_style_tree_removes_what_all_pages_share(spark):
     assert len(twice) == 2
 
 
+def test_style_tree_keeps_copies_and_recurring_blocks(spark):
+    """Copies of a page, near copies of an article, and subheadings in five wordings are text; one box in all articles is not."""
+    draw = random.Random(2)
+    words = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(8))
+    source, want = [], {}
+
+    def add(host, body, text):
+        want[len(source)] = text
+        source.append((len(source), f"http://{host}/{len(source)}", body))
+
+    blocks = [words() for _ in range(10)]
+    for k in range(60):
+        add("copies", f"<article>{''.join(f'<p>{b}' for b in blocks)}</article>", " ".join(blocks))
+        add("plain", f"<div class=x7><p>{blocks[0]}</div>", blocks[0])
+        add("near", f"<p>{k}</p><main><h1>{blocks[1]}</h1><p>{blocks[2]}</main>", f"{blocks[1]} {blocks[2]}")
+    for k in range(100):
+        own, heading = words(), f"Heading {'abcde'[k % 5]}"
+        box = "<div class=x7><p>The same in all articles</div>"
+        add("headings", f"<article>{box}<h2>{heading}</h2><p>{own}</p></article>", f"{heading} {own}")
+        add("bare", f"<div class=y><h2>{heading}</h2><p>{own}</p></div>", f"{heading} {own}")
+        one = k % 10 < 7
+        title = "Copied" if one else words()
+        add("mostly", f"<i>{k}</i><article><h1>{title}</h1><p>{blocks[3] if one else own}</article>", f"{title} {blocks[3] if one else own}")
+    got = {r["page_id"]: r["text"] for r in html.extracted(pages(spark, source)).collect()}
+    assert got == want
+
+
 def linked(rows):
     return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows}
 
