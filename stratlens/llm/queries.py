@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratlens.llm import bpe, crossentropy, hnsw, html, language, minhash, packing, rules, suffixes, warc
+from stratlens.llm import (
+    bpe, crossentropy, hnsw, html, language, minhash, packing, periodic, ranking, rules, suffixes, transducer, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +59,18 @@ def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(_table(spark, sf_dir, "documents"))
 
 
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.counted(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash_near_dedup": _minhash,
@@ -69,6 +83,9 @@ def queries() -> dict[str, Query]:
         "op8_html_style_tree": _html,
         "op9_hnsw_near_dedup": _hnsw,
         "op10_suffix_array_dedup": _suffixes,
+        "op11_block_max_maxscore": _ranking,
+        "op12_periodic_runs": _periodic,
+        "op13_token_counts": _token_counts,
     }
 
 
@@ -103,6 +120,32 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and newest <> page_id then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and newest <> page_id then newest end as refers_to
 from sized""",
+    "op11_block_max_maxscore": """
+with texts as (
+  select row_number() over () as place, doc_id, text from documents),
+terms as (
+  select place, any_value(doc_id) as doc_id, term, count(*) as tf
+  from (select place, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from texts)
+  group by place, term),
+sizes as (select place, cast(sum(tf) as bigint) as n from terms group by 1),
+total as (select count(*) as docs, cast(sum(n) as bigint) as words from sizes),
+weights as (
+  select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2 * df + 1))) as bigint) as w
+  from (select term, count(*) as df from terms group by 1), total),
+asked as (
+  select item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from (select distinct item_id, text from benchmark)),
+scores as (
+  select item_id, a.text, doc_id, place,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) as bigint) as score
+  from asked a join terms using (term) join weights using (term) join sizes using (place), total
+  group by all),
+places as (
+  select item_id, cast(row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+  from scores where score > 0)
+select * from places where rank <= 10""",
     "op9_hnsw_near_dedup": f"""
 with recursive good as (
   select vec_id, label, cast(embedding as double[]) as v from embeddings where label is not null and embedding is not null),
