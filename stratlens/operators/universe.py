@@ -105,9 +105,10 @@ def spread_nav_picks(
     n: int = 10,
     symbol_block: str | None = None,
     portfolio_block: str | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Net value of the best and worst spreads next to the whole portfolio's."""
-    picks = top_bottom_spreads(spread_totals(symbol), n).select("run_id", "spread")
+    picks = top_bottom_spreads(_or_totals(totals, symbol), n).select("run_id", "spread")
     chosen = symbol.join(picks, ["run_id", "spread"], "left_semi")
     spreads = spread_nav(chosen, symbol_block).select(
         "run_id", F.col("spread").alias("series"), "date", "nav", F.lit(False).alias("is_portfolio")
@@ -118,9 +119,9 @@ def spread_nav_picks(
     return spreads.unionByName(whole.join(picks.select("run_id"), "run_id", "left_semi"))
 
 
-def spread_month_matrix(symbol: DataFrame, n: int = 20) -> DataFrame:
+def spread_month_matrix(symbol: DataFrame, n: int = 20, totals: DataFrame | None = None) -> DataFrame:
     """Monthly return of the largest spreads, over every month any of them traded (else zero)."""
-    picks = largest_spreads(spread_totals(symbol), n).select("run_id", "spread")
+    picks = largest_spreads(_or_totals(totals, symbol), n).select("run_id", "spread")
     monthly = (
         symbol.filter(F.col("date").isNotNull())
         .join(picks, ["run_id", "spread"])
@@ -157,18 +158,23 @@ def fill_counts(fills: DataFrame) -> DataFrame:
     return fills.filter(F.col("spread").isNotNull()).groupBy("run_id", "spread").agg(F.count(F.lit(1)).alias("trades"))
 
 
-def spread_contribution(symbol: DataFrame, fills: DataFrame, n: int = 30) -> DataFrame:
+def spread_contribution(symbol: DataFrame, fills: DataFrame, n: int = 30, totals: DataFrame | None = None) -> DataFrame:
     """The most profitable spreads with their fill counts and commissions."""
-    ranked = ranked_spreads(spread_totals(symbol), n)
+    ranked = ranked_spreads(_or_totals(totals, symbol), n)
     joined = ranked.join(fill_counts(fills), ["run_id", "spread"], "left")
     return joined.select(
         "run_id", "rank", "spread", "pnl", F.coalesce("trades", F.lit(0)).alias("trades"), "commission", (F.col("pnl") >= 0).alias("is_gain")
     )
 
 
-def pick_cells(symbol: DataFrame, n: int = 50) -> DataFrame:
+def _or_totals(totals: DataFrame | None, symbol: DataFrame) -> DataFrame:
+    """Totals made before, or the symbol table's."""
+    return spread_totals(symbol) if totals is None else totals
+
+
+def pick_cells(symbol: DataFrame, n: int = 50, totals: DataFrame | None = None) -> DataFrame:
     """Summed return per run, date and picked spread, with the pick's number."""
-    picks = active_spreads(spread_totals(symbol), n).select("run_id", "spread", F.col("rank").alias("pick"))
+    picks = active_spreads(_or_totals(totals, symbol), n).select("run_id", "spread", F.col("rank").alias("pick"))
     return (
         symbol.filter(F.col("date").isNotNull())
         .join(picks, ["run_id", "spread"])
@@ -177,65 +183,52 @@ def pick_cells(symbol: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
-def spread_correlation(symbol: DataFrame, n: int = 50) -> DataFrame:
+def spread_correlation(symbol: DataFrame, n: int = 50, totals: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """Pearson correlation of the picked spreads' daily returns; a day without a row is zero.
 
-    Returns are taken around each pick's first one, so large levels cancel before they are multiplied. Each
-    date's at most ``n`` returns make its pairs, which are summed per run and pair before the shuffle:
-    products, sums and days that both have. Days that one or neither has follow from the picks' own
-    sums. A spread whose return never changes has no correlation.
+    The cells are read once. Each date's at most ``n`` returns become one vector with a place for every pick, and the
+    vectors are turned into one per pick, centred, as long as the run has dates. A run's matrix is then the
+    products of its at most ``n`` vectors, so no row per date and pair is made. A spread whose return never
+    changes has no correlation.
     """
-    cells = pick_cells(symbol, n)
-    picks = cells.groupBy("run_id", "pick", "spread").agg(
-        F.min_by("ret", "date").alias("base"), F.min("ret").alias("low"), F.max("ret").alias("high")
-    )
-    based = cells.join(picks.select("run_id", "pick", "base"), ["run_id", "pick"])
-    daily = based.groupBy("run_id", "date").agg(
-        F.array_sort(F.collect_list(F.struct("pick", (F.col("ret") - F.col("base")).alias("x")))).alias("row")
-    )
-    left = daily.select("run_id", "row", F.posexplode("row").alias("at", "a"))
-    pairs = left.select(
-        "run_id", F.col("a.pick").alias("i"), F.col("a.x").alias("x"), F.inline(F.slice("row", F.col("at") + 1, n)).alias("j", "y")
-    )
-    sums = pairs.groupBy("run_id", "i", "j").agg(
-        F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("both")
-    )
-    days = daily.groupBy("run_id").agg(F.count(F.lit(1)).alias("days"))
-    own = sums.where("i = j").select("run_id", F.col("i").alias("pick"), "x", F.col("xy").alias("xx"), F.col("both").alias("rows"))
-    missing = F.col("days") - F.col("rows")
-    mean = (F.col("x") - missing * F.col("base")) / F.col("days")
-    square = F.col("xx") + missing * F.col("base") * F.col("base") - F.col("days") * mean * mean
-    # A day without a row is a zero, so it may be what makes a constant return vary.
-    flat = (F.col("low") == F.col("high")) & ((missing == 0) | (F.col("high") == 0))
-    sides = picks.join(own, ["run_id", "pick"]).join(days, "run_id").select(
-        "run_id", "days", F.struct("pick", "spread", "base", "x", "rows", mean.alias("mean"), F.when(~flat, square).alias("square")).alias("p")
+    cells = pick_cells(symbol, n, totals) if cells is None else cells
+    packed = cells.groupBy("run_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("pick", F.struct("spread", "ret")))).alias("row"))
+    every_pick = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda pick: F.try_element_at("row", pick))
+    lines = (
+        packed.select("run_id", "date", F.posexplode(every_pick).alias("place", "cell"))
+        .groupBy("run_id", "place")
+        .agg(
+            F.max("cell.spread").alias("spread"),
+            F.array_sort(F.collect_list(F.struct("date", F.coalesce("cell.ret", F.lit(0.0)).alias("ret")))).getField("ret").alias("rets"),
+            F.avg(F.coalesce("cell.ret", F.lit(0.0))).alias("mean"),
+        )
+        .where("spread is not null")
     )
-    return _correlations(sides, sums)
-
-
-def _correlations(sides: DataFrame, sums: DataFrame) -> DataFrame:
-    """Every pair of a run's at most n picks, from the picks' own figures and the sums of the pairs with a common day."""
-    matrix = sides.select("run_id", "days", F.col("p").alias("a")).join(sides.select("run_id", F.col("p").alias("b")), "run_id")
-    keyed = matrix.withColumns({"i": F.least("a.pick", "b.pick"), "j": F.greatest("a.pick", "b.pick")})
-    joined = keyed.join(sums, ["run_id", "i", "j"], "left")
-    zero, turned = F.lit(0.0), F.col("a.pick") > F.col("b.pick")
-    a_both = F.coalesce(F.when(turned, F.col("y")).otherwise(F.col("x")), zero)
-    b_both = F.coalesce(F.when(turned, F.col("x")).otherwise(F.col("y")), zero)
-    both = F.coalesce("both", F.lit(0))
-    neither = F.col("days") - F.col("a.rows") - F.col("b.rows") + both
-    product = (
-        F.coalesce("xy", zero) - F.col("b.base") * (F.col("a.x") - a_both) - F.col("a.base") * (F.col("b.x") - b_both)
-        + neither * F.col("a.base") * F.col("b.base")
+    centred = lines.select(
+        "run_id", "place", "spread", F.transform("rets", lambda r: r - F.col("mean")).alias("v"),
+        (F.array_min("rets") < F.array_max("rets")).alias("varies"),
     )
-    cross = product - F.col("days") * F.col("a.mean") * F.col("b.mean")
-    corr = F.when(F.col("a.pick") == F.col("b.pick"), F.lit(1.0)).otherwise(cross / F.sqrt(F.col("a.square") * F.col("b.square")))
-    varies = (F.col("a.square") > 0) & (F.col("b.square") > 0)
-    return joined.select("run_id", F.col("a.spread").alias("s1"), F.col("b.spread").alias("s2"), F.when(varies, corr).alias("corr"))
+    measured = centred.withColumn("norm", F.when(F.col("varies"), F.sqrt(_dot("v", "v"))))
+    picks = measured.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("place", "spread", "norm", "v"))).alias("picks"))
+    left = picks.select("run_id", "picks", F.posexplode("picks").alias("at", "a"))
+    pairs = left.select("run_id", "a", F.explode(F.slice("picks", F.col("at") + 1, n)).alias("b"))
+    norms = F.col("a.norm") * F.col("b.norm")
+    own = F.col("a.place") == F.col("b.place")
+    corr = F.when(norms > 0, F.when(own, F.lit(1.0)).otherwise(_dot("a.v", "b.v") / norms))
+    both = pairs.select("run_id", F.col("a.spread").alias("s1"), F.col("b.spread").alias("s2"), corr.alias("corr"), own.alias("_own"))
+    ways = F.array(F.struct("s1", "s2"), F.struct(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
+    return both.select("run_id", "corr", F.inline(F.when(F.col("_own"), F.slice(ways, 1, 1)).otherwise(ways))).select("run_id", "s1", "s2", "corr")
+
+
+def _dot(a: str, b: str) -> Column:
+    """Sum of the products of two arrays of one length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, product: total + product)
 
 
-def active_spread_count(symbol: DataFrame, n: int = 50) -> DataFrame:
+def active_spread_count(symbol: DataFrame, n: int = 50, totals: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """How many of the picked spreads had a return other than zero on each date."""
-    return pick_cells(symbol, n).groupBy("run_id", "date").agg(F.count_if(F.col("ret") != 0).alias("n"))
+    cells = pick_cells(symbol, n, totals) if cells is None else cells
+    return cells.groupBy("run_id", "date").agg(F.count_if(F.col("ret") != 0).alias("n"))
 
 
 def sector_pnl(symbol: DataFrame) -> DataFrame:
