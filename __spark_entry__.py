@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratlens.fixtures import STRATEGIES, FixtureTables, raw, view, with_views
 from stratlens.functions import columns
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
-from stratlens.operators.ordered import BLOCK, calendar_blocks
+from stratlens.operators.ordered import BLOCK, range_blocks
 from stratlens.plans import reports
 from stratlens.schemas import PORTFOLIO, PORTFOLIO_HEADERS
 from stratlens.sources.runs import normalize
@@ -51,14 +51,14 @@ def _bar_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = calendar_blocks(_bars(spark, sf_dir), ["datetime"], BAR_OPTIONS.bar_unit)
+    cut = range_blocks(_bars(spark, sf_dir), ["spread"], ["datetime", "row_id"], BAR_OPTIONS.bar_unit)
     return _rounded(rolling.zscore(cut, BAR_OPTIONS.lookback, block=BLOCK).drop(BLOCK), z=6)
 
 
 def _zscore_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The usual look-back, over contracts instead of spreads: these have enough bars at the small scale factors."""
     bars = view(spark, sf_dir, "fx_contract_bars")
-    cut = calendar_blocks(bars, ["datetime"], BAR_OPTIONS.bar_unit)
+    cut = range_blocks(bars, ["spread"], ["datetime", "row_id"], BAR_OPTIONS.bar_unit)
     return _rounded(rolling.zscore(cut, reports.Options.lookback, block=BLOCK).drop(BLOCK), z=6)
 
 

@@ -2,9 +2,11 @@
 
 A series is the set of rows sharing ``keys``, sorted by ``order``. One row per key and calendar
 day keeps a series short whatever the input size, and then a single window per key is the right
-plan. Fills and bars have no such bound: ``calendar_blocks`` adds a ``block`` column that cuts
-every series at a calendar unit, and the functions below run per piece and carry only one summary
-row per piece across the cuts. The plan is the same for every size, and building it runs no job.
+plan. Fills and bars have no such bound: ``range_blocks`` adds a ``block`` column that cuts every
+series at a calendar unit and, inside it, at cut points taken from the rows' own sort keys, so that
+a key with very many rows in one unit, at one instant or without a time is several pieces. The
+functions below run per piece and carry only one summary row per piece across the cuts. The plan
+is the same for every size, and building it runs no job.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratlens.operators.joins import salted_join
+
 BLOCK = "block"
+PIECE = 1 << 17  # rows of a piece, on average
+_STEPS = 20  # a unit has fewer than 2 ** _STEPS cut points
 
 
 def _sorted_by(order: Sequence[str]) -> list[Column]:
@@ -30,11 +36,45 @@ def _series(keys: Sequence[str], order: Sequence[str], block: str | None):
     return Window.partitionBy(*keys, *([block] if block else [])).orderBy(*_sorted_by(order))
 
 
+def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """Sorted cut points of each key and unit: the sort keys of about one row in ``size``.
+
+    The rows are chosen by a hash of keys and sort key, so a task that runs again, or another
+    branch of a plan, finds the same ones.
+    """
+    chosen = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(size)) == 0)
+    return chosen.groupBy(*keys, "_unit").agg(F.array_sort(F.collect_set(_last_of(order))).alias("_cuts"))
+
+
+def _cuts_before(cuts: Column, row: Column) -> Column:
+    """How many of the sorted cut points are not behind the row, by binary search."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(_STEPS))])
+
+    def step(found: Column, power: Column) -> Column:
+        ahead = found + power
+        return F.when((ahead <= F.size(cuts)) & (F.get(cuts, ahead - 1) <= row), ahead).otherwise(found)
+
+    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(powers, F.lit(0), step))
+
+
+def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], unit: str, size: int = PIECE) -> DataFrame:
+    """Add ``block``: the calendar ``unit`` of the first sort column and the piece of it, which sort like the rows.
+
+    Pieces hold about ``size`` rows of one key, however many rows it has in a unit or without a time. Rows are told apart
+    by ``order`` only, so rows equal in all of it share a piece. A key's cut points reach its rows by a salted join.
+    """
+    dated = calendar_blocks(df, order, unit).withColumnRenamed(BLOCK, "_unit")
+    cuts = _cut_points(dated.select(*keys, *[c for c in order if c not in keys], "_unit"), keys, order, size)
+    joined = salted_join(dated, cuts, [*keys, "_unit"], "left")
+    piece = _cuts_before(F.col("_cuts"), _last_of(order))
+    return joined.withColumn(BLOCK, F.struct(F.col("_unit").alias("unit"), piece.alias("piece"))).drop("_unit", "_cuts")
+
+
 def calendar_blocks(df: DataFrame, order: Sequence[str], unit: str) -> DataFrame:
     """Add ``block``, the start of the calendar ``unit`` (year, month, day, hour) of the first sort column.
 
-    Choose the unit so that the rows of one key in it fit a task. Missing times sort last, so they
-    get a last block of their own.
+    Right where the rows of one key in a unit fit a task; ``range_blocks`` cuts further. Missing times
+    sort last, so they get a last block of their own.
     """
     far = F.lit("9999-12-31").cast("timestamp_ntz")
     return df.withColumn(BLOCK, F.coalesce(F.date_trunc(unit, F.col(order[0])).cast("timestamp_ntz"), far))

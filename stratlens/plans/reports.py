@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratlens.functions.columns import beyond_entry, is_gain, return_or_zero
 from stratlens.operators import compare, factors, returns, rolling, signals, trades, universe
 from stratlens.operators.joins import salted_join
-from stratlens.operators.ordered import BLOCK, calendar_blocks
+from stratlens.operators.ordered import BLOCK, range_blocks
 from stratlens.operators.returns import daily_order
 from stratlens.sources.tables import RunTables
 
@@ -27,7 +27,7 @@ class Options:
     exit_z: float = 0.0
     diagnostic_n: int = 5
     bins: int = 30
-    # Calendar units at which series are cut; a key's rows in one unit are what a task must hold.
+    # Calendar units at which series are cut first; a unit with many rows of a key is cut further.
     fill_unit: str = "month"
     bar_unit: str = "month"
     daily_unit: str = "year"
@@ -63,8 +63,8 @@ def rolling_metrics(portfolio: DataFrame, windows: Sequence[int], block: str | N
 
 # --- trades ------------------------------------------------------------------
 def roundtrips(fills: DataFrame, unit: str = Options.fill_unit) -> DataFrame:
-    """Matched trades, over series cut at the calendar ``unit``."""
-    return trades.pair_roundtrips(calendar_blocks(fills, trades.FILL_ORDER, unit), BLOCK)
+    """Matched trades, over series cut at the calendar ``unit`` and inside it."""
+    return trades.pair_roundtrips(range_blocks(fills, trades.SERIES, trades.FILL_ORDER, unit), BLOCK)
 
 
 def holding_hours(matched: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def holding_hours(matched: DataFrame) -> DataFrame:
 def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> DataFrame:
     """Close and z-score of each run's diagnostic spreads, with the threshold bands."""
     picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n).select("run_id", "spread")
-    wanted = calendar_blocks(bars.join(picks, "spread", "left_semi"), ["datetime"], options.bar_unit)
+    wanted = range_blocks(bars.join(picks, "spread", "left_semi"), ["spread"], ["datetime", "row_id"], options.bar_unit)
     scored = rolling.zscore(wanted, options.lookback, block=BLOCK)
     return salted_join(scored, picks, ["spread"]).select(
         "run_id",
@@ -231,14 +231,14 @@ EQUITY_GROUPS = {
 
 
 def cut_daily(tables: RunTables, unit: str = Options.daily_unit) -> RunTables:
-    """The tables with their daily series cut at the calendar ``unit``.
+    """The tables with their daily series cut at the calendar ``unit`` and inside it.
 
     A file may hold many rows per date (one per strategy, say), so the calendar alone is no bound.
     """
     return replace(
         tables,
-        portfolio=calendar_blocks(tables.portfolio, daily_order(tables.portfolio), unit),
-        symbol=calendar_blocks(tables.symbol, daily_order(tables.symbol), unit),
+        portfolio=range_blocks(tables.portfolio, ["run_id"], daily_order(tables.portfolio), unit),
+        symbol=range_blocks(tables.symbol, ["run_id", "spread"], daily_order(tables.symbol), unit),
         portfolio_block=BLOCK,
         symbol_block=BLOCK,
     )

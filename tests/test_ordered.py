@@ -34,14 +34,44 @@ def rows(spark):
 def blocks(df, how):
     if how == "none":
         return df, None
+    if how.startswith("range"):
+        return ordered.range_blocks(df, KEYS, ORDER, "month", int(how[5:])), ordered.BLOCK
     return ordered.calendar_blocks(df, ORDER, how), ordered.BLOCK
 
 
+@pytest.mark.parametrize("salts", [1, 5])
+def test_hot_month_is_several_pieces(rows, spark, salts):
+    """Most rows have one key, two fifths of these one instant, and some no time: all are cut, in the rows' order."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(salts))
+    try:
+        cut = ordered.range_blocks(rows, KEYS, ORDER, "month", 50).collect()
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    assert len(cut) == rows.count()
+    for kind in (lambda r: r["datetime"] == datetime(2024, 2, 2), lambda r: r["datetime"] is None, lambda r: True):
+        hot = [r[ordered.BLOCK] for r in cut if r["k"] == "hot" and kind(r)]
+        sizes = {b: hot.count(b) for b in set(hot)}
+        assert len(sizes) > 1 and max(sizes.values()) < 500
+    series = sorted((r for r in cut if r["k"] == "hot"), key=time_of)
+    assert [tuple(r[ordered.BLOCK]) for r in series] == sorted(tuple(r[ordered.BLOCK]) for r in series)
+
+
+def test_hot_month_is_dealt_over_tasks(rows, spark):
+    cut = ordered.range_blocks(rows.where("k = 'hot'"), KEYS, ORDER, "year", 20)
+    summed = ordered.cumulative(cut, KEYS, ORDER, {"s": ("sum", F.col("x"))}, ordered.BLOCK)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in summed.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+
+
 def collected(df, *names):
     return sorted((tuple(r[n] for n in ("row_id", *names)) for r in df.collect()), key=lambda t: t[0])
 
 
-@pytest.mark.parametrize("how", ["year", "month", "day"])
+@pytest.mark.parametrize("how", ["year", "month", "day", "range40"])
 def test_running_totals(rows, how):
     outputs = {"s": ("sum", F.col("x")), "m": ("max", F.col("x"))}
     whole = collected(ordered.cumulative(rows, KEYS, ORDER, outputs), "s", "m")
@@ -51,7 +81,7 @@ def test_running_totals(rows, how):
         assert i == j and m == n and (s == t or s == pytest.approx(t))
 
 
-@pytest.mark.parametrize("how", ["year", "month", "day"])
+@pytest.mark.parametrize("how", ["year", "month", "day", "range40"])
 def test_previous_and_position(rows, how):
     cut, block = blocks(rows, how)
     value = F.struct("row_id", "x")
@@ -75,7 +105,7 @@ def model_zscore(data, window):
     return out
 
 
-@pytest.mark.parametrize("how", ["none", "day", "hour"])
+@pytest.mark.parametrize("how", ["none", "day", "range30"])
 @pytest.mark.parametrize("length", [5, 64, 4096])
 def test_zscore_against_loop(rows, how, length, monkeypatch):
     window = 12
@@ -139,7 +169,7 @@ def model_pairs(fills):
     return trades_made
 
 
-@pytest.mark.parametrize("how", ["none", "year", "day", "hour"])
+@pytest.mark.parametrize("how", ["none", "year", "hour", "range"])
 def test_roundtrips_against_slots(spark, how):
     rng = random.Random(11)
     data = []
@@ -157,7 +187,10 @@ def test_roundtrips_against_slots(spark, how):
         )
     schema = "run_id string, instance_id string, spread string, datetime timestamp_ntz, direction string, offset string, price double, volume int, commission double, row_id bigint"
     fills = spark.createDataFrame(data, schema)
-    cut, block = blocks(fills, how)
+    if how == "range":
+        cut, block = ordered.range_blocks(fills, trades.SERIES, trades.FILL_ORDER, "year", 25), ordered.BLOCK
+    else:
+        cut, block = blocks(fills, how)
     matched = trades.pair_roundtrips(cut, block)
     got = [
         (r["direction"], r["open_time"], r["close_time"], r["open_price"], r["close_price"], r["volume"], round(r["gross_pnl"], 6))
