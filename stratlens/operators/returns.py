@@ -1,7 +1,7 @@
 """Net value, drawdown, cost curves, calendar returns and the per-run performance summary.
 
 Returns add up (they are never compounded). Inputs are daily tables: one row per key and date,
-so a series is bounded by the calendar; pass ``block`` (see ``ordered.calendar_blocks``) otherwise.
+so a series is bounded by the calendar; pass ``block`` (see ``ordered.range_blocks``) otherwise.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratlens.functions.columns import is_gain, month_label, return_or_zero, safe_ratio
 from stratlens.operators.joins import salted_join
-from stratlens.operators.ordered import BLOCK, calendar_blocks, cumulative, previous
+from stratlens.operators.ordered import BLOCK, cumulative, previous, range_blocks
 from stratlens.schemas import TRADING_DAYS
 
 RUN = ("run_id",)
@@ -32,7 +32,12 @@ def net_value(df: DataFrame, keys: Sequence[str] = RUN, name: str = "nav", block
 
 
 def portfolio_nav(df: DataFrame, keys: Sequence[str] = RUN, block: str | None = None) -> DataFrame:
-    """Add ``nav``: the supplied ``net_value`` of a run where it has one, else the summed one."""
+    """Add ``nav``: the supplied ``net_value`` of a run where it has one, else the summed one.
+
+    A table that has ``nav`` already (see ``reports.share``) stays as it is.
+    """
+    if "nav" in df.columns:
+        return df
     if "net_value" not in df.columns:
         return net_value(df, keys, "nav", block)
     supplied = F.max(F.col("net_value").isNotNull())
@@ -142,10 +147,11 @@ def capital_to_portfolio(
     def change(column: str):
         return F.coalesce(F.col(column) - F.col(f"_before.{column}"), F.lit(0.0))
 
-    cut = calendar_blocks(chosen.withColumn("net_value", nav), ["date"], unit)
+    keys = ["run_id", "strategy"]
+    cut = range_blocks(chosen.withColumn("net_value", nav), keys, ["date"], unit)
     both = F.struct("capital", "net_value")
     return (
-        previous(cut, ["run_id", "strategy"], ["date"], both, "_before", BLOCK)
+        previous(cut, keys, ["date"], both, "_before", BLOCK)
         .withColumn("daily_pnl", change("capital"))
         .withColumn("daily_pnl_pct", change("net_value"))
         .withColumn("commission", F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -73,9 +73,10 @@ def holding_hours(matched: DataFrame) -> DataFrame:
 
 
 # --- diagnostics -------------------------------------------------------------
-def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> DataFrame:
+def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options, totals: DataFrame | None = None) -> DataFrame:
     """Close and z-score of each run's diagnostic spreads, with the threshold bands."""
-    picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n).select("run_id", "spread")
+    totals = universe.spread_totals(symbol) if totals is None else totals
+    picks = universe.diagnostic_spreads(totals, options.diagnostic_n).select("run_id", "spread")
     wanted = range_blocks(bars.join(picks, "spread", "left_semi"), ["spread"], ["datetime", "row_id"], options.bar_unit)
     scored = rolling.zscore(wanted, options.lookback, block=BLOCK)
     return salted_join(scored, picks, ["spread"]).select(
@@ -91,10 +92,11 @@ def diagnostic_bars(symbol: DataFrame, bars: DataFrame, options: Options) -> Dat
 
 
 def diagnostic_events(
-    symbol: DataFrame, signal_rows: DataFrame, fills: DataFrame, bars: DataFrame, options: Options
+    symbol: DataFrame, signal_rows: DataFrame, fills: DataFrame, bars: DataFrame, options: Options, totals: DataFrame | None = None
 ) -> DataFrame:
     """Events of the diagnostic spreads that have bars."""
-    picks = universe.diagnostic_spreads(universe.spread_totals(symbol), options.diagnostic_n)
+    totals = universe.spread_totals(symbol) if totals is None else totals
+    picks = universe.diagnostic_spreads(totals, options.diagnostic_n)
     picks = picks.join(bars.select("spread"), "spread", "left_semi")
     return signals.chart_events(picks, signal_rows, fills)
 
@@ -115,8 +117,8 @@ def _r02(t: RunTables, o: Options) -> Datasets:
 
 def _r03(t: RunTables, o: Options) -> Datasets:
     return {
-        "spread_nav_picks": universe.spread_nav_picks(t.symbol, t.portfolio, o.top_n, t.symbol_block, t.portfolio_block),
-        "spread_month_matrix": universe.spread_month_matrix(t.symbol),
+        "spread_nav_picks": universe.spread_nav_picks(t.symbol, t.portfolio, o.top_n, t.symbol_block, t.portfolio_block, t.totals),
+        "spread_month_matrix": universe.spread_month_matrix(t.symbol, totals=t.totals),
     }
 
 
@@ -129,7 +131,7 @@ def _r05(t: RunTables, o: Options) -> Datasets:
 
 
 def _r06(t: RunTables, o: Options) -> Datasets:
-    matched = roundtrips(t.trades, o.fill_unit)
+    matched = roundtrips(t.trades, o.fill_unit) if t.matched is None else t.matched
     hours = holding_hours(matched)
     return {
         "roundtrips": matched,
@@ -141,7 +143,7 @@ def _r06(t: RunTables, o: Options) -> Datasets:
 
 
 def _r07(t: RunTables, o: Options) -> Datasets:
-    return {"spread_contribution": universe.spread_contribution(t.symbol, t.trades)}
+    return {"spread_contribution": universe.spread_contribution(t.symbol, t.trades, totals=t.totals)}
 
 
 def _r09(t: RunTables, o: Options) -> Datasets:
@@ -187,8 +189,8 @@ def _r14(t: RunTables, o: Options) -> Datasets:
 
 def _r15(t: RunTables, o: Options) -> Datasets:
     return {
-        "spread_correlation": universe.spread_correlation(t.symbol),
-        "active_spread_count": universe.active_spread_count(t.symbol),
+        "spread_correlation": universe.spread_correlation(t.symbol, totals=t.totals, cells=t.cells),
+        "active_spread_count": universe.active_spread_count(t.symbol, totals=t.totals, cells=t.cells),
         "sector_pnl": universe.sector_pnl(t.symbol),
         "sector_box": universe.sector_box(t.symbol),
     }
@@ -244,6 +246,37 @@ def cut_daily(tables: RunTables, unit: str = Options.daily_unit) -> RunTables:
     )
 
 
+# Which reports need a table that is worth making once.
+SHARED = {
+    "totals": ("03", "07", "08", "15"),
+    "cells": ("15",),
+    "matched": ("06",),
+    "portfolio": ("01", "03", "11", "13", "14"),
+}
+
+
+def share(tables: RunTables, wanted: Collection[str], root: str, options: Options) -> RunTables:
+    """The tables with what several of the ``wanted`` reports derive from them, each made once and written below ``root``.
+
+    Totals per spread, the picked spreads' cells (made from the written totals), the matched trades, and the
+    portfolio with its net value and pieces. Reports then read these narrow tables; without ``share`` each report has its own branch
+    for them. What an earlier build left under ``root`` is replaced.
+    """
+
+    def made(name: str, build: Callable[[RunTables], DataFrame]) -> None:
+        nonlocal tables
+        if set(SHARED[name]) & set(wanted):
+            df = build(tables)
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            tables = replace(tables, **{name: df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")})
+
+    made("totals", lambda t: universe.spread_totals(t.symbol))
+    made("cells", lambda t: universe.pick_cells(t.symbol, totals=t.totals))
+    made("matched", lambda t: roundtrips(t.trades, options.fill_unit))
+    made("portfolio", lambda t: returns.portfolio_nav(t.portfolio, block=t.portfolio_block))
+    return tables
+
+
 def groups_for(adapter: str) -> dict[str, tuple[str, ...]]:
     return EQUITY_GROUPS if adapter == "equity" else SPREAD_GROUPS
 
@@ -255,26 +288,32 @@ def build_reports(
     options: Options | None = None,
     bars: DataFrame | None = None,
     compare_runs: bool = False,
+    shared_root: str | None = None,
 ) -> Datasets:
     """Every dataset of a report group.
 
     Report 08 needs ``bars`` and is skipped without them; report 14 compares runs and is built
     only when asked for, whatever the group. Every report scans the tables anew, so tables read
-    from CSV are best staged first (``sources.sink.stage_tables``).
+    from CSV are best staged first (``sources.sink.stage_tables``). With ``shared_root``, a folder, what several
+    reports have in common is written there first (``share``), which runs jobs; without it
+    nothing runs before a dataset is read.
     """
     options = options or Options()
     groups = groups_for(adapter)
     if group not in groups:
         raise ValueError(f"report group must be one of {sorted(groups)}")
     tables = cut_daily(tables, options.daily_unit)
+    wanted = [r for r in groups[group] if r != "14"] + (["14"] if compare_runs else [])
+    if shared_root:
+        tables = share(tables, [r for r in wanted if r != "08" or bars is not None], shared_root, options)
     built: Datasets = {}
-    for report in groups[group]:
+    for report in wanted:
         if report == "08":
             if bars is not None:
-                built["zscore_bars"] = diagnostic_bars(tables.symbol, bars, options)
-                built["zscore_events"] = diagnostic_events(tables.symbol, tables.signals, tables.trades, bars, options)
-        elif report != "14":
+                built["zscore_bars"] = diagnostic_bars(tables.symbol, bars, options, tables.totals)
+                built["zscore_events"] = diagnostic_events(
+                    tables.symbol, tables.signals, tables.trades, bars, options, tables.totals
+                )
+        else:
             built.update(REPORTS[report](tables, options))
-    if compare_runs:
-        built.update(REPORTS["14"](tables, options))
     return built

@@ -43,6 +43,10 @@ class RunTables:
     # Columns that cut over-long daily series into pieces, see ``operators.ordered``.
     portfolio_block: str | None = None
     symbol_block: str | None = None
+    # Tables that several reports need, made once (``reports.share``); where missing, each report makes its own.
+    totals: DataFrame | None = None
+    cells: DataFrame | None = None
+    matched: DataFrame | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, **tables: DataFrame) -> RunTables:

@@ -71,6 +71,44 @@ def test_hot_run_results(spark, no_broadcast):
     assert {r["n"] for r in area.collect()} == {200}
 
 
+def scanned(df) -> set[str]:
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+
+
+def test_shared_tables_are_made_once(spark, tmp_path):
+    """One match, one totals, one cells and one net-value job; the reports read what these wrote, with equal results."""
+    from stratlens.fixtures import FixtureTables
+    from stratlens.plans import reports
+    from stratlens.sources.tables import RunTables
+
+    given = FixtureTables(spark, SF_DIR)
+    names = ("portfolio", "symbol", "trades", "signals", "rolls")
+    for name in names:
+        getattr(given, name).write.parquet(f"{tmp_path}/in/{name}")
+    tables = RunTables.of(spark, **{name: spark.read.parquet(f"{tmp_path}/in/{name}") for name in names})
+    bars = entry.view(spark, SF_DIR, "fx_bars")
+    plain = reports.build_reports(tables, "all", bars=bars, compare_runs=True)
+    built = reports.build_reports(tables, "all", bars=bars, compare_runs=True, shared_root=f"{tmp_path}/shared")
+    assert list(built) == list(plain)
+    for name in ("roundtrips", "roundtrip_pnl_hist", "roundtrip_pnl_density", "holding_hours_hist", "holding_hours_density"):
+        assert scanned(built[name]) == {"matched"}, name
+    for name in ("spread_correlation", "active_spread_count"):
+        assert scanned(built[name]) == {"cells"}, name
+    assert scanned(built["spread_contribution"]) == {"totals", "trades"}
+    for name in ("nav_drawdown", "rolling_metrics", "multi_nav", "run_scorecard"):
+        assert scanned(built[name]) == {"portfolio"} and "/shared/" in built[name].inputFiles()[0], name
+    assert scanned(built["spread_nav_picks"]) == {"totals", "symbol", "portfolio"}
+    assert scanned(built["spread_month_matrix"]) == {"totals", "symbol"}
+    for name in ("spread_contribution", "spread_nav_picks", "spread_month_matrix", "zscore_bars", "zscore_events"):
+        assert "sum(daily_pnl#" in plan(plain[name]) and "sum(daily_pnl#" not in plan(built[name]), name
+
+    def rounded(df):
+        return sorted(str([round(v, 5) + 0.0 if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+    for name in ("roundtrips", "spread_correlation", "spread_contribution", "spread_nav_picks", "rolling_metrics", "roll_events", "zscore_events"):
+        assert rounded(built[name]) == rounded(plain[name]), name
+
+
 def test_reports_keep_the_input_lazy(spark):
     """Building any query runs no job on the data."""
     tracker = spark.sparkContext.statusTracker()
