@@ -71,30 +71,39 @@ def rolling_sharpe(df: DataFrame, window: int, keys: Sequence[str] = RUN, block:
     return kept.select(*df.columns, "sharpe")
 
 
-def _window_drawdown(window: int) -> Column:
-    """Deepest dip below the peak inside the last ``window`` values; the peak restarts with it."""
-    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("dip"))
-
-    def step(acc: Column, nav: Column) -> Column:
-        peak = F.greatest(acc["peak"], nav)
-        return F.struct(peak.alias("peak"), F.least(acc["dip"], nav - peak).alias("dip"))
-
-    values = F.slice("_navs", -window, window)
-    walked = F.aggregate(values, start, step, lambda acc: acc["dip"])
-    return F.when(F.col(f"_navs_{window}") == window, walked)
+def _dips(left: Column, right: Column) -> Column:
+    """Largest and smallest value and deepest dip of two stretches in a row, from those of either."""
+    across = right["lo"] - left["hi"]
+    return F.struct(
+        F.greatest(left["hi"], right["hi"]).alias("hi"),
+        F.least(left["lo"], right["lo"]).alias("lo"),
+        F.least(left["dip"], right["dip"], across).alias("dip"),
+    )
 
 
 def _add_drawdowns(segmented: DataFrame, keys: Sequence[str], nav: str, windows: Sequence[int]) -> DataFrame:
-    """Add ``mdd_<w>`` for every window from one frame of the longest, at most ``max(windows)`` values."""
+    """Add ``mdd_<w>``: the deepest dip below the peak inside the last ``w`` values; the peak restarts with each window.
+
+    Stretches of 1, 2, 4, ... rows are summed up from two of half their length, and a window is put together from
+    those its length is made of, so a row costs the logarithm of the window and not its length.
+    """
     by_pos = Window.partitionBy(*keys, "segment").orderBy("pos")
-    frames = segmented.withColumn("_nav", finite(nav)).withColumns(
-        {
-            "_navs": F.collect_list("_nav").over(by_pos.rowsBetween(1 - max(windows), 0)),
-            **{f"_navs_{w}": F.count("_nav").over(by_pos.rowsBetween(1 - w, 0)) for w in windows},
-        }
+    one = F.struct(F.col("_nav").alias("hi"), F.col("_nav").alias("lo"), F.lit(0.0).alias("dip"))
+    rows = segmented.withColumn("_nav", finite(nav)).withColumns(
+        {"_s0": one, **{f"_navs_{w}": F.count("_nav").over(by_pos.rowsBetween(1 - w, 0)) for w in windows}}
     )
-    measured = frames.withColumns({f"mdd_{w}": _window_drawdown(w) for w in windows})
-    return measured.drop("_nav", "_navs", *[f"_navs_{w}" for w in windows])
+    levels = max(windows).bit_length()
+    for k in range(1, levels):
+        rows = rows.withColumn(f"_s{k}", _dips(F.lag(f"_s{k - 1}", 1 << (k - 1)).over(by_pos), F.col(f"_s{k - 1}")))
+    measured = {}
+    for w in windows:
+        found, taken = None, 0  # from the present row backwards
+        for k in range(levels):
+            if w >> k & 1:
+                part = F.lag(f"_s{k}", taken).over(by_pos) if taken else F.col(f"_s{k}")
+                found, taken = part if found is None else _dips(part, found), taken + (1 << k)
+        measured[f"mdd_{w}"] = F.when(F.col(f"_navs_{w}") == w, found["dip"])
+    return rows.withColumns(measured).drop("_nav", *[f"_s{k}" for k in range(levels)], *[f"_navs_{w}" for w in windows])
 
 
 def rolling_max_drawdown(

@@ -125,6 +125,24 @@ def test_zscore_against_loop(rows, how, length, monkeypatch):
             assert got[key] == pytest.approx(value, abs=1e-9)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 64, 100])
+def test_window_drawdown_against_loop(spark, window, monkeypatch):
+    """Windows that are one power of two, or several, over segments shorter and longer than they are; with a missing value."""
+    rng = random.Random(window)
+    values = [None if k == 150 else 1 + rng.gauss(0, 0.1) for k in range(400)]
+    days = [(datetime(2020, 1, 1) + timedelta(days=k)).date() for k in range(400)]
+    df = spark.createDataFrame([("r", d, v) for d, v in zip(days, values, strict=True)], "run_id string, date date, nav double")
+    short = ordered.segments
+    monkeypatch.setattr(rolling, "segments", lambda df, keys, order, reach, block=None: short(df, keys, order, reach, block, 90))
+    got = {r["date"]: r["max_drawdown"] for r in rolling.rolling_max_drawdown(df, window).collect()}
+    for k, day in enumerate(days):
+        part = values[max(0, k - window + 1) : k + 1]
+        expected = None
+        if len(part) == window and None not in part:
+            expected = min(v - max(part[: j + 1]) for j, v in enumerate(part))
+        assert got[day] == expected, k
+
+
 def test_constant_window_has_no_zscore(spark):
     values = [0.1] * 6 + [0.3] + [0.7] * 6
     df = spark.createDataFrame([("s", datetime(2024, 1, 1, 0, i), v, i) for i, v in enumerate(values)], "spread string, datetime timestamp_ntz, close double, row_id bigint")
