@@ -120,6 +120,44 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and newest <> page_id then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and newest <> page_id then newest end as refers_to
 from sized""",
+    "op10_suffix_array_dedup": """
+with texts as (
+  select row_number() over () as place, doc_id, text, hex(encode(coalesce(text, ''))) as digits from documents),
+parts as (
+  select place, base, substring(digits, 2 * base + 1, 1600) as part
+  from (select place, digits, unnest(range(0, greatest(cast(strlen(digits) // 2 as bigint) - 399, 0), 400)) as base from texts)),
+windows as (
+  select place, base + shift as start, md5_number(substring(part, 2 * shift + 1, 800)) as content
+  from (select place, base, part, unnest(range(0, least(400, cast(strlen(part) // 2 as bigint) - 399))) as shift from parts)),
+repeated as (select place, start from windows where content in (select content from windows group by 1 having count(*) > 1)),
+islands as (
+  select place, start, sum(case when start <= before + 400 then 0 else 1 end) over (partition by place order by start) as island
+  from (select *, lag(start) over (partition by place order by start) as before from repeated)),
+spans as (select place, island, min(start) as low, max(start) + 400 as high from islands group by 1, 2),
+edges as (select place, low, high, coalesce(lag(high) over (partition by place order by low), 0) as before from spans),
+pieces as (
+  select place, low as pos, substring(digits, 2 * before + 1, 2 * (low - before)) as piece from edges join texts using (place)
+  union all
+  select place, 1e18, substring(digits, 2 * coalesce(max(high), 0) + 1) from texts left join spans using (place) group by place, digits),
+kept as (select place, coalesce(string_agg(piece, '' order by pos), '') as left_over from pieces group by 1),
+moved as (
+  select place, low - case when substring(digits, 2 * low + 1, 1) not in ('8', '9', 'A', 'B') then 0
+      when substring(digits, 2 * low - 1, 1) in ('C', 'D', 'E', 'F') then 1
+      when substring(digits, 2 * low - 3, 1) in ('C', 'D', 'E', 'F') then 2 else 3 end as low,
+    high + case when substring(digits, 2 * high + 1, 1) not in ('8', '9', 'A', 'B') then 0
+      when substring(digits, 2 * high + 3, 1) not in ('8', '9', 'A', 'B') then 1
+      when substring(digits, 2 * high + 5, 1) not in ('8', '9', 'A', 'B') then 2 else 3 end as high
+  from spans join texts using (place)),
+sides as (select place, low, high, coalesce(lag(high) over (partition by place order by low), 0) as before from moved),
+rests as (
+  select place, low as pos, substring(digits, 2 * before + 1, greatest(2 * (low - before), 0)) as piece from sides join texts using (place)
+  union all
+  select place, 1e18, substring(digits, 2 * max(high) + 1) from texts join moved using (place) group by place, digits),
+shorter as (select place, decode(unhex(string_agg(piece, '' order by pos))) as text from rests group by 1),
+removed as (select place, cast(sum(high - low) as bigint) as n_removed, count(*) as n_spans from spans group by 1)
+select t.doc_id, cast(strlen(t.digits) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(left_over)) as kept_sha256, coalesce(s.text, t.text) as text
+from texts t join kept using (place) left join removed using (place) left join shorter s using (place)""",
     "op11_block_max_maxscore": """
 with texts as (
   select row_number() over () as place, doc_id, text from documents),

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (a local session, as in tests): a new local folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, or else the folder given by setCheckpointDir().
+
+    Only a local session without either, as in tests, gets a new local folder; elsewhere that is an error.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path
 
 

@@ -12,6 +12,9 @@
 4. An anchor with more than GROUP different pieces (the edge of a passage in very many documents) is never
    gathered: its windows are halved by their place around the anchor, and pieces are dealt anew by the bytes that
    all windows of a half share, until a group is small, its pieces are equal, or a half is one window.
+
+What is compared is a text's bytes, or a code of eight bytes per word: there a repeated string of n words is one of 8 n
+bytes, however long the words are and whatever white space stands between them.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 from stratlens.llm import shared, text
 
 LENGTH, GRAM, GROUP = 400, 64, 512
+WORDS, CODE = 51, 8  # the shortest repeated string of words, and the bytes of a word's code
 _BATCH = 250
 _PLACE = 20
 _BYTES = text.randoms(256, 21)
 _STEPS = text.randoms(16, 22) | np.uint64(1)
 
-SCAN = "doc_id long, key string, n_bytes long, sha string, anchors array<long>, again array<boolean>"
+SCAN = "doc_id long, key string, n_bytes long, size long, sha string, anchors array<long>, again array<boolean>"
 PIECE = "key string, first int, anchor long, low int, high int, digest binary"
 GROUPED = "grp binary, grid_low int, grid_high int, anchor long, digest binary, low int, high int, piece binary, seen binary"
 RANGES = "anchor long, digest binary, ranges array<struct<low:int,high:int>>"
@@ -142,6 +146,14 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), (edges[1::2] - 1).tolist()
 
 
+def _coded(words: bool, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is compared of texts: their bytes as they are, or the codes of their words."""
+    if not words:
+        return offsets, data
+    hashes, firsts = text.word_hashes(offsets, data, lower=False)
+    return CODE * firsts, hashes.astype("<u8").view(np.uint8)
+
+
 def _anchors_of_texts(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """anchors() of each text, one after the other: the number for each text, then first, last, place and hash."""
     base = offsets[0]
@@ -161,12 +173,13 @@ def _anchors_of_texts(offsets: np.ndarray, data: np.ndarray, length: int) -> tup
     return counts, *clipped, place[take] - start, grams[take].view(np.int64)
 
 
-def _scan(length: int):
+def _scan(length: int, words: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text.utf8(batch.column("text"))
             for i, j in text.slices(offsets):
-                counts, _, _, _, grams = _anchors_of_texts(offsets[i : j + 1], data, length)
+                compared, codes = _coded(words, offsets[i : j + 1], data)
+                counts, _, _, _, grams = _anchors_of_texts(compared, codes, length)
                 once, again, n = [], [], []
                 for part in np.split(grams, np.cumsum(counts)[:-1]):
                     values, times = np.unique(part, return_counts=True)
@@ -178,8 +191,8 @@ def _scan(length: int):
                 sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("key").slice(i, j - i),
-                     pa.array(np.diff(offsets[i : j + 1])), pa.array(sha, pa.string()), *lists],
-                    ["doc_id", "key", "n_bytes", "sha", "anchors", "again"],
+                     pa.array(np.diff(offsets[i : j + 1])), pa.array(np.diff(compared)), pa.array(sha, pa.string()), *lists],
+                    ["doc_id", "key", "n_bytes", "size", "sha", "anchors", "again"],
                 )
 
     return scan
@@ -190,7 +203,7 @@ def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _cut_pieces(length: int, with_bytes: bool):
+def _cut_pieces(length: int, with_bytes: bool, words: bool):
     """Pieces around the anchors that a text is listed with; the bytes only on request."""
     schema = pa.schema(
         [("key", pa.string()), ("first", pa.int32()), ("anchor", pa.int64()), ("low", pa.int32()), ("high", pa.int32()),
@@ -201,10 +214,11 @@ def _cut_pieces(length: int, with_bytes: bool):
         for batch in batches:
             offsets, data = text.utf8(batch.column("text"))
             for i, j in text.slices(offsets):
-                counts, first, last, place, grams = _anchors_of_texts(offsets[i : j + 1], data, length)
-                at, rows, raw = 0, [], data[offsets[i] : offsets[j]].tobytes()
+                compared, codes = _coded(words, offsets[i : j + 1], data)
+                counts, first, last, place, grams = _anchors_of_texts(compared, codes, length)
+                at, rows, raw = 0, [], codes[compared[0] : compared[-1]].tobytes()
                 for k, n in enumerate(counts.tolist()):
-                    key, begin = batch["key"][i + k].as_py(), int(offsets[i + k] - offsets[i])
+                    key, begin = batch["key"][i + k].as_py(), int(compared[k] - compared[0])
                     wanted = set(batch["anchors"][i + k].as_py())
                     own = zip(*(c[at : at + n].tolist() for c in (first, last, place, grams)), strict=True)
                     for a, b, p, anchor in own:
@@ -283,7 +297,38 @@ def _sort_groups(length: int):
     return sort
 
 
-def _shorten(length: int):
+def _word_spans(data: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans of whole words' codes as spans of bytes, from the first word's start to the last one's end."""
+    inside = ~text.SEPARATOR[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    starts, stops = edges[::2], edges[1::2]
+    whole = [(-(-low // CODE), high // CODE) for low, high in spans]
+    return [[int(starts[a]), int(stops[b - 1])] for a, b in whole if a < b]
+
+
+def _outside(data: bytes, spans: list[list[int]]) -> bytes:
+    parts, at = [], 0
+    for low, high in spans:
+        parts.append(data[at:low])
+        at = high
+    return b"".join([*parts, data[at:]])
+
+
+def _characters(data: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans widened to the characters that they touch."""
+    out: list[list[int]] = []
+    for low, high in spans:
+        while low > 0 and low < len(data) and data[low] & 0xC0 == 0x80:
+            low -= 1
+        while high < len(data) and data[high] & 0xC0 == 0x80:
+            high += 1
+        if out and low < out[-1][1]:
+            low = out.pop()[0]
+        out.append([low, high])
+    return out
+
+
+def _shorten(length: int, words: bool):
     schema = pa.schema(
         [("key", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("shorter", pa.string()),
          ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
@@ -299,14 +344,10 @@ def _shorten(length: int):
                         spans[-1][1] = max(spans[-1][1], high)
                     else:
                         spans.append([low, high])
-                kept, at = [], 0
-                for low, high in spans:
-                    kept.append(data[at:low])
-                    at = high
-                left = b"".join([*kept, data[at:]])
+                spans = _word_spans(data, spans) if words else spans
                 rows.append(
-                    (key.as_py(), sum(b - a for a, b in spans), len(spans), left, left.decode(errors="ignore"),
-                     [{"start": a, "stop": b} for a, b in spans])
+                    (key.as_py(), sum(b - a for a, b in spans), len(spans), _outside(data, spans),
+                     _outside(data, _characters(data, spans)).decode(), [{"start": a, "stop": b} for a, b in spans])
                 )
             yield _emit(rows, schema)
 
@@ -341,18 +382,22 @@ def _repeats(pieces: DataFrame, length: int, group: int) -> DataFrame:
     return found.union(ordered.mapInArrow(_sort_groups(length), RANGES))
 
 
-def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP, words: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): n_bytes, n_removed, n_spans, sha, kept (bytes), shorter (text) and spans.
 
     kept, shorter and spans are null where nothing is removed; a text that repeats as a whole keeps nothing and its
-    spans are null. shorter is kept without what a cut left of a character.
+    spans are null. shorter leaves out each character that lost a byte.
     Bytes are removed if a string of length bytes that covers them starts at two places or more, in one
-    document or several; a repeated row is a second place. Nulls count as empty, and texts shorter than
+    document or several; a repeated row is a second place. With words, length does not count: the strings are words in a
+    row, compared without the white space between them, and the bytes from the first word of a span to its last one are removed.
+    Nulls count as empty, and texts shorter than
     length lose nothing. A null doc_id is allowed. Other columns are ignored; an empty table gives an empty result.
     """
+    coded = words is not None
+    length = CODE * words if coded else length
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     source = source.withColumn("key", F.md5(F.col("text").cast("binary")))
-    scan = shared.table(source.mapInArrow(_scan(length), SCAN), "anchors")
+    scan = shared.table(source.mapInArrow(_scan(length, coded), SCAN), "anchors")
     classes = shared.cut(scan.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")))
     one = scan.join(classes.select("key", "rep"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     places = one.select("key", "rep", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("again").alias("again"))))
@@ -363,8 +408,8 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
         F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("own")),
     ).select("key", "text", "anchors")
     texts = shared.table(texts, "candidates")
-    ranges = _repeats(texts.mapInArrow(_cut_pieces(length, True), PIECE + ", piece binary"), length, group)
-    pieces = texts.mapInArrow(_cut_pieces(length, False), PIECE)
+    ranges = _repeats(texts.mapInArrow(_cut_pieces(length, True, coded), PIECE + ", piece binary"), length, group)
+    pieces = texts.mapInArrow(_cut_pieces(length, False, coded), PIECE)
     # Ranges are around the anchor; first - low is the anchor's place in the text.
     at = F.col("first") - F.col("low")
     moved = F.transform("ranges", lambda r: F.struct((r["low"] + at).alias("low"), (r["high"] + at).alias("high")))
@@ -373,13 +418,13 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
     )
     found = spans.groupBy("key").agg(F.collect_list("ranges").alias("found"))
     changed = texts.select("key", "text").join(found, "key").mapInArrow(
-        _shorten(length), "key string, n_removed long, n_spans long, kept binary, shorter string, spans array<struct<start:long,stop:long>>"
+        _shorten(length, coded), "key string, n_removed long, n_spans long, kept binary, shorter string, spans array<struct<start:long,stop:long>>"
     ).dropDuplicates(["key"])
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    whole = (F.col("copies") > 1) & (F.col("size") >= length)
     gone = F.sha2(F.lit("").cast("binary"), 256)
     kept = F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept"))
     return (
-        scan.select("doc_id", "key", "n_bytes", "sha").join(classes.drop("rep"), "key").join(changed, "key", "left")
+        scan.select("doc_id", "key", "n_bytes", "size", "sha").join(classes.drop("rep"), "key").join(changed, "key", "left")
         .select(
             "doc_id", "key", "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
@@ -390,22 +435,34 @@ def shortened(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Data
     )
 
 
+def _with_changes(docs: DataFrame, changes: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Rows of docs with what shortened() says of those that lose bytes (else nulls), and the names of these columns."""
+    changed = changes.where("n_removed > 0").dropDuplicates(["doc_id", "key"])
+    names = {c: f"{c}_{uuid.uuid4().hex}" for c in changed.columns}
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["doc_id"])) & (key == F.col(names["key"]))
+    return docs.join(changed.withColumnsRenamed(names), same, "left"), names
+
+
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs; cases as in shortened()."""
-    return shortened(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left of it) for each row of docs; cases as in shortened().
 
+    A null text stays null.
+    """
+    changes = shortened(docs, length).select("doc_id", "key", "n_removed", "n_spans", "sha", "shorter")
+    rows, new = _with_changes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), changes)
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select(
+        "doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.coalesce(new["n_removed"], F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(new["n_spans"], F.lit(0).cast("long")).alias("n_spans"), F.coalesce(new["sha"], F.sha2(data, 256)).alias("kept_sha256"),
+        F.coalesce(new["shorter"], "text").alias("text"),
+    )
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The rows of docs, with all their columns; text (and n_chars, if there is one) without what shortened() removes."""
-    changed = shortened(docs, length).where("n_removed > 0").dropDuplicates(["doc_id", "key"]).select(
-        F.col("doc_id").alias("changed_id"), F.col("key").alias("changed_key"), F.col("shorter").alias("changed_text")
-    )
-    names = {c: f"{c}_{uuid.uuid4().hex}" for c in changed.columns}
-    changed = changed.withColumnsRenamed(names)
-    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(names["changed_id"])) & (key == F.col(names["changed_key"]))
-    rows = docs.join(changed, same, "left")
-    new = F.col(names["changed_text"])
+    rows, names = _with_changes(docs, shortened(docs, length, words=words).select("doc_id", "key", "n_removed", "shorter"))
+    new = F.col(names["shorter"])
     columns = {"text": F.coalesce(new, F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -59,6 +59,23 @@ def repeats(docs, length):
     return out
 
 
+def word_repeats(docs, words=51):
+    """What is left of each (doc_id, text): without words covered by a repeated string of words, and the white space between these."""
+    places = [[(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for _, t in docs]
+    split = [[t[a:b] for a, b in p] for (_, t), p in zip(docs, places, strict=True)]
+    starts = Counter(tuple(w[k : k + words]) for w in split for k in range(len(w) - words + 1))
+    out = []
+    for (_, t), p, w in zip(docs, places, split, strict=True):
+        covered = {j for k in range(len(w) - words + 1) if starts[tuple(w[k : k + words])] > 1 for j in range(k, k + words)}
+        left, at = [], 0
+        for k in sorted(covered):
+            if k - 1 not in covered:
+                left.append(t[at : p[k][0]])
+            at = p[k][1]
+        out.append("".join([*left, t[at:]]))
+    return out
+
+
 def statistics(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]

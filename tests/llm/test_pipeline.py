@@ -24,7 +24,7 @@ def corpus():
         "fr": ["été", "où", "français", "leçon", "élève", "à", "même"],
     }
     make = lambda lang, n: " ".join(draw.choice(words[lang]) + (str(draw.randrange(1000)) if k % 3 else "") for k in range(n))
-    passage = make("en", 120)
+    passage, shortest, too_short = make("en", 120), make("en", 51), make("en", 50)
     rows = []
     for i in range(160):
         lang = "en" if i % 2 else "fr"
@@ -33,6 +33,10 @@ def corpus():
             text = " ".join(f"{w}$$%%" for w in text.split())
         if i % 20 == 4:
             text = f"{text} {passage} {make(lang, 20)}"
+        if i % 20 == 9:
+            text = f"{text}\n{shortest if i % 40 == 9 else shortest.replace(' ', '  ')} {make(lang, 20)}"
+        if i % 20 == 14:
+            text = f"{text} {too_short}\n{make(lang, 20)}"
         rows.append((i, text, lang))
     rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 40, 5)]
     rows += [(2000 + i, rows[i][1] + " end", rows[i][2]) for i in range(1, 60, 7)]
@@ -45,9 +49,9 @@ def expected(rows):
     """(doc_id, length, crc32) of each document's ids after the stages; junk is what was made as junk."""
     kept = [(i, t) for i, t, _ in rows if t and any(c.isalpha() for c in t)]
     kept = [(i, t) for i, t in kept if not brute.statistics(t)[5] and "$$%%" not in t]
-    first = brute.near_duplicates(kept)
+    first = brute.near_duplicates(kept, 80)
     kept = [(i, t) for i, t in kept if first[i][2]]
-    shorter = [part[3].decode(errors="ignore") for part in brute.repeats(kept, 400)]
+    shorter = brute.word_repeats(kept)
     tokenizer = Tokenizer.from_file(packing.vocabulary())
     out = {}
     for (i, _), t in zip(kept, shorter, strict=True):
@@ -86,6 +90,29 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_repeats_of_more_than_fifty_words(spark):
+    """Short and long words, other white space, a text's end and start, a repeat inside one text, one that is the whole text."""
+    draw = random.Random(6)
+    words = lambda n, size=6: " ".join("".join(draw.choice("abcdéfgh") for _ in range(size)) for _ in range(n))
+    rows = []
+    for size in (1, 2, 6, 30):
+        for n in (49, 50, 51, 52, 60, 200):
+            passage = words(n, size)
+            for glue in (" ", "\n", " \t "):
+                rows.append((len(rows), words(30) + glue + passage.replace(" ", glue) + glue + words(30)))
+            rows.append((len(rows), passage + " " + words(10)))
+            rows.append((len(rows), words(10) + " " + passage))
+    inside = words(70)
+    rows += [(900, f"{inside} {words(5)} {inside}"), (901, ""), (902, words(51)), (903, "z " * 80), (904, " z" * 51)]
+    rows.append((905, rows[-3][1]))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 0) for i, t in rows], DOCUMENTS)
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeats(spark, docs, "").collect()}
+    expected = {i: t for (i, _), t in zip(rows, brute.word_repeats(rows), strict=True)}
+    expected[902] = expected[905] = ""
+    assert left == expected
+    assert sum(left[i] != t for i, t in rows) > 80
+
+
 def test_near_duplicates_from_four_fifths_on(spark):
     """Copies with words added, on both sides of 0.80 and of 0.85: 100 of 100 + k shingles are shared."""
     draw = random.Random(4)
