@@ -31,8 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that a repeated 400-byte string covers; n_chars follows the text."""
-    return suffixes.without_repeats(docs)
+    """Documents without the words that a repeated string of more than 50 words covers; n_chars follows the text."""
+    return suffixes.without_repeats(docs, words=suffixes.WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
