@@ -27,7 +27,7 @@ from stratlens.llm import shared, text
 
 TOP = 10
 BLOCK = 64  # postings
-SHARD = 4_000_000  # terms of a shard, or one longer document
+SHARD = 2_000_000  # terms of a shard, or one longer document
 QUERIES = 512  # items of a block
 FIRST, WINDOW = 256, 2048  # documents of a shard's first window and of the others
 

@@ -48,7 +48,7 @@ def found(df):
     return Counter(map(tuple, df.select("item_id", "rank", "doc_id", "score").collect()))
 
 
-@pytest.mark.parametrize(("shard", "first", "window"), [(4_000_000, 256, 2048), (5_000, 4, 16)])
+@pytest.mark.parametrize(("shard", "first", "window"), [(2_000_000, 256, 2048), (5_000, 4, 16)])
 def test_ranking_of_given_documents(spark, rows, monkeypatch, shard, first, window):
     """Also with many small shards and windows, where lists are skipped and blocks rejected."""
     for name, value in (("SHARD", shard), ("FIRST", first), ("WINDOW", window)):
