@@ -4,12 +4,14 @@ Each text becomes ids plus an end id; only longer documents are cut, so that all
 full. A full piece is a sequence by itself. The others are dealt to tasks of about GROUP items; each task
 takes them by falling length and puts each into the fullest open bin that it fits (a bit mask of the
 open spaces finds that bin in one step). Bins with at most SLACK free tokens are emitted; the others
-become items of the next round, which has fewer tasks, until one task holds all that is left or a
-round joins hardly any bins. A task's items are a fixed number, never a key's rows.
+become items of the next round, which has fewer tasks; where a round joins hardly any bins, the next one also has
+larger tasks, until one task holds all that is left or tasks of MOST items gain nothing more. A
+task's items are a bounded number, never a key's rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,7 +28,7 @@ from tokenizers import Tokenizer
 from stratlens.llm import shared, text
 from stratlens.llm.tokens import ODD, packed
 
-CAPACITY, END, SLACK, GROUP = 1024, 2, 8, 5_000
+CAPACITY, END, SLACK, GROUP, MOST = 1024, 2, 8, 5_000, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,16 +41,17 @@ def _encoder(path: str) -> Callable[[str], list[int]]:
     """One for all tasks of a Python worker.
 
     A plain text, where the pre-tokeniser's pattern leaves no doubt, goes to tiktoken with the vocabulary of the
-    same file, which gives the same ids in a fourth of the time; any other text goes to the tokenizer itself.
+    same file, which gives the same ids in a fourth of the time; any other text, also one with the string of an added
+    token, goes to the tokenizer itself.
     """
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    added = re.compile("|".join(map(re.escape, special)) or "(?!)").search
     ranks = {token_bytes(token): rank for token, rank in tokenizer.get_vocab().items() if token not in special}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        return tokenizer.encode(text, add_special_tokens=False).ids if ODD(text) else fast.encode_ordinary(text)
+        return tokenizer.encode(text, add_special_tokens=False).ids if ODD(text) or added(text) else fast.encode_ordinary(text)
 
     return encode
 
@@ -163,7 +166,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         )
         before, count, level = count, loose.count(), level + 1
         if count > 0.98 * before:
-            break
+            if group >= MOST:
+                break
+            group = min(4 * group, MOST)
     if packed_rows is None:
         return full
     return full.unionByName(
