@@ -176,20 +176,21 @@ def _prune(rule: list[tuple[str, bool, int]], cells: list[Cell]) -> list[tuple[s
     return rule
 
 
+def _sampled(labels: DataFrame, sample: int) -> DataFrame:
+    """doc_id and quality of about sample usable labels at most, chosen by a hash of doc_id."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    labels = labels.where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    share = min(1.0, sample / max(labels.count(), 1))
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+
+
 def learn(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
     """Conjunctions, in order, that reject a text. stats: doc_id and counts; labels: doc_id and quality (0 or 1).
 
     Rows without a label, with a null label, or that fail the base rule do not count. No usable rows: no rules.
     """
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    labels = labels.where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    count = labels.count()
-    if not count:
-        return []
-    share = min(1.0, sample / count)
-    labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     values = features()
-    rows = stats.where(~base_failed()).join(labels, "doc_id").select(
+    rows = stats.where(~base_failed()).join(_sampled(labels, sample), "doc_id").select(
         "quality", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0).alias("held"), *[c.alias(n) for n, c in values.items()]
     )
     rows = shared.cut(rows)
@@ -239,8 +240,13 @@ def _statistics(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that judged() keeps. The verdict reads the row itself, not its id."""
-    found = learn(_statistics(docs), labels, sample)
+    """The rows of docs, with all their columns, that judged() keeps. The verdict reads the row itself, not its id.
+
+    Rules need the counts of the sampled labels' texts only; every text is counted once, for its verdict.
+    """
+    ids = shared.small(shared.cut(_sampled(labels, sample).select(F.col("doc_id").alias("sampled_id"))), 2 * SAMPLE)
+    learned = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long") == F.col("sampled_id"), "left_semi")
+    found = learn(_statistics(learned), labels, sample)
     name = f"statistics_{uuid.uuid4().hex}"
     keep = ~base_failed(f"{name}.") & verdict(found, f"{name}.")
     return docs.withColumn(name, statistics(F.col("text"))).where(keep).drop(name)
