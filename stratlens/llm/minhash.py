@@ -31,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratlens.llm import shared, text
+from stratlens.operators.joins import salted_join
 
 HASHES, BITS, BANDS, ROWS = 128, 2, 25, 5
-SMALL, BLOCK = 48, 128
+SMALL, BLOCK, SALTS = 48, 128, 16
 PERCENT = 85
 
 _A = text.randoms(HASHES, 11).astype(np.uint32) | np.uint32(1)
@@ -181,10 +182,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
     rows = shared.table(docs.mapInArrow(_features, FEATURES), "minhash")
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # A class is a distinct set; its number is its id, as one doc_id may stand on several texts.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("first")
+    classes = full.groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key"))
+    classes = shared.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
     signed = (
-        full.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id")
-        .where("digest = own").drop("own", "digest").withColumnRenamed("doc_id", "rep").drop("text_key").dropDuplicates(["rep"])
+        full.withColumnRenamed("digest", "own").join(classes, own & (F.col("own") == F.col("digest")))
+        .drop("own", "digest", "doc_id", "text_key", "own_id", "own_key").dropDuplicates(["rep"])
     )
     signed = shared.table(signed, "representatives")
     banded = signed.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -192,9 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = shared.cut(banded.join(buckets, ["band", "key"]))
 
     wanted = members.select("rep").distinct()
-    sets = docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
-        _sets, "rep long, shingles array<long>"
-    )
+    asked = classes.join(wanted, "rep").select("own_id", "own_key", "rep")
+    sets = docs.join(asked, own).select(F.col("rep").alias("doc_id"), "text").mapInArrow(_sets, "rep long, shingles array<long>")
     sets = shared.table(sets, "sets")
     signs = signed.select("rep", "n_shingles", "s0", "s1", "s2", "s3")
 
@@ -224,11 +228,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     spanning = many.groupBy("band", "key", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
 
-    roots = shared.connected_components(confirmed.union(spanning))
-    labelled = (
-        classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("digest", F.coalesce("component", "rep").alias("class_id"))
-    )
+    # Texts of one doc_id are one document.
+    several = full.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("differ")).where("differ and doc_id is not null")
+    texts = full.select("doc_id", "digest").join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(classes, "digest")
+    same = texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("lead")), "doc_id").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+
+    roots = shared.connected_components(confirmed.union(spanning).union(same))
+    linked_classes = classes.select("rep", "own_id").join(roots.withColumnRenamed("id", "rep"), "rep")
+    ids = linked_classes.groupBy("component").agg(F.min("own_id").alias("class_id"))
+    named = salted_join(linked_classes, ids, ["component"], salts=SALTS).select("rep", "class_id")
+    labelled = classes.join(named, "rep", "left").select("digest", F.coalesce("class_id", "own_id").alias("class_id"))
     out = rows.select("doc_id", "text_key", "n_shingles", "digest").join(labelled, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return out.select(

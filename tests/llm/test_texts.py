@@ -53,6 +53,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((r["component_id"] or 0, r["kept"]) for r in lost) == [(0, True), (3, False), (3, True)]
 
 
+def test_one_id_on_different_texts(spark):
+    """Both texts of an id find their near copies, which are one component through the id."""
+    draw = random.Random(8)
+    a, b, c = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, f"{a} x y"), (3, f"{b} x y"), (4, c), (None, f"{c} x"), (0, c), (1, None), (7, "alone here")]
+    found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert found == {
+        (1, 196): (1, True), (2, 198): (1, False), (3, 198): (1, False), (4, 196): (0, False), (None, 197): (0, False), (0, 196): (0, True),
+        (1, 0): (1, True), (7, 1): (7, True),
+    }
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     """More members than a block: variants of one text, some linked through others only."""
     draw = random.Random(5)
@@ -213,7 +225,6 @@ def test_very_long_words(tiktoken_encoding):
 def packed(found, docs):
     """Check pieces against the tokenizer and sequences against their capacity; gives sequences and tokens."""
     tokenizer = Tokenizer.from_file(packing.vocabulary())
-    tokenizer.encode_special_tokens = True
     pieces = {}
     for r in found:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -257,6 +268,26 @@ def test_packing_in_rounds(spark):
     assert len(found) == 5000 and n <= 1.04 * tokens / 1024
 
 
+def test_added_tokens_in_texts(spark):
+    """Their strings are single ids, as the tokenizer gives them by default, in plain and odd texts."""
+    texts = ["x<|endoftext|>", "<|endoftext|><|endoftext|>", "é  <|endoftext|> y", "<|endoftext|", "plain"]
+    found = packing.token_pieces(table(spark, list(enumerate(texts))), with_ids=True).collect()
+    tokenizer = Tokenizer.from_file(packing.vocabulary())
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert ids[0] == [87, 50256, 2]
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in found} == ids
+
+
+def test_tasks_grow_where_rounds_join_hardly_any_bins(spark, monkeypatch):
+    """Even lengths from about half a sequence on: few bins of a round take another one."""
+    length = F.lit(342) + 2 * F.pmod(F.xxhash64("id"), F.lit(340))
+    items = spark.range(6_000).select("id", length.cast("long").alias("length"))
+    n, tokens = sequences(packing.pack(items, group=50).collect())
+    monkeypatch.setattr(packing, "MOST", 50)
+    fixed, _ = sequences(packing.pack(items, group=50).collect())
+    assert tokens / 1024 < n < fixed
+
+
 def repeats(rows):
     return [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
