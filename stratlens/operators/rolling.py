@@ -94,16 +94,29 @@ def _add_drawdowns(segmented: DataFrame, keys: Sequence[str], nav: str, windows:
     )
     levels = max(windows).bit_length()
     for k in range(1, levels):
-        rows = rows.withColumn(f"_s{k}", _dips(F.lag(f"_s{k - 1}", 1 << (k - 1)).over(by_pos), F.col(f"_s{k - 1}")))
-    measured = {}
+        rows = rows.withColumn("_before", F.lag(f"_s{k - 1}", 1 << (k - 1)).over(by_pos))
+        rows = rows.withColumn(f"_s{k}", _dips(F.col("_before"), F.col(f"_s{k - 1}")))
+    parts, lags = {}, {}
     for w in windows:
-        found, taken = None, 0  # from the present row backwards
+        taken, parts[w] = 0, []  # from the present row backwards
         for k in range(levels):
             if w >> k & 1:
-                part = F.lag(f"_s{k}", taken).over(by_pos) if taken else F.col(f"_s{k}")
-                found, taken = part if found is None else _dips(part, found), taken + (1 << k)
-        measured[f"mdd_{w}"] = F.when(F.col(f"_navs_{w}") == w, found["dip"])
-    return rows.withColumns(measured).drop("_nav", *[f"_s{k}" for k in range(levels)], *[f"_navs_{w}" for w in windows])
+                parts[w].append(f"_p{w}_{k}" if taken else f"_s{k}")
+                if taken:
+                    lags[parts[w][-1]] = F.lag(f"_s{k}", taken).over(by_pos)
+                taken += 1 << k
+    measured = {f"mdd_{w}": F.when(F.col(f"_navs_{w}") == w, _dip_of(parts[w])) for w in windows}
+    scratch = ["_nav", "_before", *lags, *[f"_s{k}" for k in range(levels)], *[f"_navs_{w}" for w in windows]]
+    return rows.withColumns(lags).withColumns(measured).drop(*scratch)
+
+
+def _dip_of(parts: Sequence[str]) -> Column:
+    """Deepest dip of stretches in a row, the last one first."""
+    dips = [F.col(f"{part}.dip") for part in parts]
+    for k in range(1, len(parts)):
+        lows = [F.col(f"{part}.lo") for part in parts[:k]]
+        dips.append((F.least(*lows) if k > 1 else lows[0]) - F.col(f"{parts[k]}.hi"))
+    return F.least(*dips) if len(dips) > 1 else dips[0]
 
 
 def rolling_max_drawdown(
