@@ -21,7 +21,8 @@ def folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(path)
-    return path
+    # A local folder comes back as file:/..., which is no URI for other readers.
+    return path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
