@@ -46,7 +46,7 @@ def _cut_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], size:
     return chosen.groupBy(*keys, "_unit").agg(F.array_sort(F.collect_set(_last_of(order))).alias("_cuts"))
 
 
-def _cuts_before(cuts: Column, row: Column) -> Column:
+def cuts_before(cuts: Column, row: Column) -> Column:
     """How many of the sorted cut points are not behind the row, by binary search."""
     powers = F.array(*[F.lit(1 << k) for k in reversed(range(_STEPS))])
 
@@ -66,7 +66,7 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], unit:
     dated = calendar_blocks(df, order, unit).withColumnRenamed(BLOCK, "_unit")
     cuts = _cut_points(dated.select(*keys, *[c for c in order if c not in keys], "_unit"), keys, order, size)
     joined = salted_join(dated, cuts, [*keys, "_unit"], "left")
-    piece = _cuts_before(F.col("_cuts"), _last_of(order))
+    piece = cuts_before(F.col("_cuts"), _last_of(order))
     return joined.withColumn(BLOCK, F.struct(F.col("_unit").alias("unit"), piece.alias("piece"))).drop("_unit", "_cuts")
 
 

@@ -3,47 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratlens import schemas
 from stratlens.functions.columns import lenient_double, spread_pair_folder, spread_product, strict_timestamp
-from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, path_part, read_tables, relative, with_headers
+from stratlens.schemas import BARS, ddl
+from stratlens.sources.files import cell, escape_glob, is_dir, matching, path_part, place_of, qualified, read_records
 
 MARKET_FOLDER = "MarketData"
 
 
-def bar_catalog(spark: SparkSession, root: str, years: Iterable[str]) -> DataFrame:
-    """The files that may hold bars: ``path, year, spread, precedence``, best first.
+def bar_places(files: DataFrame, root: str) -> DataFrame:
+    """Add to rows with a ``path`` below ``root`` its ``year`` and ``precedence`` (0 is best); rows of other layouts go.
 
     A spread's file lies below its year in ``product/product``, ``product`` or the pair's folder,
     looked up in that order below the market folder and then below ``root`` itself.
     """
-    roots = [f"{root}/{MARKET_FOLDER}"] if is_dir(spark, f"{root}/{MARKET_FOLDER}") else []
-    rows = []
-    for rank, base in enumerate([*roots, root]):
-        for year in dict.fromkeys(str(y) for y in years):
-            for folders in ("*", "*/*"):
-                for path in glob(spark, f"{escape_glob(base)}/{escape_glob(year)}/{folders}/*.csv"):
-                    pieces = relative(spark, base, path).split("/")
-                    rows.append((path, year, "/".join(pieces[1:-1]), pieces[-1].removesuffix(".csv"), rank))
-    listed = spark.createDataFrame(rows, "path string, year string, folder string, spread string, rank int")
+    below = F.substring(F.regexp_replace("path", "^[a-zA-Z0-9]+:(//[^/]*)?", ""), F.lit(len(root) + 2), F.length("path"))
+    market = F.startswith(below, F.lit(f"{MARKET_FOLDER}/"))
+    pieces = F.split(F.when(market, F.substring(below, F.lit(len(MARKET_FOLDER) + 2), F.length("path"))).otherwise(below), "/")
+    folder = F.array_join(F.slice("_pieces", F.lit(2), F.size("_pieces") - 2), "/")
     product, pair = spread_product("spread"), spread_pair_folder("spread")
     layout = (
-        F.when(F.col("folder") == F.concat(product, F.lit("/"), product), 0)
-        .when(F.col("folder") == product, 1)
-        .when(F.col("folder") == pair, 2)
+        F.when(F.col("_folder") == F.concat(product, F.lit("/"), product), 0)
+        .when(F.col("_folder") == product, 1)
+        .when(F.col("_folder") == pair, 2)
     )
-    known = listed.withColumn("layout", layout).filter(F.col("layout").isNotNull())
-    return known.select("path", "year", "spread", (F.col("rank") * 3 + F.col("layout")).alias("precedence"))
+    named = files.withColumns({"_pieces": pieces, "_rank": F.when(market, 0).otherwise(3)}).withColumn("_folder", folder)
+    known = named.withColumns({"year": F.get("_pieces", F.lit(0)), "precedence": F.col("_rank") + layout})
+    return known.where("precedence is not null").drop("_pieces", "_rank", "_folder")
 
 
-def chosen_files(catalog: DataFrame) -> DataFrame:
-    """One file per spread and year: the one of best precedence."""
-    best = Window.partitionBy("spread", "year").orderBy("precedence")
-    return catalog.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place")
+def chosen_files(files: DataFrame) -> DataFrame:
+    """The rows of one file per spread and year: the one of best precedence."""
+    best = F.min("precedence").over(Window.partitionBy("spread", "year"))
+    return files.withColumn("_best", best).where("precedence = _best").drop("_best")
 
 
 def load_bars(
@@ -52,33 +47,34 @@ def load_bars(
     """Bars ``spread, datetime, close, row_id`` of the wanted spreads (all by default).
 
     A spread's close is ``close_price`` if any of its yearly files has that column, else
-    ``close``; rows whose close is not a number are left out.
+    ``close``; rows whose close is not a number are left out. Which files count, and which column, is settled on the
+    executors from one row per file; Spark lists the files, and a list of spreads narrows what it lists.
     """
-    files = chosen_files(bar_catalog(spark, root, years))
-    if spreads is not None:
-        if not isinstance(spreads, DataFrame):
-            spreads = spark.createDataFrame([(s,) for s in spreads], "spread string")
-        files = files.join(spreads.select("spread").distinct(), "spread", "left_semi")
-    # Names only: at most one file per spread and year.
-    listed = [InputFile(row["path"], row["spread"]) for row in files.select("path", "spread").collect()]
-    named = with_headers(spark, listed)
-    priced = {file.owner for file in named if "close_price" in file.header}
-    parts = []
-    for column, chosen in (
-        ("close_price", [file for file in named if file.owner in priced]),
-        ("close", [file for file in named if file.owner not in priced]),
-    ):
-        bars = read_tables(spark, chosen, partial(_shape, column), _spread_of_path(), owner="spread")
-        if bars is not None:
-            parts.append(bars.filter(F.col("close").isNotNull()))
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schemas.ddl(schemas.BARS)))
+    bases = [f"{root}/{MARKET_FOLDER}"] if is_dir(spark, f"{root}/{MARKET_FOLDER}") else []
+    wanted = None if spreads is None or isinstance(spreads, DataFrame) else list(dict.fromkeys(spreads))
+    names = ["*"] if wanted is None else [escape_glob(name) for name in wanted]
+    patterns = matching(
+        spark,
+        [
+            f"{escape_glob(base)}/{escape_glob(year)}/{folders}/{name}.csv"
+            for base in [*bases, root] for year in dict.fromkeys(str(y) for y in years) for folders in ("*", "*/*") for name in names
+        ],
+    )
+    if not patterns:
+        return spark.createDataFrame([], ddl(BARS))
 
+    def choose(files: DataFrame) -> DataFrame:
+        if isinstance(spreads, DataFrame):
+            files = files.join(spreads.select("spread").distinct(), "spread", "left_semi")
+        return chosen_files(bar_places(files, qualified(spark, root)))
 
-def _spread_of_path() -> Column:
-    return F.regexp_replace(path_part(0), r"\.csv$", "")
+    priced = F.max(place_of("close_price").isNotNull()).over(Window.partitionBy("spread"))
+    places = {"datetime": place_of("datetime"), "close": F.when(priced, place_of("close_price")).otherwise(place_of("close"))}
+    records = read_records(spark, patterns, "spread", _spread_of_path(), places, choose)
+    time, close = strict_timestamp(cell("datetime")), lenient_double(cell("close"))
+    bars = records.select("spread", time.alias("datetime"), close.alias("close"), "row_id")
+    return bars.where(F.col("close").isNotNull())
 
 
-def _shape(column: str, df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    time = strict_timestamp("datetime") if "datetime" in header else F.lit(None).cast("timestamp_ntz")
-    close = lenient_double(column) if column in header else F.lit(None).cast("double")
-    return df.select("spread", time.alias("datetime"), close.alias("close"), "row_id")
+def _spread_of_path() -> Column:
+    return F.regexp_replace(path_part(0), r"\.csv$", "")

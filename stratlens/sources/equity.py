@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratlens.functions.columns import finite, named_or_at, strict_timestamp
+from stratlens.functions.columns import finite, strict_timestamp
 from stratlens.operators.returns import capital_to_portfolio, first_strategy
-from stratlens.sources.files import InputFile, escape_glob, glob, is_dir, read_tables, read_wide
+from stratlens.sources.files import cell, escape_glob, glob, is_dir, last_place, other_columns, place_of, read_records, read_wide
 from stratlens.sources.runs import list_runs, run_files, run_of
 from stratlens.sources.tables import RunTables, empty_table
 
@@ -22,27 +22,23 @@ IMPORTANCE_FILE = "feature_importance.csv"
 # ------------------------------------------------------------------------------
 
 
-def _cell(name: str) -> Column:
-    return F.col(f"`{name.replace('`', '``')}`")
+def _number(text: Column) -> Column:
+    return finite(text.cast("double"))
 
 
-def _number(name: str) -> Column:
-    return finite(_cell(name).cast("double"))
+def _text(text: Column) -> Column:
+    return F.coalesce(text, F.lit("nan"))
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(_cell(name), F.lit("nan"))
-
-
-def _curves(spark: SparkSession, files: Sequence[InputFile], owner_of: Column) -> DataFrame:
+def _curves(spark: SparkSession, files: Sequence[str], owner_of: Column) -> DataFrame:
     """Capital curves, one row per date and strategy, with the column's place among a file's strategies.
 
     Files without a date column have none.
     """
     if not files:
         return empty_table(spark, "capital_curves")
-    cells = read_wide(spark, [file.path for file in files], "run_id", owner_of)
-    row = Window.partitionBy("path", "line")
+    cells = read_wide(read_records(spark, files, "run_id", owner_of), "run_id")
+    row = Window.partitionBy("path", "row_id")
     dated = cells.withColumns(
         {
             "date": F.max(F.when(F.col("name") == "date", F.col("cell"))).over(row),
@@ -52,21 +48,20 @@ def _curves(spark: SparkSession, files: Sequence[InputFile], owner_of: Column) -
     place = F.col("place") - (F.col("place") > F.col("date_place")).cast("int")
     return dated.select(
         "run_id", strict_timestamp("date").cast("date").alias("date"), F.col("name").alias("strategy"),
-        place.cast("int").alias("col_pos"), _number("cell").alias("capital"),
+        place.cast("int").alias("col_pos"), _number(F.col("cell")).alias("capital"),
     )
 
 
-def _information(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    factor, mean = named_or_at(header, "factor", 0), named_or_at(header, "ic_mean", -1)
-    return df.select("run_id", _text(factor).alias("factor"), _number(mean).alias("ic_mean"))
+def _information(records: DataFrame) -> DataFrame:
+    return records.select("run_id", _text(cell("factor")).alias("factor"), _number(cell("ic_mean")).alias("ic_mean"))
 
 
-def _synthesis(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    return df.select("run_id", _text(header[0]).alias("label"), _number(header[-1]).alias("value"))
+def _synthesis(records: DataFrame) -> DataFrame:
+    return records.select("run_id", _text(cell("label")).alias("label"), _number(cell("value")).alias("value"))
 
 
-def _importance(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    return df.drop("row_id")
+def _importance(records: DataFrame) -> DataFrame:
+    return records.select("run_id", *other_columns(records, []))
 
 
 def load_equity_runs(
@@ -89,22 +84,24 @@ def load_equity_runs(
         at_root = posixpath.basename(root.rstrip("/"))
     runs = [] if at_root else list_runs(spark, root, wanted)
 
-    def files_of(name: str) -> list[InputFile]:
+    def files_of(name: str) -> list[str]:
         if at_root:
-            return [InputFile(path, at_root) for path in glob(spark, f"{escape_glob(root)}/{name}")]
+            return [escape_glob(path) for path in glob(spark, f"{escape_glob(root)}/{name}")]
         return run_files(spark, root, name, runs)
 
-    def load(table: str, name: str, shape) -> DataFrame:
-        loaded = read_tables(spark, files_of(name), shape, run_of(name))
-        return empty_table(spark, table) if loaded is None else loaded
+    def load(table: str, name: str, shape: Callable[[DataFrame], DataFrame], places: Mapping[str, Column]) -> DataFrame:
+        files = files_of(name)
+        return shape(read_records(spark, files, "run_id", run_of(name), places)) if files else empty_table(spark, table)
 
+    information = {"factor": F.coalesce(place_of("factor"), F.lit(0)), "ic_mean": F.coalesce(place_of("ic_mean"), last_place())}
+    synthesis = {"label": F.lit(0), "value": last_place()}
     curves = _curves(spark, files_of(CAPITAL_FILE), run_of(CAPITAL_FILE))
     chosen = curves if strategy else first_strategy(curves)
     return RunTables.of(
         spark,
         portfolio=capital_to_portfolio(chosen, initial_capital, strategy),
         capital_curves=curves,
-        ic_summary=load("ic_summary", IC_FILE, _information),
-        synthesis_summary=load("synthesis_summary", SYNTHESIS_FILE, _synthesis),
-        feature_importance=load("feature_importance", IMPORTANCE_FILE, _importance),
+        ic_summary=load("ic_summary", IC_FILE, _information, information),
+        synthesis_summary=load("synthesis_summary", SYNTHESIS_FILE, _synthesis, synthesis),
+        feature_importance=load("feature_importance", IMPORTANCE_FILE, _importance, {}),
     )

@@ -1,35 +1,28 @@
 """Finding input files and reading many CSV files with differing headers as one table.
 
-Only names and header lines pass through the driver; the rows are read by Spark. Spark binds CSV
-columns by position when it reads several files together, so files are grouped by header line and
-each group is read with its own column names.
+Files are read as lines, and headers are rows like any other: each file's first line reaches the file's other
+lines by a join with one row per scanned piece (``_heads``), so a plan is the same however many headers there are and no
+file is opened by the driver. That row also holds what the pieces before it say about a line: how many lines
+precede it, and whether a quoted cell is open, so a cell with line breaks is read right where a file is cut.
 """
 
 from __future__ import annotations
 
-import csv
-from collections import defaultdict
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratlens.functions.columns import finite, lenient_double
+from stratlens.operators.ordered import cuts_before
 from stratlens.schemas import NA_TOKENS
 
 BOM = "\ufeff"
-CORRUPT = "_row_with_other_cells"
-
-
-@dataclass(frozen=True)
-class InputFile:
-    """A CSV file, the run (or series) it belongs to, and its header."""
-
-    path: str
-    owner: str
-    header: tuple[str, ...] = ()
+FILE_ROWS = 1 << 40  # row_id leaves this many numbers to each file of an owner
+_QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+CELL = f',({_QUOTED}"(?=,|\\z)|[^,]*+)'
+OPEN = f'^(?:(?:{_QUOTED}"[^,"]*+|[^",][^,]*+|),)*+{_QUOTED}\\z'  # read from outside quotes, the last cell stays open
+WHOLE, DAY = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*\d{4}-\d{2}-\d{2}\s*$"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -48,49 +41,43 @@ def glob(spark: SparkSession, pattern: str, folders: bool = False) -> list[str]:
     return sorted(status.getPath().toString() for status in found or [] if status.isDirectory() == folders)
 
 
+def matching(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """The patterns that match something."""
+    return [pattern for pattern in patterns if glob(spark, pattern)]
+
+
 def is_dir(spark: SparkSession, path: str) -> bool:
     hadoop, fs = _filesystem(spark, path)
     return fs.exists(hadoop) and fs.getFileStatus(hadoop).isDirectory()
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The full path of ``root`` without scheme and host."""
+    hadoop, fs = _filesystem(spark, root)
+    return fs.makeQualified(hadoop).toUri().getPath().rstrip("/")
+
+
 def relative(spark: SparkSession, root: str, path: str) -> str:
     """The part of a listed path below ``root``."""
-    hadoop, fs = _filesystem(spark, root)
-    base = fs.makeQualified(hadoop).toUri().getPath().rstrip("/")
+    base = qualified(spark, root)
     full = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath()
     return full[len(base) + 1 :]
 
 
-def _first_line(spark: SparkSession, path: str) -> str:
-    hadoop, fs = _filesystem(spark, path)
-    jvm = spark._jvm
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(hadoop), "UTF-8"))
-    try:
-        return (reader.readLine() or "").removeprefix(BOM)
-    finally:
-        reader.close()
-
-
-def _column_names(line: str) -> tuple[str, ...]:
-    """Header cells; repeats get ``.1``, ``.2`` and blanks ``Unnamed: <place>``."""
-    names: list[str] = []
-    seen: dict[str, int] = defaultdict(int)
-    for place, cell in enumerate(next(csv.reader([line]), [])):
-        name = cell or f"Unnamed: {place}"
-        count = seen[name]
-        seen[name] += 1
-        names.append(f"{name}.{count}" if count else name)
-    return tuple(names)
+def _run_folder(spark: SparkSession, path: str, run: str) -> str:
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{path}/run_id={escape(run)}"
 
 
-def with_headers(spark: SparkSession, files: Iterable[InputFile]) -> list[InputFile]:
-    """The same files with their header lines read; files without any text are left out."""
+def run_folder_files(spark: SparkSession, path: str, run: str) -> set[str]:
+    """Names of the data files of one run of a dataset foldered by run."""
+    hadoop, fs = _filesystem(spark, _run_folder(spark, path, run))
+    return {status.getPath().getName() for status in fs.listStatus(hadoop)} if fs.exists(hadoop) else set()
 
-    def read(file: InputFile) -> InputFile:
-        return file if file.header else replace(file, header=_column_names(_first_line(spark, file.path)))
 
-    with ThreadPoolExecutor(max_workers=32) as pool:
-        return [file for file in pool.map(read, list(files)) if file.header]
+def remove_folder(spark: SparkSession, path: str, run: str) -> None:
+    hadoop, fs = _filesystem(spark, _run_folder(spark, path, run))
+    fs.delete(hadoop, True)
 
 
 def path_part(from_end: int) -> Column:
@@ -100,81 +87,177 @@ def path_part(from_end: int) -> Column:
     return F.element_at(F.split(F.url_decode(encoded), "/"), -1 - from_end)
 
 
-def _quoted(name: str) -> str:
-    return f"`{name.replace('`', '``')}`"
+def _cells(line: Column) -> Column:
+    """The cells of a CSV record, quotes removed."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(1))
+    quoted = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(c.rlike('(?s)^".*"$'), quoted(c)).otherwise(c))
 
 
-def read_strings(
-    spark: SparkSession, paths: Sequence[str], columns: Sequence[str], owner: str, owner_of: Column
-) -> DataFrame:
-    """All cells of same-header files as text, missing-value words as NULL, led by ``owner``.
+def _names(line: Column) -> Column:
+    """Header cells; repeats get ``.1``, ``.2`` and blanks ``Unnamed: <place>``."""
+    cells = F.transform(_cells(line), lambda c, i: F.when(c == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(c))
 
-    ``row_id`` grows along each scanned piece of a file and breaks ties between equal times. A row with more
-    cells than its header fails the read; missing cells are NULL.
-    """
-    schema = ", ".join(f"{_quoted(name)} string" for name in [*columns, CORRUPT])
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
-    # Without all columns parsed, a row's number of cells would not be seen.
-    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-    raw = reader.csv([escape_glob(path) for path in paths])
-    outside_quotes = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    cells_found = F.length(outside_quotes) - F.length(F.replace(outside_quotes, F.lit(","), F.lit(""))) + 1
-    message = F.concat(F.lit("more cells than the header has in "), F.col("_metadata.file_path"))
-    # Spark reads the column of odd rows only together with another one.
-    always = F.length(F.coalesce(F.col(_quoted(columns[0])), F.lit(""))) >= 0
-    raw = raw.where(F.when(cells_found > len(columns), F.raise_error(message).cast("boolean")).otherwise(always))
-    words = F.array(*[F.lit(token) for token in NA_TOKENS])
-    cells = [F.when(~F.array_contains(words, F.col(_quoted(n))), F.col(_quoted(n))).alias(n) for n in columns]
-    return raw.select(owner_of.alias(owner), *cells, F.monotonically_increasing_id().alias("row_id"))
+    def numbered(name: Column, i: Column, all_names: Column) -> Column:
+        earlier = F.size(F.filter(F.slice(all_names, F.lit(1), i), lambda other: other == name))
+        return F.when(earlier > 0, F.concat(name, F.lit("."), earlier.cast("string"))).otherwise(name)
 
+    return F.transform(cells, lambda name, i: numbered(name, i, cells))
 
-def read_tables(
-    spark: SparkSession,
-    files: Iterable[InputFile],
-    shape: Callable[[DataFrame, tuple[str, ...]], DataFrame],
-    owner_of: Column,
-    owner: str = "run_id",
-) -> DataFrame | None:
-    """Read files header by header, ``shape`` each group, and stack the groups by column name."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file in with_headers(spark, files):
-        groups[file.header].append(file.path)
-    if not groups:
-        return None
-    parts = [shape(read_strings(spark, paths, header, owner, owner_of), header) for header, paths in groups.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def read_wide(spark: SparkSession, paths: Sequence[str], owner: str, owner_of: Column) -> DataFrame:
-    """Files whose headers are data (a column per series): one row per line and cell, whatever the headers.
-
-    ``owner, path, line, place, name, cell``. Headers are rows like any other: each file's first line, joined to
-    its other lines by path, so that the plan is the same however many headers there are. Lines are split at
-    commas outside quotes; a quoted cell may hold commas and doubled quotes, not line breaks.
+
+def place_of(*names: str) -> Column:
+    """Place in a header (column ``names``, from 0) of the first of these columns that it has, else NULL."""
+    found = [F.nullif(F.array_position("names", F.lit(name)), F.lit(0)) for name in names]
+    return (F.coalesce(*found) - 1).cast("int")
+
+
+def last_place() -> Column:
+    return F.size("names") - 1
+
+
+def _lines(spark: SparkSession, paths: Sequence[str], owner: str, owner_of: Column) -> DataFrame:
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return spark.read.text(list(paths)).select(
+        owner_of.alias(owner), F.url_decode(encoded).alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), "value", (odd % 2 == 1).alias("odd"),
+    )
+
+
+def _heads(lines: DataFrame, owner: str, choose: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """One row per scanned piece of a file: its header, the lines before it and where quotes are open.
+
+    Only lines with an odd number of quotes can open or close a cell. One that would leave a cell open when read from
+    outside turns the state over, any other one leaves no cell open. ``marks`` holds a piece's odd lines with the
+    state behind each, absolute (``fixed``) after the first line of the second kind, else as a change of the state
+    before the piece.
     """
-    lines = spark.read.text([escape_glob(path) for path in paths]).select(
-        owner_of.alias(owner), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"), "value",
+    mark = F.struct("line", F.col("value").rlike(OPEN).alias("turns"))
+    pieces = lines.groupBy(owner, "path", "start").agg(
+        F.min("line").alias("base"), F.count("*").alias("n"), F.min_by("value", "line").alias("head"),
+        F.collect_list(F.when(F.col("odd"), mark)).alias("odd"),
     )
-    heads = lines.where("start = 0").groupBy("path").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("head"))
-    joined = lines.where(F.trim("value") != "").join(heads, "path").where("line <> first").withColumns(
-        {"cells": _cells(F.col("value")), "names": _cells(F.replace("head", F.lit(BOM), F.lit("")))}
+    inside = Window.partitionBy(owner, "path", "start").orderBy("mark.line").rowsBetween(Window.unboundedPreceding, 0)
+    turns = F.sum(F.coalesce(F.col("mark.turns").cast("int"), F.lit(0))).over(inside)
+    counted = pieces.select("*", F.explode_outer("odd").alias("mark")).withColumn("turned", turns)
+    since = F.last(F.when(~F.col("mark.turns"), F.col("turned")), True).over(inside)
+    state = F.struct(
+        F.col("mark.line").alias("line"), ((F.col("turned") - F.coalesce("since", F.lit(0))) % 2).cast("int").alias("state"),
+        F.col("since").isNotNull().alias("fixed"),
     )
-    too_many = F.concat(F.lit("more cells than the header has in "), F.col("path"))
-    kept = joined.where(
-        F.when(F.size("cells") > F.size("names"), F.raise_error(too_many).cast("boolean")).otherwise(F.lit(True))
+    pieces = counted.withColumn("since", since).groupBy(owner, "path", "start").agg(
+        *[F.first(c).alias(c) for c in ("base", "n", "head")],
+        F.array_sort(F.collect_list(F.when(F.col("mark").isNotNull(), state))).alias("marks"),
     )
-    words = F.array(*[F.lit(token) for token in NA_TOKENS])
-    pairs = F.transform(
-        "names", lambda name, i: F.struct(i.alias("place"), name.alias("name"), F.get("cells", i).alias("cell"))
+    file = Window.partitionBy(owner, "path").orderBy("start")
+    past, upto = file.rowsBetween(Window.unboundedPreceding, -1), file.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.get("marks", F.size("marks") - 1)
+    placed = pieces.withColumns(
+        {
+            "before": F.coalesce(F.sum("n").over(past), F.lit(0)), "marks_before": F.coalesce(F.sum(F.size("marks")).over(past), F.lit(0)),
+            "head": F.first("head").over(upto), "change": F.coalesce(last["state"], F.lit(0)), "fixed": F.coalesce(last["fixed"], F.lit(False)),
+        }
+    ).withColumn("changes", F.sum("change").over(upto))
+    placed = placed.withColumn("set", F.last(F.when(F.col("fixed"), F.col("changes") - F.col("change")), True).over(upto))
+    placed = placed.withColumn("after", ((F.col("changes") - F.coalesce("set", F.lit(0))) % 2).cast("int"))
+    whole = file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = placed.withColumns({"entry": F.coalesce(F.lag("after").over(file), F.lit(0)), "unclosed": F.last("after").over(whole) == 1})
+    placed = placed.withColumn("names", _names(F.replace("head", F.lit(BOM), F.lit(""))))
+    chosen = choose(placed) if choose else placed
+    number = F.dense_rank().over(Window.partitionBy(owner).orderBy("path")) - 1
+    return chosen.withColumn("file", number.cast("bigint")).drop("head", "n", "change", "changes", "fixed", "set", "after")
+
+
+def read_records(
+    spark: SparkSession,
+    paths: Sequence[str],
+    owner: str,
+    owner_of: Column,
+    places: Mapping[str, Column] | None = None,
+    choose: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The records of CSV files: ``owner, path, row_id, names, at, cells``, cells as text, missing-value words NULL.
+
+    ``paths`` are glob patterns that match something. ``places`` names places in a header by expressions over the
+    column ``names`` (and windows over ``owner``), worked out once per file and carried as the struct ``at``. ``choose`` may drop
+    files by ``owner`` and ``path``. ``row_id`` is the line number, plus a multiple of ``FILE_ROWS`` by the file's place among its
+    owner's, so it does not depend on how files are cut or listed.
+
+    A quoted cell may hold commas, doubled quotes and line breaks, headers no line breaks. Blank lines are
+    skipped. A record with more cells than its header and a file that ends inside quotes fail the read; missing
+    cells are NULL.
+    """
+    lines = _lines(spark, paths, owner, owner_of)
+    heads = _heads(lines, owner, choose)
+    at = F.struct(F.lit(0).alias("_"), *[place.alias(name) for name, place in (places or {}).items()])
+    heads = heads.withColumn("at", at).drop(owner)
+    k = cuts_before(F.col("marks.line"), F.col("line") - 1)
+    mark = F.get("marks", F.col("k") - 1)
+    state = F.when(F.col("k") == 0, F.col("entry")).when(mark["fixed"], mark["state"]).otherwise((F.col("entry") + mark["state"]) % 2)
+    never_closed = F.raise_error(F.concat(F.lit("a quoted cell is not closed in "), F.col("path"))).cast("boolean")
+    placed = lines.join(heads, ["path", "start"]).where(F.when(F.col("unclosed"), never_closed).otherwise(F.lit(True)))
+    placed = placed.withColumn("k", F.when(F.size("marks") == 0, 0).otherwise(k)).withColumn("inside", state == 1)
+    placed = placed.withColumns(
+        {
+            "opens": ~F.col("inside") & F.col("odd") & F.col("value").rlike(OPEN),
+            "row_id": F.col("file") * FILE_ROWS + F.col("before") + F.col("line") - F.col("base"),
+        }
     )
-    return kept.select(owner, "path", "line", F.inline(pairs)).withColumn(
-        "cell", F.when(~F.array_contains(words, F.col("cell")), F.col("cell"))
+    placed = placed.where(F.col("row_id") % FILE_ROWS > 0)
+    part = F.col("inside") | F.col("opens")
+    columns = [owner, "path", "row_id", "names", "at", "value"]
+    alone = placed.where(~part & (F.trim("value") != "")).select(*columns)
+    opener = F.col("marks_before") + F.col("k") + F.col("opens").cast("int")
+    joined = placed.where(part).groupBy(owner, "path", opener.alias("opener")).agg(
+        F.min("row_id").alias("row_id"), F.first("names").alias("names"), F.first("at").alias("at"),
+        F.array_sort(F.collect_list(F.struct("row_id", "value"))).alias("parts"),
     )
+    joined = joined.withColumn("value", F.array_join(F.col("parts.value"), "\n")).select(*columns)
+    records = alone.unionByName(joined).withColumn("cells", _cells(F.col("value"))).drop("value")
+    too_many = F.raise_error(F.concat(F.lit("more cells than the header has in "), F.col("path"))).cast("boolean")
+    records = records.where(F.when(F.size("cells") > F.size("names"), too_many).otherwise(F.lit(True)))
+    words = F.array(*[F.lit(token) for token in NA_TOKENS])
+    return records.withColumn("cells", F.transform("cells", lambda c: F.when(~F.array_contains(words, c), c)))
 
 
-def _cells(line: Column) -> Column:
-    """The cells of a CSV line, quotes removed."""
-    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    quoted = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-    return F.transform(found, lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(c))
+def cell(place: str) -> Column:
+    """A record's cell at one of its named places."""
+    return F.get("cells", F.col("at")[place])
+
+
+def read_wide(records: DataFrame, owner: str) -> DataFrame:
+    """Records whose headers are data (a column per series): one row per record and cell."""
+    pairs = F.transform("names", lambda name, i: F.struct(i.alias("place"), name.alias("name"), F.get("cells", i).alias("cell")))
+    return records.select(owner, "path", "row_id", F.inline(pairs))
+
+
+def _others(places: Sequence[str]) -> Column:
+    """Cells outside the named places, with their column names."""
+    pairs = F.transform("names", lambda name, i: F.struct(name.alias("name"), i.alias("place"), F.get("cells", i).alias("cell")))
+    return F.filter(pairs, lambda pair: ~F.array_contains(_taken(places), pair["place"]))
+
+
+def _taken(places: Sequence[str]) -> Column:
+    return F.array(F.lit(-1), *[F.coalesce(F.col("at")[name], F.lit(-1)) for name in places])
+
+
+def other_columns(records: DataFrame, places: Sequence[str]) -> list[Column]:
+    """The columns besides the named places, each with the narrowest type that all its cells have.
+
+    Types are bigint, double, date, else text; a column without cells is text. Like any inference of a schema it runs one
+    job over the files; only names and types reach the driver.
+    """
+    cells = records.select(F.inline(_others(places)))
+    is_date = F.col("cell").rlike(DAY) & F.trim("cell").try_cast("date").isNotNull()
+    tests = {"bigint": F.col("cell").rlike(WHOLE), "double": lenient_double("cell").isNotNull(), "date": is_date}
+    found = cells.groupBy("name").agg(
+        F.min("place").alias("place"), *[F.bool_and(F.when(F.col("cell").isNotNull(), test)).alias(kind) for kind, test in tests.items()]
+    )
+    columns = []
+    for row in found.orderBy("place", "name").collect():
+        kind = next((kind for kind in tests if row[kind]), "string")
+        place = place_of(row["name"])
+        named = F.when(~F.array_contains(_taken(places), place), F.get("cells", place))
+        value = named if kind == "string" else F.trim(named).cast(kind)
+        columns.append((finite(value) if kind == "double" else value).alias(row["name"]))
+    return columns

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratlens import schemas
 from stratlens.functions.columns import finite, lenient_timestamp, strict_timestamp
-from stratlens.sources.files import InputFile, escape_glob, glob, path_part, read_tables, relative
+from stratlens.sources.files import cell, escape_glob, glob, other_columns, path_part, place_of, read_records, relative
 from stratlens.sources.tables import RunTables, empty_table
 
 # --- fixed values: where a run keeps its tables -------------------------------
@@ -74,8 +74,8 @@ def run_of(pattern: str) -> Column:
     return path_part(pattern.count("/") + 1)
 
 
-def run_files(spark: SparkSession, root: str, pattern: str, run_ids: Iterable[str]) -> list[InputFile]:
-    """Each run's first file, by name, that matches ``pattern``."""
+def run_files(spark: SparkSession, root: str, pattern: str, run_ids: Iterable[str]) -> list[str]:
+    """Each run's first file, by name, that matches ``pattern``, as patterns that match just these."""
     wanted = set(run_ids)
     alone = next(iter(wanted)) if len(wanted) == 1 else None
     folder = escape_glob(alone) if alone else "*"
@@ -84,15 +84,22 @@ def run_files(spark: SparkSession, root: str, pattern: str, run_ids: Iterable[st
         run = relative(spark, root, path).split("/")[0]
         if run in wanted:
             first.setdefault(run, path)
-    return [InputFile(path, run) for run, path in first.items()]
+    return [escape_glob(path) for path in first.values()]
 
 
 def _load(
     spark: SparkSession, root: str, run_ids: Iterable[str], name: str, pattern: str, headers: Mapping[str, str], layout: Mapping[str, str]
 ) -> DataFrame:
+    """The layout's columns with their types, absent ones NULL, then all other columns, with types found in the data."""
     files = run_files(spark, root, pattern, run_ids)
-    loaded = read_tables(spark, files, lambda df, _: normalize(df, headers, layout), run_of(pattern))
-    return empty_table(spark, name) if loaded is None else loaded
+    if not files:
+        return empty_table(spark, name)
+    named = [column for column in layout if column not in ("run_id", "row_id")]
+    local = {column: [old for old, new in headers.items() if new == column] for column in named}
+    places = {column: place_of(*local[column], column) for column in named}
+    records = read_records(spark, files, "run_id", run_of(pattern), places)
+    others = other_columns(records, named)
+    return normalize(records.select("run_id", *[cell(column).alias(column) for column in named], "row_id", *others), {}, layout)
 
 
 def load_portfolio(spark: SparkSession, root: str, run_ids: Iterable[str]) -> DataFrame:
@@ -118,11 +125,11 @@ def load_rolls(spark: SparkSession, root: str, run_ids: Iterable[str]) -> DataFr
 def load_summary(spark: SparkSession, root: str, run_ids: Iterable[str]) -> DataFrame:
     """Summary rows; the first column of each file is the row label."""
 
-    def labelled(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-        return df.withColumnRenamed(header[0], "label").drop("row_id")
-
-    loaded = read_tables(spark, run_files(spark, root, SUMMARY_FILES, run_ids), labelled, run_of(SUMMARY_FILES))
-    return empty_table(spark, "summary") if loaded is None else loaded
+    files = run_files(spark, root, SUMMARY_FILES, run_ids)
+    if not files:
+        return empty_table(spark, "summary")
+    records = read_records(spark, files, "run_id", run_of(SUMMARY_FILES), {"label": F.lit(0)})
+    return records.select("run_id", cell("label").alias("label"), *other_columns(records, ["label"]))
 
 
 def load_runs(spark: SparkSession, root: str, run_ids: Iterable[str] | None = None) -> RunTables:

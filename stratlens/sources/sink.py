@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
+from stratlens.sources.files import remove_folder, run_folder_files
 from stratlens.sources.tables import LAYOUTS, RunTables
 
 
@@ -18,16 +19,26 @@ SORT = (
 SORT_FIRST = {"trades": ("spread", "datetime"), "signals": ("symbol", "action_datetime"), "symbol": ("date", "spread")}
 
 
-def write_report(df: DataFrame, path: str, mode: str = "overwrite", first: Sequence[str] = ()) -> None:
+def write_report(
+    df: DataFrame, path: str, mode: str = "overwrite", first: Sequence[str] = (), runs: Iterable[str] | None = None
+) -> None:
     """One Parquet dataset per report, foldered by run and sorted within each file.
 
     Rebalancing on the run keeps files few per run, and splits a run that is far larger than the
     others over several writers. Overwriting replaces the folders of the runs that df holds and
-    leaves other runs alone; ``clear_report`` empties a whole dataset.
+    leaves other runs alone; ``clear_report`` empties a whole dataset. ``runs`` names the runs that
+    were computed: one that df has no rows of is emptied too, after the others are in place. Such a run is one whose
+    folder still holds a file from before, so no further job looks for it.
     """
+    spark = df.sparkSession
+    covered = list(runs or ()) if mode == "overwrite" else []
+    before = {run: run_folder_files(spark, path, run) for run in covered}
     order = [c for c in dict.fromkeys(["run_id", *first, *SORT]) if c in df.columns]
     rows = df.hint("rebalance", "run_id").sortWithinPartitions(*order)
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    for run, files in before.items():
+        if files & run_folder_files(spark, path, run):
+            remove_folder(spark, path, run)
 
 
 def clear_report(df: DataFrame, path: str) -> None:
@@ -37,9 +48,13 @@ def clear_report(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_id").parquet(path)
 
 
-def write_reports(reports: Mapping[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
+def write_reports(
+    reports: Mapping[str, DataFrame], root: str, mode: str = "overwrite", runs: Iterable[str] | None = None
+) -> list[str]:
+    """Every report below ``root``; a run of ``runs`` that a report has no rows of loses its earlier ones."""
+    covered = None if runs is None else list(runs)
     for name, df in reports.items():
-        write_report(df, f"{root}/{name}", mode)
+        write_report(df, f"{root}/{name}", mode, runs=covered)
     return [f"{root}/{name}" for name in reports]
 
 

@@ -10,7 +10,7 @@ import pytest
 from stratlens.plans import reports
 from stratlens.sources.bars import load_bars
 from stratlens.sources.equity import load_equity_runs
-from stratlens.sources.runs import load_runs
+from stratlens.sources.runs import load_rolls, load_runs, load_summary, load_trades
 from stratlens.sources.sink import clear_report, stage_tables, write_report, write_reports
 
 
@@ -78,7 +78,7 @@ def test_other_tables(spark, tree):
     assert signal["tradingday"] is None and signal["action_datetime"] == dt.datetime(2024, 1, 2, 8, 59)
     assert signal["bar_oi"] is None
     assert {r["tradingday"] for r in tables.rolls.collect()} == {dt.date(2024, 1, 3), None}
-    assert tables.summary.first().asDict() == {"run_id": "run a", "label": "total", "sharpe": "1.5"}
+    assert tables.summary.first().asDict() == {"run_id": "run a", "label": "total", "sharpe": 1.5}
     assert tables.capital_curves.count() == 0
 
 
@@ -193,7 +193,75 @@ def test_many_headers_are_one_plan(spark, tmp_path):
     put(tmp_path / "undated/capital_curves.csv", "a,b\n1,2\n")
     curves = load_equity_runs(spark, str(tmp_path)).capital_curves
     plan = curves._jdf.queryExecution().executedPlan().toString()
-    assert "Union" not in plan and plan.count("FileScan text") == 2
+    assert plan.count("FileScan text") == 4  # whole records and those of several lines, each with its headers
     rows = {(r["run_id"], r["date"].day, r["col_pos"]): (r["strategy"], r["capital"]) for r in curves.collect()}
     assert len(rows) == 800 and rows["run007", 2, 0] == ("s,7", 7.0) and rows["run199", 3, 1] == ("t199", 5.0)
     assert rows["run000", 2, 1] == ("t0", None)
+
+
+def test_typed_tables_of_many_headers_are_one_plan(spark, tmp_path):
+    for i in range(1000):
+        extra = f",{'x' * (i % 7 + 1)}" if i % 2 else ""
+        names, cells = (f"date,daily_pnl{extra}", f"2024-01-02,{i}") if i % 3 else (f"日盈亏,日期{extra}", f"{i},20240102")
+        put(tmp_path / f"r{i:04d}/daily/portfolio/daily_pnl_portfolio_1.csv", f"{names}\n{cells}{',7' if i % 2 else ''}\n")
+    portfolio = load_runs(spark, str(tmp_path)).portfolio
+    assert portfolio._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 4
+    assert dict(portfolio.dtypes)["xxx"] == "bigint"
+    rows = {r["run_id"]: r for r in portfolio.collect()}
+    assert len(rows) == 1000 and all(rows[f"r{i:04d}"]["daily_pnl"] == i for i in range(1000))
+    assert {r["date"] for r in rows.values()} == {dt.date(2024, 1, 2)} and rows["r0001"]["xx"] == 7 and rows["r0002"]["xx"] is None
+
+
+def test_line_breaks_in_cells_and_row_ids_do_not_depend_on_the_split(spark, tmp_path):
+    """Cells with line breaks, doubled quotes and commas; inches in plain cells are text."""
+    lines, expected = ["tradingday,note,n"], []
+    for i in range(120):
+        note = ["plain", "two\nlines", 'say ""x"", then\n\nstop', "a,b", 'a""\nb""'][i % 5]
+        cell = f'"{note}"' if i % 5 else (f'{i}" pipe' if i % 10 else "plain")
+        lines += [f"2024-01-02,{cell},{i}", ""]
+        expected.append((i, cell[1:-1].replace('""', '"') if i % 5 else cell))
+    put(tmp_path / "r/rolls/roll_events.csv", "\n".join(lines) + "\n")
+    put(tmp_path / "r/trades/trades.csv", "\n".join(["价差合约,成交价", *[f"A&B,{i}" for i in range(300)]]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found, ids = [], []
+    try:
+        for split in ("97b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            tables = load_trades(spark, str(tmp_path), ["r"]), load_rolls(spark, str(tmp_path), ["r"])
+            pieces = spark.read.text(str(tmp_path / "r/trades")).rdd.getNumPartitions()
+            assert (pieces > 10) == (split == "97b")
+            ids.append(sorted((r["row_id"], r["price"]) for r in tables[0].collect()))
+            found.append(sorted((r["n"], r["note"]) for r in tables[1].collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == [expected, expected]
+    assert ids[0] == ids[1] == [(i + 1, float(i)) for i in range(300)]
+
+
+def test_open_quote_fails(spark, tmp_path):
+    put(tmp_path / "r/rolls/roll_events.csv", 'tradingday,x\n2024-01-03,"a\n2024-01-04,b\n')
+    with pytest.raises(Exception, match="not closed"):
+        load_rolls(spark, str(tmp_path), ["r"]).collect()
+
+
+def test_other_columns_get_the_narrowest_type(spark, tmp_path):
+    put(tmp_path / "a/performance/summary.csv", "k,n,x,day,word,none\np,1,1,2024-01-02,7,\nq,NA,2.5,2024-01-03,x,nan\n")
+    put(tmp_path / "b/performance/summary.csv", "n,k\ntotal,3\n")
+    summary = load_summary(spark, str(tmp_path), ["a", "b"])
+    assert dict(summary.dtypes) == {
+        "run_id": "string", "label": "string", "k": "bigint", "n": "bigint", "x": "double", "day": "date", "word": "string", "none": "string",
+    }
+    rows = {r["label"]: r for r in summary.collect()}
+    assert rows["total"]["k"] == 3 and rows["total"]["n"] is None and rows["p"]["n"] == 1 and rows["p"]["k"] is None
+    assert rows["q"]["x"] == 2.5 and rows["q"]["day"] == dt.date(2024, 1, 3) and rows["q"]["word"] == "x"
+
+
+def test_run_computed_to_no_rows_is_emptied(spark, tmp_path):
+    path = f"{tmp_path}/x"
+    rows = lambda run: spark.range(3).selectExpr(f"'{run}' as run_id", "id")
+    write_report(rows("a b%").union(rows("b")).union(rows("c")), path)
+    write_report(rows("b"), path, runs=["a b%", "b", "new"])
+    counts = {r["run_id"]: r["count"] for r in spark.read.parquet(path).groupBy("run_id").count().collect()}
+    assert counts == {"b": 3, "c": 3}
