@@ -50,7 +50,7 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 FURNITURE = frozenset(
-    "head nav aside footer form script style noscript template svg math iframe object button select option textarea "
+    "head nav aside footer form script style noscript template svg iframe object button select option textarea "
     "dialog menu canvas audio video map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
@@ -61,6 +61,7 @@ NAMES = frozenset(
     "masthead skip".split()
 )
 HOLDERS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # A start tag of the first kind ends an open element of the second kind.
 _P_ENDERS = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav "
@@ -90,9 +91,13 @@ class Page:
 
 
 @lru_cache(maxsize=20_000)
-def _attributes(tag: str, raw: str) -> tuple[str, bool]:
-    """Signature of an element, and whether its attributes make it furniture."""
-    names, low = [], False
+def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
+    """Signature of an element, and whether its attributes make it furniture: anywhere, and outside an article only.
+
+    Inside an article a class or id counts only if it is one of NAMES as a whole, as ``related-work`` there is text;
+    a heading's class or id never counts.
+    """
+    names, low, outside = [], False, False
     for m in _ATTRIBUTE.finditer(raw) if raw else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -102,8 +107,10 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool]:
         elif name in ("class", "id"):
             words = _WORD.findall(value)
             names.append(f"{name[0]}:{' '.join(words)}")
-            low |= not NAMES.isdisjoint(words)
-    return f"{tag} {' '.join(names)}", low
+            if tag not in HEADINGS:
+                low |= not NAMES.isdisjoint(value.split())
+                outside |= not NAMES.isdisjoint(words)
+    return f"{tag} {' '.join(names)}", low, outside
 
 
 def parse(source: str) -> Page:
@@ -161,8 +168,9 @@ def parse(source: str) -> Page:
             continue
         if name not in INLINE:
             close_block()
-        signature, low = _attributes(name, m[3])
+        signature, low, outside = _attributes(name, m[3])
         parent = nodes[stack[-1]]
+        low |= outside and not parent.in_holder
         path = xxhash.xxh64_intdigest(signature, parent.path)
         holder = parent.in_holder or name in HOLDERS
         structural = name in ("html", "body") or name in HOLDERS

@@ -72,6 +72,15 @@ def test_parse():
     ]
 
 
+def test_names_inside_an_article_count_as_whole_tokens():
+    page = (
+        '<div class="site-menu">m</div><article><h2 id="share-prices">Prices</h2><p class="notice-period">Notice</p>'
+        '<section id="related-work"><p>Work <math><mi>x</mi></math> here</p></section><div class="social-policy">Policy</div>'
+        '<div class="box share">s</div><h3 class="related">Kept</h3></article>'
+    )
+    assert html.main_text(html.parse(page)) == "Prices Notice Work x here Policy Kept"
+
+
 def test_given_pages(run, rows):
     import html as entities
     import re
