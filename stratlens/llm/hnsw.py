@@ -1,8 +1,9 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Equal vectors of a label are one class with a count. The classes of a label are dealt to shards of about SHARD vectors by a hash,
-every shard gets a graph, and every shard's vectors are queried against every shard of the label, in blocks, each two
-shards once. A search walks the graph with a beam and then spreads over everything it finds at or above the
+Equal vectors of a label are one class with a count. The classes of a label are dealt by a hash to shards of about NUMBERS
+vector components, which bounds a graph's memory whatever the vectors' length; every shard gets a graph, and every shard's
+vectors are queried against every shard of the label, in blocks of QUERIES that go to the graph without their own
+one, each two shards once. A search walks the graph with a beam and then spreads over everything it finds at or above the
 threshold. The beam of a block is widened until an audit, a brute-force search for some of its queries, finds no link
 that the graph missed; a beam as wide as the shard is replaced by the exhaustive search. Links are
 verified by cosines in double precision. A block sends link counts and a spanning forest, never its pairs.
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 
 from stratlens.llm import shared
 
-THRESHOLD, SHARD, DEGREE, BUILD_BEAM, BEAM, AUDIT = 0.98, 2000, 12, 48, 24, 48
-INDEX = "label string, shard int, size int, graph binary"
+THRESHOLD, NUMBERS, QUERIES, DEGREE, BUILD_BEAM, BEAM, AUDIT = 0.98, 1 << 21, 4096, 12, 48, 24, 12
+INDEX = "label string, shard int, part int, data binary"  # part -1: the graph, else a block of its vectors
 FOUND = "rep long, links long, other long"
+ROWS = 512  # queries whose pairs are held and audited at a time
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -136,57 +138,74 @@ def linked_pairs(
         beam *= 2
     else:
         rows, nodes = np.nonzero(queries @ units.T >= loose)
-    exact = np.einsum("ij,ij->i", queries[rows], units[nodes]) >= threshold
+    exact, step = np.zeros(len(rows), bool), max(1, NUMBERS // units.shape[1])
+    for k in range(0, len(rows), step):
+        some = slice(k, k + step)
+        exact[some] = np.einsum("ij,ij->i", queries[rows[some]], units[nodes[some]]) >= threshold
     return rows[exact], nodes[exact], beam
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    raw = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]])
-    units = unit(raw)
-    graph = Graph(units)
-    parts = {"rep": pdf["rep"].to_numpy(), "copies": pdf["copies"].to_numpy(), "raw": raw.astype(np.float32) if (raw == raw.astype(np.float32)).all() else raw,
-             "layers": graph.layers, "levels": graph.levels, "entry": graph.entry}
-    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "size": [len(pdf)], "graph": [pickle.dumps(parts)]})
+def _build(queries: int):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        raw = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]])
+        units = unit(raw)
+        graph = Graph(units)
+        if (raw == raw.astype(np.float32)).all():
+            raw = raw.astype(np.float32)
+        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        parts = [(-1, pickle.dumps((rep, copies, raw, graph.layers, graph.levels, graph.entry)))]
+        for part, k in enumerate(range(0, len(pdf), queries)):
+            block = slice(k, k + queries)
+            parts.append((part, pickle.dumps((rep[block], copies[block], raw[block]))))
+        out = pd.DataFrame(parts, columns=["part", "data"])
+        return out.assign(label=pdf["label"].iloc[0], shard=pdf["shard"].iloc[0])[["label", "shard", "part", "data"]]
+
+    return build
 
 
 def _load(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
-    parts = pickle.loads(data)
-    units = unit(parts["raw"])
+    rep, copies, raw, layers, levels, entry = pickle.loads(data)
+    units = unit(raw)
     graph = Graph.__new__(Graph)
     graph.vectors, graph.degree = units.astype(np.float32), DEGREE
-    graph.layers, graph.levels, graph.entry = parts["layers"], parts["levels"], parts["entry"]
-    return parts["rep"], parts["copies"], units, graph
+    graph.layers, graph.levels, graph.entry = layers, levels, entry
+    return rep, copies, units, graph
 
 
-def _query(threshold: float):
+def _query(threshold: float, queries: int):
     def query(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = pdf["left"].iloc[0], pdf["right"].iloc[0]
-        rep, copies, units, _ = _load(first)
-        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        other_rep, other_copies, other_units, graph = _load(second)
-        rows, nodes, _ = linked_pairs(units, graph, other_units, threshold)
-        if same:  # each unordered pair once, found from either end
-            low, high = np.minimum(rows, nodes), np.maximum(rows, nodes)
-            pairs = np.unique(low[low < high] * len(units) + high[low < high])
-            rows, nodes = pairs // len(units), pairs % len(units)
-        left = np.bincount(rows, weights=other_copies[nodes], minlength=len(units))
-        right = np.bincount(nodes, weights=copies[rows], minlength=len(other_units))
-        root: dict[tuple[int, int], tuple[int, int]] = {}
-
-        def find(x: tuple[int, int]) -> tuple[int, int]:
+        rep, copies, raw = pickle.loads(pdf["block"].iloc[0])
+        units = unit(raw)
+        other_rep, other_copies, other_units, graph = _load(pdf["graph"].iloc[0])
+        same, first = pdf["p"].iloc[0] == pdf["q"].iloc[0], int(pdf["part"].iloc[0]) * queries
+        left, right, beam, out = np.zeros(len(units)), np.zeros(len(other_units)), BEAM, []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
             root.setdefault(x, x)
             while root[x] != x:
                 root[x] = root[root[x]]
                 x = root[x]
             return x
 
-        out = []
-        for a, b in zip(rep[rows].tolist(), other_rep[nodes].tolist(), strict=True):
-            x, y = find((0, a)), find((0 if same else 1, b))
-            if x != y:
-                root[y] = x
-                out.append((a, 0, b))
+        for k in range(0, len(units), ROWS):
+            rows, nodes, beam = linked_pairs(units[k : k + ROWS], graph, other_units, threshold, beam)
+            rows += k
+            if same:
+                # Each unordered pair once: inside these ROWS found from either end, else from the rows that come first.
+                ends = rows + first
+                wanted = (nodes >= first + k) & (nodes != ends)
+                low, high = np.minimum(ends, nodes)[wanted], np.maximum(ends, nodes)[wanted]
+                pairs = np.unique(low * len(other_rep) + high)
+                rows, nodes = pairs // len(other_rep) - first, pairs % len(other_rep)
+            left += np.bincount(rows, weights=other_copies[nodes], minlength=len(units))
+            right += np.bincount(nodes, weights=copies[rows], minlength=len(other_units))
+            for a, b in zip(rep[rows].tolist(), other_rep[nodes].tolist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[y] = x
+                    out.append((a, 0, b))
         for reps, counts in ((rep, left), (other_rep, right)):
             out += [(r, int(c), None) for r, c in zip(reps.tolist(), counts.tolist(), strict=True) if c]
         return pd.DataFrame(out, columns=["rep", "links", "other"]).astype({"rep": "int64", "links": "int64", "other": "Int64"})
@@ -194,7 +213,7 @@ def _query(threshold: float):
     return query
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, numbers: int = NUMBERS, queries: int = QUERIES) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label).
 
     Two rows are linked if their labels are equal and their cosine is at least threshold. A row links with nothing if
@@ -213,19 +232,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     good = rows.where(usable)
     classes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = shared.table(classes.withColumn("kind", F.concat_ws("/", F.size("vector"), "label")), "classes")
-    sizes = shared.cut(classes.groupBy("kind").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")))
+    shards = F.ceil(F.sum(F.size("vector").cast("long")) / numbers).cast("int")
+    sizes = shared.cut(classes.groupBy("kind").agg(shards.alias("shards")))
+    graphs = sizes.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0]
     dealt = classes.join(shared.small(sizes), "kind").withColumn(
         "shard", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("shards")).cast("int")
     )
     dealt = dealt.select(F.col("kind").alias("label"), "shard", "rep", "copies", "vector")
-    index = shared.table(dealt.groupBy("label", "shard").applyInPandas(_build, INDEX), "graphs")
+    # Groups are small in bytes and long in time: as many partitions as groups, which Spark does not put together.
+    dealt = dealt.repartition(max(1, 2 * graphs), "label", "shard")
+    index = shared.table(dealt.groupBy("label", "shard").applyInPandas(_build(queries), INDEX), "graphs")
     spots = sizes.select(F.col("kind").alias("label"), "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("p"))
-    blocks = spots.select("label", "p", F.explode(F.sequence(F.col("p"), F.col("shards") - 1)).alias("q"))
-    left = index.select("label", F.col("shard").alias("p"), F.col("graph").alias("left"))
-    right = index.select("label", F.col("shard").alias("q"), F.col("graph").alias("right"))
-    found = blocks.join(left, ["label", "p"]).join(right, ["label", "q"]).groupBy("label", "p", "q").applyInPandas(
-        _query(threshold), FOUND
-    )
+    spots = spots.select("label", "p", F.explode(F.sequence(F.col("p"), F.col("shards") - 1)).alias("q"))
+    blocks = index.where("part >= 0").select("label", F.col("shard").alias("p"), "part", F.col("data").alias("block"))
+    walks = index.where("part < 0").select("label", F.col("shard").alias("q"), F.col("data").alias("graph"))
+    # One group per block and graph; a block holds no graph of its own.
+    met = spots.join(blocks, ["label", "p"]).join(walks, ["label", "q"])
+    met = met.repartition(max(1, 4 * graphs), "label", "p", "part", "q")
+    found = met.groupBy("label", "p", "part", "q").applyInPandas(_query(threshold, queries), FOUND)
     found = shared.table(found, "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     links = found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))

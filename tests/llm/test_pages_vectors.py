@@ -159,13 +159,14 @@ def test_odd_vectors(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in twice) == [(0, 0), (1, 1), (1, 1)]
 
 
-def test_clusters_over_shards(spark):
+@pytest.mark.parametrize("block", [4096, 37])
+def test_clusters_over_shards_and_blocks(spark, block):
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(12, 16))
     vectors = [(int(k), [float(x) for x in (centres[k % 12] + draw.normal(scale=0.06, size=16)).astype(np.float32)], 0) for k in range(500)]
     vectors += [(1000 + k, vectors[0][1], 0) for k in range(30)]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
-    assert linked(hnsw.near_duplicates(frame, shard=120).collect()) == brute.cosine_links(vectors)
+    assert linked(hnsw.near_duplicates(frame, numbers=120 * 16, queries=block).collect()) == brute.cosine_links(vectors)
 
 
 def test_recall_of_the_graph():
